@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwerk.llm.components import peeled_components
 from textwerk.llm.families import families, split_rows
+from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import table
 
@@ -15,6 +16,21 @@ from textwerk.operators.durable import table
 LINK_SIMILARITY = 0.85
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_pairs(*near_classes(table(spark, d, "combined_csv"), threshold=0.6, size=3, least_words=10))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """For every compared row its class of equal shingle sets, the number of classes linked to it, and its group."""
+    members, links = near_classes(table(spark, d, "combined_csv"), threshold=0.8, size=5, least_words=10)
+    first = members.groupBy("key").agg(F.min("row_id").alias("class_id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    groups = peeled_components(links, "a", "b").withColumnRenamed("vertex", "key")
+    known = first.join(degree, "key", "left").join(groups, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "key").alias("label"))
+    low = known.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    return members.join(known, "key").join(low, "label").select("row_id", "class_id", "n_links", "group_id")
+
+
 def recorded_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of near_duplicates_de that link two rows of combined_csv."""
     pairs = table(spark, d, "near_duplicates_de").where(F.col("similarity") >= LINK_SIMILARITY).where("i <> j").select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).distinct()
@@ -50,7 +66,7 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_rows(table(spark, d, "combined_csv"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
