@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textwerk.llm.components import peeled_components
 from textwerk.llm.families import families, split_rows
 from textwerk.llm.near import near_classes, near_pairs
+from textwerk.llm.packing import packed
+from textwerk.llm.tokens import encoded, token_counts
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import table
 
@@ -66,7 +68,16 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_rows(table(spark, d, "combined_csv"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoded(table(spark, d, "documents"))
+
+
+def p9_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Container and place of every piece of documents, for each row of packing_specs."""
+    return packed(token_counts(table(spark, d, "documents")), table(spark, d, "packing_specs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p8_ids, p9_packing)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
