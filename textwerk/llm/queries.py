@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwerk.llm.components import peeled_components
 from textwerk.llm.families import families, split_rows
+from textwerk.llm.lookalikes import form_classes, forms, unlike_pairs
 from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.packing import packed
 from textwerk.llm.tokens import encoded, token_counts
 from textwerk.llm.writings import collapsed, same_writing
-from textwerk.operators.durable import table
+from textwerk.operators.durable import Workspace, table
 
 #: A recorded pair links its rows from this similarity on.
 LINK_SIMILARITY = 0.85
@@ -77,7 +78,15 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packed(token_counts(table(spark, d, "documents")), table(spark, d, "packing_specs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p8_ids, p9_packing)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return unlike_pairs(Workspace(spark).save(form_classes(table(spark, d, "documents"))))
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    return forms(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p8_ids, p9_packing, p10_found, p10_forms)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
