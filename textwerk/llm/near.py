@@ -29,7 +29,9 @@ from textwerk.operators.durable import Workspace
 
 #: Slots of the count sketch: a broadcast of 4 bytes each, whatever the size of the collection.
 SLOTS = 1 << 20
-#: One-bit MinHash values that are compared inside the join of prefixes.
+#: Rows of a block of a hot shingle.
+BLOCK = 4096
+#: One-bit MinHash values that are compared where prefixes meet.
 BITS = 128
 #: Further MinHash values of a record, one byte each, and how many are compared in a step.
 HASHES, STEP = 96, 16
@@ -107,7 +109,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 
     summed = sets.select("set").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(SLOTS, np.int64)
-    found = summed.toPandas()
+    found = summed.toArrow()
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return np.minimum(counts, 2**31 - 1).astype(np.int32)
 
@@ -117,18 +119,18 @@ def needed(t: float, a: int, b: int) -> int:
     return math.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) keys of classes that may reach the threshold. The join itself loses no pair.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(tok, cell, key, s1, s2, n, place): the rare end of each set, by shingle, with the set's one-bit MinHash values.
 
-    Of a pair, the smaller set needs only its first ``n - ceil(2t / (1 + t) n) + 1`` shingles in the join. The first ``BITS``
-    one-bit MinHash values travel with the prefixes, so that most pairs are dropped by their posterior inside the join.
+    Rows of a shingle that is counted often are dealt to blocks, and each pair of blocks is a cell of its own, so that no
+    group of rows exceeds about ``2 * BLOCK``. ``cell`` is twice the cell's number, plus one for rows of its second block.
     """
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            # copies within the task go here, those of other tasks with the distinct below
+            # copies within the task go here, those of other tasks where the rows meet
             fresh = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in seen and (len(seen) >= 1_000_000 or not seen.add(k))]
             if not fresh:
                 continue
@@ -142,19 +144,79 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
             place = np.arange(len(flat)) - start[doc]
             at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1))  # a slot counted once has no partner
             bits = one_bits(flat, start)
+            seen_often = c[order[at]]
+            cell = np.zeros(len(at), np.int32)
+            hot = np.flatnonzero(seen_often > 2 * BLOCK)
+            if len(hot):
+                rows, cells = [np.flatnonzero(seen_often <= 2 * BLOCK)], [np.zeros(len(at) - len(hot), np.int32)]
+                for r in hot.tolist():
+                    blocks = -(-int(seen_often[r]) // BLOCK)
+                    own = int(mixed(keys[doc[at[r]]].astype(np.uint64)[None])[0] % np.uint64(blocks))
+                    other = np.arange(blocks)
+                    rows.append(np.full(blocks, r)), cells.append((2 * (np.minimum(own, other) * blocks + np.maximum(own, other)) + (own > other)).astype(np.int32))
+                at, cell = at[np.concatenate(rows)], np.concatenate(cells)
             d = doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[d], bits[0][d], bits[1][d], n[d].astype(np.int32), flat[order[at]].view(np.int32), place[at].astype(np.int32))], names=["key", "s1", "s2", "n", "tok", "place"])
-
-    prefixes = sets.select("key", "set").mapInArrow(run, "key bigint, s1 bigint, s2 bigint, n int, tok int, place int").repartition("tok").distinct()
-    x, y = prefixes.alias("x"), prefixes.alias("y")
-    t = threshold
-    index = F.col("x.n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("x.n") - 1e-9) + 1
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    rest = 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1) + F.least("x.place", "y.place")
-    unlike = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
-    close = (F.col("x.tok") == F.col("y.tok")) & smaller & (F.col("x.place") < index) & (F.col("x.n") >= F.lit(t) * F.col("y.n") - 1e-9) & (rest >= need) & (unlike <= BITS - least_matches(t, BITS, 0.5)[0])
-    return x.join(y, close).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[d], bits[0][d], bits[1][d], n[d].astype(np.int32), flat[order[at]].view(np.int32), place[at].astype(np.int32), cell)], names=["key", "s1", "s2", "n", "tok", "place", "cell"])
+
+    return sets.select("key", "set").mapInArrow(run, "key bigint, s1 bigint, s2 bigint, n int, tok int, place int, cell int")
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) keys of classes that may reach the threshold. Meeting in a prefix loses no pair.
+
+    Of a pair, the smaller set needs only its first ``n - ceil(2t / (1 + t) n) + 1`` shingles. Rows are shuffled once, by
+    shingle and cell, and sorted; pairs of a sorted stretch are formed with array operations, and most are dropped at
+    once by the posterior of their first ``BITS`` MinHash values.
+    """
+    t, most_unlike = threshold, BITS - least_matches(threshold, BITS, 0.5)[0]
+
+    def meet(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tok, cell, key, s1, s2, n, place = rows
+        group = np.cumsum(np.r_[True, (tok[1:] != tok[:-1]) | (cell[1:] >> 1 != cell[:-1] >> 1)])
+        again = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & (cell[1:] == cell[:-1])]
+        if again.any():
+            tok, cell, key, s1, s2, n, place, group = (x[~again] for x in (tok, cell, key, s1, s2, n, place, group))
+        side, s1, s2 = cell & 1, s1.view(np.uint64), s2.view(np.uint64)
+        index = n - np.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+        left, d, found = np.arange(len(key)), 0, []
+        two = np.zeros(group[-1] + 1 if len(group) else 1, bool)
+        two[group[side == 1]] = True
+        while True:
+            d += 1
+            left = left[: np.searchsorted(left, len(key) - d)]
+            left = left[group[left + d] == group[left]]
+            if not len(left):
+                break
+            right = left + d
+            swap = (n[left] > n[right]) | ((n[left] == n[right]) & (key[left] > key[right]))
+            x, y = np.where(swap, right, left), np.where(swap, left, right)
+            nx, ny, px, py = n[x], n[y], place[x], place[y]
+            ok = (px < index[x]) & (nx >= t * ny - 1e-9) & (1 + np.minimum(nx - px, ny - py) - 1 + np.minimum(px, py) >= np.ceil(t / (1 + t) * (nx + ny) - 1e-9)) & (~two[group[left]] | (side[left] != side[right]))
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(s1[x] ^ s1[y]) + np.bitwise_count(s2[x] ^ s2[y]) <= most_unlike
+            if ok.any():
+                found.append(np.stack([key[x[ok]], key[y[ok]]]))
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= 250_000:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                # the last group may go on in the next batch
+                last = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] >> 1 == rows[1][-1] >> 1))[0]
+                if last:
+                    yield from meet([c[:last] for c in rows])
+                held = [[c[last:] for c in rows]]
+        if held:
+            yield from meet([np.concatenate(c) for c in zip(*held)])
+
+    met = prefixes(sets, threshold).select("tok", "cell", "key", "s1", "s2", "n", "place").repartition("tok", F.shiftright("cell", 1)).sortWithinPartitions("tok", "cell", "key")
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 @lru_cache
