@@ -17,7 +17,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +30,10 @@ GREEK_AS = "ovaABEZHIKMNOPTYX"
 #: Other look-alikes of Latin letters, hyphens, and spaces that the compatibility form leaves.
 OTHERS = {"ı": "i", "ɡ": "g", "ɑ": "a", "ӏ": "l", "Ӏ": "I", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "֊": "-"}
 LINE_BREAKS = re.compile("\r\n|[\r\x85  \x0b\x0c]")
+BREAK = re.compile("[\r\x85\u2028\u2029\x0b\x0c]").search
+#: Ignorable characters beyond the basic plane: tags, variation selectors, and format signs of music and shorthand.
+TAGS = re.compile("[\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
+BEYOND = re.compile("[\U00010000-\U0010ffff]").search
 SPACES = {"\t": " ", " ": " ", "᠎": None, "ㅤ": " ", "ᅟ": None, "ᅠ": None, "͏": None}
 #: A joiner between two pictographs makes them one sign and is kept.
 JOINER = re.compile("(?<![‼-㊙\U0001f000-\U0001faff️])‍|‍(?![‼-㊙\U0001f000-\U0001faff])")
@@ -37,10 +41,15 @@ JOINER = re.compile("(?<![‼-㊙\U0001f000-\U0001faff️])‍|‍(?![‼-㊙\U0
 SWITCH, SMOOTH = 12.0, 0.5
 
 
-def ignorable_table() -> dict[int, None]:
+def one_of(characters: Iterable[str]) -> re.Pattern:
+    """A pattern for runs of the characters."""
+    return re.compile("[" + "".join(map(re.escape, sorted(characters))) + "]+")
+
+
+def ignorable() -> re.Pattern:
     """Format and control characters and variation selectors, without joiners, tabs and line breaks."""
-    invisible = [c for c in range(0x20000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\r\x0b\x0c\x85‍"]
-    return dict.fromkeys([*invisible, *range(0xFE00, 0xFE10), *range(0xE0000, 0xE01F0)])
+    invisible = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\r\x0b\x0c\x85‍"]
+    return one_of([*invisible, *map(chr, range(0xFE00, 0xFE10))])
 
 
 def script_of(c: str) -> str:
@@ -49,19 +58,23 @@ def script_of(c: str) -> str:
     return {"LATIN": "L", "GREEK": "G", "CYRILLIC": "C"}.get(name.split(" ")[0], "") if c.isalpha() else ""
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 class Reader:
     """Canonical forms of texts under a table of bigram counts."""
 
     def __init__(self, bigrams: dict[str, int] | None = None):
-        self.ignored = ignorable_table()
+        self.ignored = ignorable()
         to = {ord(a): b for a, b in [*zip(CYRILLIC, CYRILLIC_AS), *zip(GREEK, GREEK_AS), *OTHERS.items(), *SPACES.items()]}
-        self.signs = to
+        self.signs, self.signed = to, one_of(map(chr, to))
         self.readings: dict[str, list[str]] = {}
         for letters, like in ((GREEK, GREEK_AS), (CYRILLIC, CYRILLIC_AS)):
             for a, b in zip(letters, like):
                 self.readings.setdefault(b, [b]).append(a)
         ambiguous = "".join(self.readings)
-        self.doubtful = re.compile(rf"(?<!\w)[{ambiguous}]+(?!\w)|[^\W\d_]*[Ͱ-ԯᲀ-᲏ἀ-῿Ꙁ-ꚟ][^\W\d_]*")
+        self.doubtful = re.compile(rf"\b[{ambiguous}]+\b")
+        self.foreign = re.compile("[Ͱ-ԯᲀ-᲏ἀ-῿Ꙁ-ꚟ]")
         self.bigrams = bigrams or {}
         self.starts = Counter()
         for pair, n in self.bigrams.items():
@@ -72,16 +85,21 @@ class Reader:
         """The compatibility form without ignorable characters."""
         if text.isascii() and text.isprintable():
             return text
-        text = LINE_BREAKS.sub("\n", text)
+        if BREAK(text):
+            text = LINE_BREAKS.sub("\n", text)
+        if BEYOND(text):
+            text = TAGS.sub("", text)
         if "‍" in text:
             text = JOINER.sub("", text)
-        return unicodedata.normalize("NFKC", text.translate(self.ignored))
+        return unicodedata.normalize("NFKC", self.ignored.sub("", text))
 
     def sign_text(self, text: str) -> str:
         """The text in signs: look-alike letters as their Latin member, also under accents."""
         text = self.clean(text)
         if not text.isascii():
-            text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(self.signs))
+            plain = unicodedata.normalize("NFD", text)
+            signs = self.signed.sub(lambda m: m.group().translate(self.signs), plain)
+            text = text if signs == plain else unicodedata.normalize("NFC", signs)
         return text.replace("\t", " ").strip()
 
     def price(self, a: str, b: str) -> float:
@@ -117,10 +135,10 @@ class Reader:
 
     def form(self, text: str) -> str:
         """The canonical form of a text."""
-        return self.doubtful.sub(lambda m: self.read(m.group()), self.sign_text(text))
-
-
-_WORD = re.compile(r"[^\W\d_]+")
+        signs = self.sign_text(text)
+        if not signs.isascii() and self.foreign.search(signs):
+            signs = _WORD.sub(lambda m: self.read(m.group()) if self.foreign.search(m.group()) else m.group(), signs)
+        return self.doubtful.sub(lambda m: self.known.get(m.group()) or self.read(m.group()), signs)
 
 
 def bigram_counts(rows: DataFrame, text: str) -> dict[str, int]:
