@@ -23,12 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from textwerk.operators.durable import Workspace
 
 #: Slots of the count sketch: a broadcast of 4 bytes each, whatever the size of the collection.
 SLOTS = 1 << 20
+#: Turns in which the shingles are taken: each shuffles its share of the prefixes and frees it.
+TURNS = 2
 #: Rows of a block of a hot shingle.
 BLOCK = 4096
 #: One-bit MinHash values that are compared where prefixes meet.
@@ -76,24 +79,27 @@ def shingle_set(words: list[str], size: int, hashes: WordHash) -> np.ndarray:
 
 
 def shingled(rows: DataFrame, text: str, row_id: str, size: int, least_words: int) -> DataFrame:
-    """(row_id, key, n, set): one row for each text that has enough words; equal sets have equal keys."""
+    """(row_id, key, s1, s2, set): one row for each text that has enough words; equal sets have equal keys, s1 and s2 are one-bit MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, schema = WordHash(), pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("set", pa.binary())])
+        hashes = WordHash()
         for batch in batches:
-            ids, keys, ns, sets = [], [], [], []
+            ids, keys, sets = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORD.findall(t.lower())
                 if len(words) >= least_words:
                     raw = (s := shingle_set(words, size, hashes)).tobytes()
                     if len(s):
-                        ids.append(i), keys.append(xxhash.xxh64_intdigest(raw) - (1 << 63)), ns.append(len(s)), sets.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(sets, pa.binary())], schema=schema)
+                        ids.append(i), keys.append(xxhash.xxh64_intdigest(raw) - (1 << 63)), sets.append(raw)
+            if ids:
+                n = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
+                bits = one_bits(np.frombuffer(b"".join(sets), np.uint32), np.cumsum(n) - n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits[0]), pa.array(bits[1]), pa.array(sets, pa.binary())], names=["row_id", "key", "s1", "s2", "set"])
 
     source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").cast("string").alias("text")).where("row_id is not null and text is not null")
-    return source.mapInArrow(run, "row_id bigint, key bigint, n int, set binary")
+    return source.mapInArrow(run, "row_id bigint, key bigint, s1 bigint, s2 bigint, set binary")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -119,13 +125,13 @@ def needed(t: float, a: int, b: int) -> int:
     return math.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(tok, cell, key, s1, s2, n, place): the rare end of each set, by shingle, with the set's one-bit MinHash values.
+def prefixes(sets: DataFrame, threshold: float, counts: Broadcast, turn: int, turns: int) -> DataFrame:
+    """(met, at, key, s1, s2): the rare end of each set, a row for each shingle of this turn, with the set's one-bit MinHash values.
 
-    Rows of a shingle that is counted often are dealt to blocks, and each pair of blocks is a cell of its own, so that no
-    group of rows exceeds about ``2 * BLOCK``. ``cell`` is twice the cell's number, plus one for rows of its second block.
+    Rows meet by ``met``, the shingle and a cell. Rows of a shingle that is counted often are dealt to blocks, and each pair of blocks
+    is a cell of its own, so that no group exceeds about ``2 * BLOCK`` rows. ``at`` holds the size of the set, the
+    shingle's place in it, and whether the row is of its cell's second block.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -134,53 +140,52 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
             fresh = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in seen and (len(seen) >= 1_000_000 or not seen.add(k))]
             if not fresh:
                 continue
-            keys, raws = batch.column(0).take(pa.array(fresh)).to_numpy(), batch.column(1).take(pa.array(fresh)).to_pylist()
+            keys, s1, s2 = (batch.column(c).take(pa.array(fresh)).to_numpy() for c in (0, 1, 2))
+            raws = batch.column(3).take(pa.array(fresh)).to_pylist()
             n = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
             flat = np.frombuffer(b"".join(raws), np.uint32)
             doc = np.repeat(np.arange(len(n)), n)
-            start = np.cumsum(n) - n
             c = counts.value[flat % SLOTS]
             order = np.lexsort((flat, c, doc))
-            place = np.arange(len(flat)) - start[doc]
-            at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1))  # a slot counted once has no partner
-            bits = one_bits(flat, start)
-            seen_often = c[order[at]]
-            cell = np.zeros(len(at), np.int32)
-            hot = np.flatnonzero(seen_often > 2 * BLOCK)
+            place = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
+            # a slot counted once has no partner
+            at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1) & (flat[order] % turns == turn))
+            count, cell, side = c[order[at]], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            hot = np.flatnonzero(count > 2 * BLOCK)
             if len(hot):
-                rows, cells = [np.flatnonzero(seen_often <= 2 * BLOCK)], [np.zeros(len(at) - len(hot), np.int32)]
+                cold = np.flatnonzero(count <= 2 * BLOCK)
+                rows, cells, sides = [cold], [cell[cold]], [side[cold]]
                 for r in hot.tolist():
-                    blocks = -(-int(seen_often[r]) // BLOCK)
-                    own = int(mixed(keys[doc[at[r]]].astype(np.uint64)[None])[0] % np.uint64(blocks))
-                    other = np.arange(blocks)
-                    rows.append(np.full(blocks, r)), cells.append((2 * (np.minimum(own, other) * blocks + np.maximum(own, other)) + (own > other)).astype(np.int32))
-                at, cell = at[np.concatenate(rows)], np.concatenate(cells)
+                    blocks = -(-int(count[r]) // BLOCK)
+                    own, other = int(mixed(keys[doc[at[r]]].astype(np.uint64)[None])[0] % np.uint64(blocks)), np.arange(blocks)
+                    rows.append(np.full(blocks, r)), cells.append(np.minimum(own, other) * blocks + np.maximum(own, other)), sides.append((own > other).astype(np.int64))
+                at, cell, side = at[np.concatenate(rows)], np.concatenate(cells), np.concatenate(sides)
             d = doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[d], bits[0][d], bits[1][d], n[d].astype(np.int32), flat[order[at]].view(np.int32), place[at].astype(np.int32), cell)], names=["key", "s1", "s2", "n", "tok", "place", "cell"])
+            met, where = (flat[order[at]].astype(np.int64) << 31) | cell, (n[d] << 32) | (place[at] << 1) | side
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (met, where, keys[d], s1[d], s2[d])], names=["met", "at", "key", "s1", "s2"])
 
-    return sets.select("key", "set").mapInArrow(run, "key bigint, s1 bigint, s2 bigint, n int, tok int, place int, cell int")
+    return sets.select("key", "s1", "s2", "set").mapInArrow(run, "met bigint, at bigint, key bigint, s1 bigint, s2 bigint")
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TURNS) -> DataFrame:
     """(a, b) keys of classes that may reach the threshold. Meeting in a prefix loses no pair.
 
     Of a pair, the smaller set needs only its first ``n - ceil(2t / (1 + t) n) + 1`` shingles. Rows are shuffled once, by
     shingle and cell, and sorted; pairs of a sorted stretch are formed with array operations, and most are dropped at
-    once by the posterior of their first ``BITS`` MinHash values.
+    once by the posterior of their first ``BITS`` MinHash values. Shingles take ``turns``, which bounds the disk in use.
     """
     t, most_unlike = threshold, BITS - least_matches(threshold, BITS, 0.5)[0]
 
     def meet(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tok, cell, key, s1, s2, n, place = rows
-        group = np.cumsum(np.r_[True, (tok[1:] != tok[:-1]) | (cell[1:] >> 1 != cell[:-1] >> 1)])
-        again = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & (cell[1:] == cell[:-1])]
-        if again.any():
-            tok, cell, key, s1, s2, n, place, group = (x[~again] for x in (tok, cell, key, s1, s2, n, place, group))
-        side, s1, s2 = cell & 1, s1.view(np.uint64), s2.view(np.uint64)
+        met, at, key, s1, s2 = rows
+        group = np.cumsum(np.r_[True, met[1:] != met[:-1]])
+        again = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
+        group, at, key, s1, s2 = group[~again], at[~again], key[~again], s1[~again].view(np.uint64), s2[~again].view(np.uint64)
+        side, place, n = at & 1, (at & 0xFFFFFFFF) >> 1, at >> 32
         index = n - np.ceil(2 * t / (1 + t) * n - 1e-9) + 1
-        left, d, found = np.arange(len(key)), 0, []
-        two = np.zeros(group[-1] + 1 if len(group) else 1, bool)
+        two = np.zeros(group[-1] + 1, bool)
         two[group[side == 1]] = True
+        left, d, found = np.arange(len(key)), 0, []
         while True:
             d += 1
             left = left[: np.searchsorted(left, len(key) - d)]
@@ -191,7 +196,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
             swap = (n[left] > n[right]) | ((n[left] == n[right]) & (key[left] > key[right]))
             x, y = np.where(swap, right, left), np.where(swap, left, right)
             nx, ny, px, py = n[x], n[y], place[x], place[y]
-            ok = (px < index[x]) & (nx >= t * ny - 1e-9) & (1 + np.minimum(nx - px, ny - py) - 1 + np.minimum(px, py) >= np.ceil(t / (1 + t) * (nx + ny) - 1e-9)) & (~two[group[left]] | (side[left] != side[right]))
+            ok = (px < index[x]) & (nx >= t * ny - 1e-9) & (np.minimum(nx - px, ny - py) + np.minimum(px, py) >= np.ceil(t / (1 + t) * (nx + ny) - 1e-9)) & (~two[group[left]] | (side[left] != side[right]))
             x, y = x[ok], y[ok]
             ok = np.bitwise_count(s1[x] ^ s1[y]) + np.bitwise_count(s2[x] ^ s2[y]) <= most_unlike
             if ok.any():
@@ -207,16 +212,21 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
                 held.append([c.to_numpy() for c in batch.columns])
             if sum(len(h[0]) for h in held) >= 250_000:
                 rows = [np.concatenate(c) for c in zip(*held)]
-                # the last group may go on in the next batch
-                last = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] >> 1 == rows[1][-1] >> 1))[0]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
                 if last:
                     yield from meet([c[:last] for c in rows])
                 held = [[c[last:] for c in rows]]
         if held:
             yield from meet([np.concatenate(c) for c in zip(*held)])
 
-    met = prefixes(sets, threshold).select("tok", "cell", "key", "s1", "s2", "n", "place").repartition("tok", F.shiftright("cell", 1)).sortWithinPartitions("tok", "cell", "key")
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    counts = ws.spark.sparkContext.broadcast(shingle_counts(sets))
+    parts = None
+    for turn in range(turns):
+        ws.release()
+        met = prefixes(sets, threshold, counts, turn, turns).repartition("met").sortWithinPartitions("met", "key")
+        part = ws.save(met.mapInArrow(run, "a bigint, b bigint").distinct())
+        parts = part if parts is None else parts.union(part)
+    return parts.distinct()
 
 
 @lru_cache
@@ -316,7 +326,7 @@ def near_classes(rows: DataFrame, text: str = "text", row_id: str = "row_id", th
     """
     ws = Workspace(rows.sparkSession)
     sets = ws.save(shingled(rows, text, row_id, size, least_words))
-    pairs = ws.save(candidates(sets, threshold))
+    pairs = ws.save(candidates(ws, sets, threshold))
     ws.release()
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = ws.save(sets.select("key", "set").join(keys, "key", "left_semi").dropDuplicates(["key"]))
