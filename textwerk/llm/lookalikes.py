@@ -29,14 +29,14 @@ GREEK = "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_AS = "ovaABEZHIKMNOPTYX"
 #: Other look-alikes of Latin letters, hyphens, and spaces that the compatibility form leaves.
 OTHERS = {"ı": "i", "ɡ": "g", "ɑ": "a", "ӏ": "l", "Ӏ": "I", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "֊": "-"}
-LINE_BREAKS = re.compile("\r\n|[\r\x85  \x0b\x0c]")
+LINE_BREAKS = re.compile("\r\n|[\r\x85\u2028\u2029\x0b\x0c]")
 BREAK = re.compile("[\r\x85\u2028\u2029\x0b\x0c]").search
 #: Ignorable characters beyond the basic plane: tags, variation selectors, and format signs of music and shorthand.
 TAGS = re.compile("[\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 BEYOND = re.compile("[\U00010000-\U0010ffff]").search
-SPACES = {"\t": " ", " ": " ", "᠎": None, "ㅤ": " ", "ᅟ": None, "ᅠ": None, "͏": None}
+SPACES = {"\t": " ", "\u1680": " ", "\u180e": None, "\u3164": " ", "\u115f": None, "\u1160": None, "\u034f": None}
 #: A joiner between two pictographs makes them one sign and is kept.
-JOINER = re.compile("(?<![‼-㊙\U0001f000-\U0001faff️])‍|‍(?![‼-㊙\U0001f000-\U0001faff])")
+JOINER = re.compile("(?<![\u203c-\u3299\U0001f000-\U0001faff\ufe0f])\u200d|\u200d(?![\u203c-\u3299\U0001f000-\U0001faff])")
 #: Price of a change of script within a word, in nats; additive smoothing of bigram counts.
 SWITCH, SMOOTH = 12.0, 0.5
 
@@ -48,7 +48,7 @@ def one_of(characters: Iterable[str]) -> re.Pattern:
 
 def ignorable() -> re.Pattern:
     """Format and control characters and variation selectors, without joiners, tabs and line breaks."""
-    invisible = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\r\x0b\x0c\x85‍"]
+    invisible = [chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and chr(c) not in "\t\n\r\x0b\x0c\x85\u200d"]
     return one_of([*invisible, *map(chr, range(0xFE00, 0xFE10))])
 
 
@@ -89,7 +89,7 @@ class Reader:
             text = LINE_BREAKS.sub("\n", text)
         if BEYOND(text):
             text = TAGS.sub("", text)
-        if "‍" in text:
+        if "\u200d" in text:
             text = JOINER.sub("", text)
         return unicodedata.normalize("NFKC", self.ignored.sub("", text))
 

@@ -11,6 +11,7 @@ from textwerk.llm.families import families, split_rows
 from textwerk.llm.lookalikes import form_classes, forms, unlike_pairs
 from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.packing import packed
+from textwerk.llm.prose import judged, text_statistics
 from textwerk.llm.tokens import encoded, token_counts
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import Workspace, table
@@ -69,6 +70,14 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_rows(table(spark, d, "combined_csv"))
 
 
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return judged(Workspace(spark).save(text_statistics(table(spark, d, "combined_csv"))))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_statistics(spark, d).where("not_prose").select("row_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
 
@@ -86,7 +95,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p8_ids, p9_packing, p10_found, p10_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
