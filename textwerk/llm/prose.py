@@ -76,25 +76,27 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
     return {g: frozenset(r["word"] for r in found if r["lang"] == g) for g in totals}
 
 
-def line_shares(text: str, common: frozenset[str]) -> list[tuple[str, int, int, int]]:
-    """(line, characters that are not space, words, common words) of the lines that have such characters."""
-    out = []
+Line = tuple[str, int, int, int, int]
+
+
+def line_shares(text: str, common: frozenset[str]) -> list[Line]:
+    """(line, characters that are not space, words, common words, characters of words) of the lines that have such characters."""
+    out, known = [], common.__contains__
     for line in LINE.findall(text):
         if n := sum(map(len, line.split())):
             words = WORD.findall(line.lower())
-            out.append((line, n, len(words), sum(map(common.__contains__, words))))
+            out.append((line, n, len(words), sum(map(known, words)), sum(map(len, words))))
     return out
 
 
-def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[str], int, int]:
+def prose_of(lines: list[Line], least: float) -> tuple[list[str], int, int]:
     """(lines of prose, their characters, all characters).
 
     Short lines have too few words to judge by themselves; they are judged with the lines around them that are as short.
     """
-    lines = line_shares(text, common)
-    repeats = Counter(line for line, *_ in lines) if len(lines) >= REPEATED else {}
+    repeats = Counter(line[0] for line in lines) if len(lines) >= REPEATED else {}
     prose, good, total = [], 0, 0
-    for k, (line, n, words, known) in enumerate(lines):
+    for k, (line, n, words, known, _) in enumerate(lines):
         total += n
         if repeats and repeats[line] >= REPEATED:
             continue
@@ -108,6 +110,11 @@ def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[s
     return prose, good, total
 
 
+def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[str], int, int]:
+    """:func:`prose_of` the lines of a text."""
+    return prose_of(line_shares(text, common), least)
+
+
 def statistics_of(text: str | None, common: frozenset[str], least: float) -> tuple | None:
     """The statistics of a text in the order of ``STATISTICS``; nothing for null and letterless texts.
 
@@ -115,16 +122,16 @@ def statistics_of(text: str | None, common: frozenset[str], least: float) -> tup
     texts with 20 or more, else null; ``symbol_share`` is the share of characters that are neither letters, digits nor white space;
     ``end_mark_share`` the share of lines that end in a mark.
     """
-    if not text or not WORD.search(text):
+    lines = line_shares(text, common) if text else []
+    words = sum(x[2] for x in lines)
+    if not words:
         return None
     tokens = text.split()
-    lines = [x for x in (line.strip() for line in LINE.findall(text)) if x]
-    words = WORD.findall(text.lower())
-    _, good, total = prose_lines(text, common, least)
-    inside = sum(map(len, WORD.findall(text)))
-    visible = sum(map(len, tokens))
-    ttr = len({t.lower() for t in tokens[:200]}) / min(200, len(tokens)) if len(tokens) >= 20 else None
-    return (len(tokens), ttr, visible / len(tokens), (visible - inside) / len(text), sum(x.endswith(END) for x in lines) / len(lines), sum(map(common.__contains__, words)) / len(words), good / total if total else 0.0)
+    _, good, total = prose_of(lines, least)
+    first = [t.lower() for t in tokens[:200]]
+    ttr = len(set(first)) / len(first) if len(tokens) >= 20 else None
+    ended = sum(x[0].rstrip().endswith(END) for x in lines)
+    return (len(tokens), ttr, total / len(tokens), max(0, total - sum(x[4] for x in lines)) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwerk.llm.components import peeled_components
 from textwerk.llm.families import families, split_rows
+from textwerk.llm.levels import disagreeing, reading_levels
 from textwerk.llm.lookalikes import form_classes, forms, unlike_pairs
 from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.packing import packed
 from textwerk.llm.prose import judged, text_statistics
+from textwerk.llm.subjects import dealt_with, text_subjects
 from textwerk.llm.tokens import encoded, token_counts
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import Workspace, table
@@ -70,6 +72,23 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_rows(table(spark, d, "combined_csv"))
 
 
+def p4_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "combined_csv"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return disagreeing(p4_levels(spark, d))
+
+
+def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return text_subjects(table(spark, d, "combined_csv"), table(spark, d, "topics_top_words_de"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    missing = table(spark, d, "combined_csv").where("topic is null").select("row_id")
+    return dealt_with(p6_subjects(spark, d)).join(missing, "row_id", "left_semi")
+
+
 def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return judged(Workspace(spark).save(text_statistics(table(spark, d, "combined_csv"))))
 
@@ -95,7 +114,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_splits, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_levels, p5_found, p5_splits, p6_found, p6_subjects, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
