@@ -27,7 +27,7 @@ KNOWN_WORDS = 150_000
 #: Fixed value: the public pattern that cuts text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: characters with the Unicode property White_Space.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Finds a character beyond the basic plane.
 BEYOND = re.compile("[\U00010000-\U0010ffff]").search
 _NEVER = np.int64(1) << 40
