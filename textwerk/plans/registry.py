@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from textwerk.plans import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(corpus.QUERIES)
+SQL: dict[str, str] = dict(corpus.SQL)
