@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textwerk.llm.families import level_of
-from textwerk.llm.prose import WORD, common_words, language, least_share, prose_lines
+from textwerk.llm.prose import common_words, language, least_share, prose_lines
+from textwerk.operators.durable import Workspace
 
 #: Fixed value: the scale.
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
@@ -30,13 +31,13 @@ LABEL = (0.85, 0.06, 0.01)
 #: A text disagrees with its label if they are so many levels apart, rounded to whole levels.
 APART = 3
 
-Model = dict[str, np.ndarray]
+Model = tuple[dict[str, int], np.ndarray]
 
 
 def words_of(text: str, common: frozenset[str], least: float) -> list[str]:
     """The words of a text's lines of prose."""
     lines, _, _ = prose_lines(text, common, least)
-    return [w for line in lines for w in WORD.findall(line.lower())]
+    return [w for line in lines for w in line[2]]
 
 
 def label_prior() -> np.ndarray:
@@ -46,65 +47,77 @@ def label_prior() -> np.ndarray:
     return np.log(p / p.sum(1, keepdims=True))
 
 
-def evidence(words: set[str], model: Model) -> np.ndarray:
-    """Log likelihood of the six levels, up to a constant, of the words that occur."""
-    known = [model[w] for w in words if w in model]
-    return np.sum(known, axis=0) / TEMPER if known else np.zeros(6)
+def evidence(texts: list[set[str]], model: Model) -> np.ndarray:
+    """Log likelihood of the six levels for each text, up to a constant, of the model words that occur in it."""
+    at, rates = model
+    ids = [[at[w] for w in words if w in at] for words in texts]
+    logs = np.zeros((len(texts), 6))
+    np.add.at(logs, np.repeat(np.arange(len(texts)), [len(i) for i in ids]), rates[[k for i in ids for k in i]] if at else np.zeros((0, 6)))
+    return logs / TEMPER
 
 
-def posterior(log: np.ndarray) -> np.ndarray:
-    """Chances from logs."""
-    p = np.exp(log - log.max())
-    return p / p.sum()
+def posterior(logs: np.ndarray) -> np.ndarray:
+    """Chances from logs, row by row."""
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
-def fit(rows: DataFrame, text: str, row_id: str, level: str, prose: tuple[dict, dict], lang: Column | None) -> Model:
-    """Centred log occurrence of each model word at the six levels."""
+def fit(ws: Workspace, rows: DataFrame, text: str, row_id: str, level: str, prose: tuple[dict, dict], lang: Column | None) -> Model:
+    """The places of the model words, and their centred log occurrence at the six levels."""
+    spark, nothing = ws.spark, ({}, np.zeros((0, 6)))
     labelled = rows.select(F.col(f"`{row_id}`").alias("id"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), level_of(F.col(f"`{level}`")).alias("level")).where("text is not null and level is not null")
     n = labelled.count()
     if not n:
-        return {}
-    spark = rows.sparkSession
+        return nothing
     steps = 1 << 20
     chosen = labelled.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(steps)) < F.lit(min(steps, int(steps * FIT_ROWS / n) + 1)))
     chosen = chosen.select("lang", "text", (F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")) - 1).cast("int").alias("rank"))
     known = spark.sparkContext.broadcast(prose)
-    prior, model = label_prior(), {}
-    for _ in range(ALTERNATIONS):
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, least = known.value
+        for batch in batches:
+            found = [sorted({"", *w}) if len(w := words_of(t, common.get(g, frozenset()), least.get(g, 0.0))) >= FIT_WORDS else None for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keep = [k for k, f in enumerate(found) if f]
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.string()))], names=["rank", "words"])
+
+    cut_once = ws.save(chosen.mapInArrow(cut, "rank int, words array<string>"))
+    prior, model = label_prior(), nothing
+    columns = [f"l{k}" for k in range(6)]
+    for turn in range(ALTERNATIONS):
         current = spark.sparkContext.broadcast(model)
 
-        def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[str, np.ndarray] = {}
-            common, least = known.value
-            for pdf in frames:
-                for g, t, r in zip(pdf["lang"], pdf["text"], pdf["rank"]):
-                    words = words_of(t, common.get(g, frozenset()), least.get(g, 0.0))
-                    if len(words) < FIT_WORDS:
-                        continue
-                    p = posterior(prior[r] + evidence(set(words), current.value)) if current.value else np.eye(6)[r]
-                    for w in {"", *words}:
-                        if w in sums:
-                            sums[w] += p
-                        else:
-                            sums[w] = p.copy()
-            if sums:
-                yield pd.DataFrame(np.stack([*sums.values()]), columns=[f"l{k}" for k in range(6)]).assign(word=list(sums))
-
-        summed = chosen.mapInPandas(occurrences, ", ".join(f"l{k} double" for k in range(6)) + ", word string").groupBy("word").agg(*[F.sum(f"l{k}").alias(f"l{k}") for k in range(6)])
-        total = sum(F.col(f"l{k}") for k in range(6))
-        base = summed.where("word = ''").toPandas()
-        if base.empty:
-            return {}
-        texts = base[[f"l{k}" for k in range(6)]].to_numpy()[0]
-        found = summed.where((F.col("word") != "") & ~F.col("word").rlike(r"^\d+$") & (total >= max(3.0, MODEL_SHARE * texts.sum()))).toPandas()
-        rate = np.log((found[[f"l{k}" for k in range(6)]].to_numpy() + 0.5) / (texts + 1.0))
-        model = dict(zip(found["word"], rate - rate.mean(1, keepdims=True)))
+        def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids: dict[str, int] = {}
+            sums = np.zeros((0, 6))
+            for batch in batches:
+                ranks, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                if not len(ranks):
+                    continue
+                p = posterior(prior[ranks] + evidence(texts, current.value)) if turn else np.eye(6)[ranks]
+                flat = np.array([ids.setdefault(w, len(ids)) for words in texts for w in words])
+                text = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+                part = np.stack([np.bincount(flat, p[text, k], len(ids)) for k in range(6)], axis=1)
+                part[: len(sums)] += sums
+                sums = part
+            yield pa.RecordBatch.from_arrays([*(pa.array(sums[:, k]) for k in range(6)), pa.array(list(ids), pa.string())], names=[*columns, "word"])
+
+        summed = ws.save(cut_once.mapInArrow(occurrences, ", ".join(f"{c} double" for c in columns) + ", word string").groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]))
+        total = sum(F.col(c) for c in columns)
+        base = summed.where("word = ''").collect()
+        if not base:
+            return nothing
+        texts = np.array([base[0][c] for c in columns])
+        found = summed.where((F.col("word") != "") & ~F.col("word").rlike(r"^\d+$") & (total >= max(3.0, MODEL_SHARE * texts.sum()))).orderBy("word").collect()
+        rate = np.log((np.array([[r[c] for c in columns] for r in found]).reshape(-1, 6) + 0.5) / (texts + 1.0))
+        model = ({r["word"]: k for k, r in enumerate(found)}, rate - rate.mean(1, keepdims=True))
     return model
 
 
 def word_difficulty(model: Model) -> dict[str, float]:
     """The place of each word on the scale, 0 to 5: the mean of its occurrence over the levels."""
-    return {w: float((np.exp(r) * np.arange(6)).sum() / np.exp(r).sum()) for w, r in model.items()}
+    at, rates = model
+    return {w: float((np.exp(rates[k]) * np.arange(6)).sum() / np.exp(rates[k]).sum()) for w, k in at.items()}
 
 
 def reading_levels(rows: DataFrame, text: str = "text", row_id: str = "row_id", level: str = "cefr_level", lang: Column | None = None) -> DataFrame:
@@ -116,21 +129,21 @@ def reading_levels(rows: DataFrame, text: str = "text", row_id: str = "row_id",
     common = common_words(rows, text, lang)
     prose = (common, least_share(rows, common, text, lang))
     context = rows.sparkSession.sparkContext
-    known, model = context.broadcast(prose), context.broadcast(fit(rows, text, row_id, level, prose, lang))
+    known, model = context.broadcast(prose), context.broadcast(fit(Workspace(rows.sparkSession), rows, text, row_id, level, prose, lang))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, least = known.value
-        for pdf in frames:
-            out = []
-            for g, t in zip(pdf["lang"], pdf["text"]):
-                words = words_of(t, common.get(g, frozenset()), least.get(g, 0.0)) if t else []
-                log = evidence(set(words), model.value)
-                out.append((len(words), float((posterior(log) * np.arange(6)).sum()) if len(words) >= LEAST_WORDS and log.any() else None))
-            yield pd.DataFrame({"row_id": pdf["row_id"], "n_words": [o[0] for o in out], "label_rank": pdf["label_rank"].astype("Int32"), "reading": pd.array([o[1] for o in out], "Float64")})
+        for batch in batches:
+            words = [words_of(t, common.get(g, frozenset()), least.get(g, 0.0)) if t else [] for g, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            n = np.array([len(w) for w in words], np.int32)
+            logs = evidence([set(w) for w in words], model.value)
+            reading = posterior(logs) @ np.arange(6) if len(n) else np.zeros(0)
+            missing = (n < LEAST_WORDS) | ~logs.any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), batch.column(3), pa.array(reading, pa.float64(), mask=missing)], names=["row_id", "n_words", "label_rank", "reading"])
 
     rank = (F.array_position(F.array(*map(F.lit, LEVELS)), level_of(F.col(f"`{level}`"))) - 1).cast("int")
     source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), rank.alias("label_rank")).where("row_id is not null")
-    return source.mapInPandas(place, "row_id bigint, n_words int, label_rank int, reading double")
+    return source.mapInArrow(place, "row_id bigint, n_words int, label_rank int, reading double")
 
 
 def disagreeing(levels: DataFrame) -> DataFrame:

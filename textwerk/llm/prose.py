@@ -76,41 +76,42 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
     return {g: frozenset(r["word"] for r in found if r["lang"] == g) for g in totals}
 
 
-Line = tuple[str, int, int, int, int]
+Line = tuple[str, int, list[str], int]
 
 
 def line_shares(text: str, common: frozenset[str]) -> list[Line]:
-    """(line, characters that are not space, words, common words, characters of words) of the lines that have such characters."""
+    """(line, characters that are not space, lower-cased words, number of common words) of the lines that have such characters."""
     out, known = [], common.__contains__
     for line in LINE.findall(text):
         if n := sum(map(len, line.split())):
             words = WORD.findall(line.lower())
-            out.append((line, n, len(words), sum(map(known, words)), sum(map(len, words))))
+            out.append((line, n, words, sum(map(known, words))))
     return out
 
 
-def prose_of(lines: list[Line], least: float) -> tuple[list[str], int, int]:
+def prose_of(lines: list[Line], least: float) -> tuple[list[Line], int, int]:
     """(lines of prose, their characters, all characters).
 
     Short lines have too few words to judge by themselves; they are judged with the lines around them that are as short.
     """
     repeats = Counter(line[0] for line in lines) if len(lines) >= REPEATED else {}
     prose, good, total = [], 0, 0
-    for k, (line, n, words, known, _) in enumerate(lines):
+    for k, (line, n, own, known) in enumerate(lines):
         total += n
+        words = len(own)
         if repeats and repeats[line] >= REPEATED:
             continue
         if 0 < words < 6:
             for near in (k - 1, k + 1):
-                if 0 <= near < len(lines) and lines[near][2] < 12:
-                    words, known = words + lines[near][2], known + lines[near][3]
+                if 0 <= near < len(lines) and len(lines[near][2]) < 12:
+                    words, known = words + len(lines[near][2]), known + lines[near][3]
         if known and (known >= least * words or words <= 8 and MARKED(line)):
-            prose.append(line)
+            prose.append(lines[k])
             good += n
     return prose, good, total
 
 
-def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[str], int, int]:
+def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[Line], int, int]:
     """:func:`prose_of` the lines of a text."""
     return prose_of(line_shares(text, common), least)
 
@@ -123,7 +124,7 @@ def statistics_of(text: str | None, common: frozenset[str], least: float) -> tup
     ``end_mark_share`` the share of lines that end in a mark.
     """
     lines = line_shares(text, common) if text else []
-    words = sum(x[2] for x in lines)
+    words = sum(len(x[2]) for x in lines)
     if not words:
         return None
     tokens = text.split()
@@ -131,7 +132,7 @@ def statistics_of(text: str | None, common: frozenset[str], least: float) -> tup
     first = [t.lower() for t in tokens[:200]]
     ttr = len(set(first)) / len(first) if len(tokens) >= 20 else None
     ended = sum(x[0].rstrip().endswith(END) for x in lines)
-    return (len(tokens), ttr, total / len(tokens), max(0, total - sum(x[4] for x in lines)) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
+    return (len(tokens), ttr, total / len(tokens), max(0, total - sum(len(w) for x in lines for w in x[2])) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
