@@ -85,8 +85,7 @@ def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    missing = table(spark, d, "combined_csv").where("topic is null").select("row_id")
-    return dealt_with(p6_subjects(spark, d)).join(missing, "row_id", "left_semi")
+    return dealt_with(text_subjects(table(spark, d, "combined_csv"), table(spark, d, "topics_top_words_de"), asked=F.col("topic").isNull()))
 
 
 def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
