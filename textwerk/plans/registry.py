@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwerk.plans import corpus
+from textwerk.plans import corpus, stats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(corpus.QUERIES)
-SQL: dict[str, str] = dict(corpus.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | stats.QUERIES
+SQL: dict[str, str] = corpus.SQL | stats.SQL
