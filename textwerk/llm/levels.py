@@ -21,7 +21,7 @@ from textwerk.operators.durable import Workspace
 #: Fixed value: the scale.
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
 #: Labelled texts in the fit, at most; alternations; words of prose a text needs for the fit and to be placed.
-FIT_ROWS, ALTERNATIONS, FIT_WORDS, LEAST_WORDS = 40_000, 3, 20, 50
+FIT_ROWS, ALTERNATIONS, FIT_WORDS, LEAST_WORDS = 25_000, 3, 20, 50
 #: A word belongs to the model if it is in this share of the fitted texts; there can be at most words a text / share of them.
 MODEL_SHARE = 0.003
 #: Words of a sentence come together: evidence counts as that of one in so many words.

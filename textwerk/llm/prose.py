@@ -19,9 +19,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textwerk.operators.durable import Workspace
+
 WORD = re.compile(r"[^\W_]+")
 LINE = re.compile("[^\n\r\x85\u2028\u2029]+")
-#: A common word is in this share of a language's texts at least, and in lower case in this share of those.
+#: A common word is in lower case in this share of a language's texts at least, and that in this share of all its spellings.
 COMMON_SHARE, LOWER_SHARE = 0.002, 0.5
 #: At most so many common words a language; with the shares above there can be no more than the mean text length / COMMON_SHARE.
 MOST_COMMON = 20_000
@@ -54,25 +56,27 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, seen, low = Counter(), {}, {}
+        texts, seen = Counter(), {}
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = set(WORD.findall(t))
-                if own:
+                if own := set(WORD.findall(t)):
                     texts[g] += 1
-                    folded = {w.lower() for w in own}
-                    seen.setdefault(g, Counter()).update(folded)
-                    low.setdefault(g, Counter()).update(folded & own)
-        out = [(g, "", n, n) for g, n in texts.items()] + [(g, w, n, low[g][w]) for g, c in seen.items() for w, n in c.items() if not w.isdigit() and 2 * low[g][w] > 0]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "word", "n", "low"])
+                    seen.setdefault(g, Counter()).update(own)
+        out = [(g, "", n, n) for g, n in texts.items()]
+        for g, counts in seen.items():
+            low, other = Counter(), Counter()
+            for w, n in counts.items():
+                (low if (folded := w.lower()) == w else other)[folded] += n
+            out += [(g, w, n, other[w]) for w, n in low.items() if not w.isdigit()] + [(g, w, 0, n) for w, n in other.items() if w not in low]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "word", "low", "other"])
 
     source = rows.select(language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    counts = source.mapInArrow(run, "lang string, word string, n bigint, low bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
-    totals = {r["lang"]: r["n"] for r in counts.where("word = ''").collect()}
+    counts = Workspace(rows.sparkSession).save(source.mapInArrow(run, "lang string, word string, low bigint, other bigint").groupBy("lang", "word").agg(F.sum("low").alias("low"), F.sum("other").alias("other")))
+    totals = {r["lang"]: r["low"] for r in counts.where("word = ''").collect()}
     if not totals:
         return {}
     limit = F.coalesce(*[F.when(F.col("lang") == g, F.lit(float(max(1.0, COMMON_SHARE * n)))) for g, n in totals.items()])
-    found = counts.where((F.col("word") != "") & (F.col("n") >= limit) & (F.col("low") >= LOWER_SHARE * F.col("n"))).orderBy(F.desc("n"), "lang", "word").limit(MOST_COMMON * len(totals)).collect()
+    found = counts.where((F.col("word") != "") & (F.col("low") >= limit) & (F.col("low") >= LOWER_SHARE * (F.col("low") + F.col("other")))).orderBy(F.desc("low"), "lang", "word").limit(MOST_COMMON * len(totals)).collect()
     return {g: frozenset(r["word"] for r in found if r["lang"] == g) for g in totals}
 
 
@@ -80,10 +84,11 @@ Line = tuple[str, int, list[str], int]
 
 
 def line_shares(text: str, common: frozenset[str]) -> list[Line]:
-    """(line, characters that are not space, lower-cased words, number of common words) of the lines that have such characters."""
+    """(line, characters that are not blanks, lower-cased words, number of common words) of the lines that have such characters."""
     out, known = [], common.__contains__
     for line in LINE.findall(text):
-        if n := sum(map(len, line.split())):
+        if not line.isspace():
+            n = len(line) - line.count(" ")
             words = WORD.findall(line.lower())
             out.append((line, n, words, sum(map(known, words))))
     return out
@@ -129,10 +134,11 @@ def statistics_of(text: str | None, common: frozenset[str], least: float) -> tup
         return None
     tokens = text.split()
     _, good, total = prose_of(lines, least)
+    visible = sum(map(len, tokens))
     first = [t.lower() for t in tokens[:200]]
     ttr = len(set(first)) / len(first) if len(tokens) >= 20 else None
     ended = sum(x[0].rstrip().endswith(END) for x in lines)
-    return (len(tokens), ttr, total / len(tokens), max(0, total - sum(len(w) for x in lines for w in x[2])) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
+    return (len(tokens), ttr, visible / len(tokens), max(0, visible - sum(len(w) for x in lines for w in x[2])) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
