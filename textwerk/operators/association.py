@@ -9,10 +9,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textwerk.operators.durable import Workspace
+
 
 def cells_of(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., x, y, n) counts of rows with both values."""
-    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    """(by..., x, y, n) counts of rows with both values.
+
+    The cells are written once, since every statistic reads them several times and the data behind them should be read only once.
+    """
+    counted = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    return Workspace(rows.sparkSession).save(counted)
 
 
 def grid(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from textwerk.operators.durable import Workspace
+
 
 def confusion(predictions: DataFrame, by: Sequence[str] = (), truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """Counts of each pair of true and predicted rank; rows without either are left out."""
-    return predictions.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*by, F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count("*").alias("n"))
+    """Counts of each pair of true and predicted rank, written once; rows without either are left out."""
+    counted = predictions.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*by, F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count("*").alias("n"))
+    return Workspace(predictions.sparkSession).save(counted)
 
 
 def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

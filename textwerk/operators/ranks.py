@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textwerk.operators.durable import Workspace
+
 #: Blocks for running counts over the whole table: each holds a range of values.
 BLOCKS = 64
 
@@ -21,8 +23,6 @@ def average_ranks(values: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         before = F.sum("n").over(Window.partitionBy(*by).orderBy("value")) - F.col("n")
         return counts.select(*by, F.col("value").alias(value), "n", (before + (F.col("n") + 1) / 2).alias("rank"))
     parts = counts.repartitionByRange(BLOCKS, "value").withColumn("_part", F.spark_partition_id())
-    from textwerk.operators.durable import Workspace
-
     parts = Workspace(values.sparkSession).save(parts)  # block numbers must not change between the two reads
     sizes = parts.groupBy("_part").agg(F.sum("n").alias("size"))
     starts = sizes.select("_part", (F.sum("size").over(Window.orderBy("_part")) - F.col("size")).alias("start"))  # at most BLOCKS rows
@@ -36,7 +36,7 @@ def spearman(pairs: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     Ranks are joined to the counts of distinct (x, y), which for an ordinal y are far fewer than the rows.
     """
     cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("w"))
-    expanded = cells.select(*by, x, y, "w")
+    expanded = Workspace(pairs.sparkSession).save(cells.select(*by, x, y, "w"))
     rx = _weighted_ranks(expanded, x, by, "rx")
     ry = _weighted_ranks(expanded, y, by, "ry")
     ranked = expanded.join(rx, [*by, x]).join(ry, [*by, y])

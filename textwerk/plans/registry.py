@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwerk.plans import corpus, stats
+from textwerk.plans import corpus, inference, stats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | stats.QUERIES
-SQL: dict[str, str] = corpus.SQL | stats.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | stats.QUERIES | inference.QUERIES
+SQL: dict[str, str] = corpus.SQL | stats.SQL | inference.SQL
