@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +66,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(words: list[str], size: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 32-bit fingerprints of the shingles of ``words``."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(h) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint32)
+def shingle_sets(texts: list[list[str]], size: int, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 32-bit fingerprints of the shingles of each text, one text after the other, and their numbers. There are fewer than 2^31 texts."""
+    words = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, int(words.sum()))
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), words)
+    n = max(0, len(h) - size + 1)
     with np.errstate(over="ignore"):
         s = h[:n].copy()
         for k in range(1, size):
             s = s * _MIX + h[k : n + k]
-        return np.unique((mixed(s) >> np.uint64(32)).astype(np.uint32))
+        s = (doc[:n] << np.uint64(32)) | (mixed(s) >> np.uint64(32))
+    s = np.unique(s[doc[:n] == doc[size - 1 : size - 1 + n]])
+    return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((s >> np.uint64(32)).astype(np.int64), minlength=len(texts))
 
 
 def shingled(rows: DataFrame, text: str, row_id: str, size: int, least_words: int) -> DataFrame:
@@ -86,17 +89,15 @@ def shingled(rows: DataFrame, text: str, row_id: str, size: int, least_words: in
 
         hashes = WordHash()
         for batch in batches:
-            ids, keys, sets = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = WORD.findall(t.lower())
-                if len(words) >= least_words:
-                    raw = (s := shingle_set(words, size, hashes)).tobytes()
-                    if len(s):
-                        ids.append(i), keys.append(xxhash.xxh64_intdigest(raw) - (1 << 63)), sets.append(raw)
-            if ids:
-                n = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
-                bits = one_bits(np.frombuffer(b"".join(sets), np.uint32), np.cumsum(n) - n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits[0]), pa.array(bits[1]), pa.array(sets, pa.binary())], names=["row_id", "key", "s1", "s2", "set"])
+            cut = [(i, words) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(words := WORD.findall(t.lower())) >= max(least_words, size)]
+            if cut:
+                flat, n = shingle_sets([words for _, words in cut], size, hashes)
+                start = np.cumsum(n) - n
+                bits = one_bits(flat, start)
+                raw = flat.tobytes()
+                sets = [raw[4 * x : 4 * (x + k)] for x, k in zip(start.tolist(), n.tolist())]
+                keys = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int64()), pa.array(keys, pa.int64()), pa.array(bits[0]), pa.array(bits[1]), pa.array(sets, pa.binary())], names=["row_id", "key", "s1", "s2", "set"])
 
     source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").cast("string").alias("text")).where("row_id is not null and text is not null")
     return source.mapInArrow(run, "row_id bigint, key bigint, s1 bigint, s2 bigint, set binary")
