@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwerk.plans import corpus, inference, learning, stats
+from textwerk.plans import checks, corpus, inference, learning, stats
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | stats.QUERIES | inference.QUERIES | learning.QUERIES
-SQL: dict[str, str] = corpus.SQL | stats.SQL | inference.SQL | learning.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | stats.QUERIES | inference.QUERIES | learning.QUERIES | checks.QUERIES
+SQL: dict[str, str] = corpus.SQL | stats.SQL | inference.SQL | learning.SQL | checks.SQL
