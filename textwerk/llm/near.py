@@ -77,7 +77,8 @@ def shingle_sets(texts: list[list[str]], size: int, hashes: WordHash) -> tuple[n
         for k in range(1, size):
             s = s * _MIX + h[k : n + k]
         s = (doc[:n] << np.uint64(32)) | (mixed(s) >> np.uint64(32))
-    s = np.unique(s[doc[:n] == doc[size - 1 : size - 1 + n]])
+    s = np.sort(s[doc[:n] == doc[size - 1 : size - 1 + n]])
+    s = s[np.r_[True, s[1:] != s[:-1]][: len(s)]]
     return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((s >> np.uint64(32)).astype(np.int64), minlength=len(texts))
 
 
