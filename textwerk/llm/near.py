@@ -148,8 +148,11 @@ def prefixes(sets: DataFrame, threshold: float, counts: Broadcast, turn: int, tu
             flat = np.frombuffer(b"".join(raws), np.uint32)
             doc = np.repeat(np.arange(len(n)), n)
             c = counts.value[flat % SLOTS]
-            order = np.lexsort((flat, c, doc))
-            place = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
+            start = np.cumsum(n) - n
+            place = np.arange(len(flat)) - start[doc]
+            # by text, count and fingerprint, which is the place so far; one plain sort of packed values
+            packed = np.sort((doc << 44) | (np.minimum(c, (1 << 20) - 1).astype(np.int64) << 24) | place)
+            order = start[doc] + (packed & 0xFFFFFF)
             # a slot counted once has no partner
             at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1) & (flat[order] % turns == turn))
             count, cell, side = c[order[at]], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
