@@ -11,7 +11,7 @@ same set form one class, named by a 64-bit digest of the set; only classes are c
 3. *Verification.* The rest is verified exactly on the sets.
 
 The order of shingles only steers the amount of work, never the result; so a sketch of fixed size serves any collection.
-Null texts, and texts with fewer words than asked for, are in no class. Shingles are held as 32-bit fingerprints.
+Null texts, and texts with fewer words than asked for, are in no class. Shingles are held as 32-bit fingerprints; a text may have up to 2^28 of them.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def prefixes(sets: DataFrame, threshold: float, counts: Broadcast, turn: int, tu
             start = np.cumsum(n) - n
             place = np.arange(len(flat)) - start[doc]
             # by text, count and fingerprint, which is the place so far; one plain sort of packed values
-            packed = np.sort((doc << 44) | (np.minimum(c, (1 << 20) - 1).astype(np.int64) << 24) | place)
-            order = start[doc] + (packed & 0xFFFFFF)
+            packed = np.sort((doc << 44) | (np.minimum(c, (1 << 16) - 1).astype(np.int64) << 28) | place)
+            order = start[doc] + (packed & 0xFFFFFFF)
             # a slot counted once has no partner
             at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1) & (flat[order] % turns == turn))
             count, cell, side = c[order[at]], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
