@@ -138,3 +138,43 @@ def calibration(weighted_f1: float, floor: float, ceiling: float) -> float:
     """Where a score lies between a floor (0) and a ceiling (1)."""
     return (weighted_f1 - floor) / (ceiling - floor) if ceiling != floor else float("nan")
 
+
+
+def repeated_benefit(rows: DataFrame, base: str, more: str, seeds: Sequence[int] = (1, 2, 3, 4, 5), group: str = "cv_group", label: str = "level_rank") -> list[float]:
+    """Difference in weighted F1 of two feature sets under grouped folds, for each seed."""
+    from textwerk.operators.folds import grouped_folds
+    from textwerk.operators.metrics import confusion, summary
+
+    out = []
+    for seed in seeds:
+        folded = grouped_folds(rows.drop("fold"), group, seed=seed)
+        scores = {r["features"]: r["weighted_f1"] for r in summary(confusion(cross_predictions(folded, [base, more], label=label), ["features"]), ["features"]).collect()}
+        out.append(scores.get(more, 0.0) - scores.get(base, 0.0))
+    return out
+
+
+def permuted_labels(rows: DataFrame, draw: int, label: str = "level_rank", row_id: str = "row_id", seed: int = 42) -> DataFrame:
+    """The rows with labels dealt anew: rows and labels are both put in hash order, of different salts, and matched by position within
+    hash blocks of equal size, which keeps the label counts. The result depends on ids, seed and draw only."""
+    from pyspark.sql import Window
+
+    ws = Workspace(rows.sparkSession)
+    block = F.pmod(F.xxhash64(F.lit(f"{seed}/{draw}/block"), row_id), F.lit(256))
+    held = ws.save(rows.withColumn("_b", block))
+    place = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(f"{seed}/{draw}/{salt}"), row_id), row_id))
+    ids = held.withColumn("_p", place("rows"))
+    labels = held.select("_b", F.col(label).alias("_label"), place("labels").alias("_p"))
+    return ids.join(labels, ["_b", "_p"]).withColumn(label, F.col("_label")).drop("_b", "_p", "_label")
+
+
+def stress_test(rows: DataFrame, components: DataFrame, features: str = "surface", label: str = "level_rank", k: int = 5) -> tuple[str, DataFrame | None]:
+    """Cross-validation whose folds keep topic components (topic, component) whole, against random folds: ``not_estimable`` with fewer components
+    than folds, else ``ok`` with (cv, y_true, y_pred)."""
+    from textwerk.operators.folds import grouped_folds, stratified_folds
+
+    joined = rows.drop("fold").join(F.broadcast(components.select("topic", "component")), "topic")
+    if components.select("component").distinct().count() < k:
+        return "not_estimable", None
+    whole = cross_predictions(grouped_folds(joined, "component", None, k), [features], label=label, k=k).select(F.lit("topic").alias("cv"), "y_true", "y_pred")
+    plain = cross_predictions(stratified_folds(rows.drop("fold"), k=k), [features], label=label, k=k).select(F.lit("random").alias("cv"), "y_true", "y_pred")
+    return "ok", whole.union(plain)

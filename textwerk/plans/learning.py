@@ -135,3 +135,61 @@ def embedding_axes(spark, d):
     """The strongest independent axis of each vector."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("vector"))
     return P.signal_axes(e).select("id", T.argmax(F.col("axes"), absolute=True).alias("axis"))
+
+
+@query()
+def repeated_benefit(spark, d):
+    """Gain of topics over surface features with several seeds of folds, and the signed-rank p."""
+    from textwerk.functions.special import signed_rank_p
+
+    gains = L.repeated_benefit(prepared(spark, d), "surface", "surface_topic", seeds=(1, 2, 3))
+    return spark.createDataFrame([(k, float(g), float(signed_rank_p(gains))) for k, g in enumerate(gains)], "run int, gain double, p double")
+
+
+@query()
+def label_permutation(spark, d):
+    """Weighted F1 of topics alone against models of permuted labels; the share is (exceeding + 1) / (draws + 1)."""
+    rows, draws = prepared(spark, d), 4
+    score = lambda r: scored(L.cross_predictions(r, ["topic"])).first()["weighted_f1"]
+    observed = score(rows)
+    null = [score(L.permuted_labels(rows, k)) for k in range(draws)]
+    return spark.createDataFrame([(float(observed), float(sum(null) / draws), (sum(x >= observed for x in null) + 1) / (draws + 1))], "observed double, null_mean double, p double")
+
+
+@query()
+def topic_stress(spark, d):
+    """Scores with whole topics held out against random folds, or the status that this cannot be estimated."""
+    rows = prepared(spark, d)
+    alone = rows.select(F.col("topic").cast("bigint").alias("topic")).distinct().withColumn("component", F.col("topic"))
+    status, predictions = L.stress_test(rows, alone)
+    if predictions is None:
+        return spark.createDataFrame([(status, None, None)], "status string, cv string, weighted_f1 double")
+    return scored(predictions, "cv").select(F.lit(status).alias("status"), "cv", "weighted_f1")
+
+
+@query()
+def topic_sweep(spark, d):
+    """Diversity and association with level for several numbers of topics."""
+    texts = Workspace(spark).save(texts_of(spark, d))
+    weights = Workspace(spark).save(S.word_weights(texts, min_df=5, max_features=20_000, sublinear=False))
+    out = None
+    for k in (5, 10, 15):
+        placed, words = P.factorise(weights, k, 6)
+        assigned = placed.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("main_topic"))
+        v = A.chi_square(A.cells_of(texts.select("row_id", "cefr_level").join(assigned, "row_id"), "cefr_level", "main_topic")).select(F.lit(k).alias("k"), F.round("v", 6).alias("v"))
+        row = v.crossJoin(P.diversity(words))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query()
+def nearest_other_corpus(spark, d):
+    """For each text of one corpus the most similar one of another, by words."""
+    texts = texts_of(spark, d)
+    w = Workspace(spark).save(S.word_weights(texts).join(texts.select(F.col("row_id").alias("id"), "dataset"), "id"))
+    return S.nearest_across(w.where("dataset = 'elg_cefr_de'"), w.where("dataset = 'kurs_archiv_de'"))
+
+
+@query()
+def boosted_trees(spark, d):
+    return scored(L.cross_predictions(prepared(spark, d), ["surface_trees"], k=1), "features")
