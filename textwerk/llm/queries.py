@@ -139,3 +139,5 @@ usable AS (SELECT row_id, min(row_id) OVER (PARTITION BY kind, k) AS low FROM ke
 links AS (SELECT DISTINCT low AS u, row_id AS v FROM usable WHERE low < row_id)"""
     + _COMPONENTS,
 }
+SQL["p2_groups"] = f"WITH first AS ({SQL['p2_found']}) SELECT row_id, 'cv_' || coalesce(first_row_id, row_id) AS cv_group FROM combined_csv LEFT JOIN first USING (row_id)"
+SQL["p3_collapsed"] = f"WITH first AS ({SQL['p3_found']}) SELECT coalesce(first_row_id, row_id) AS row_id, count(*) AS n_copies FROM combined_csv LEFT JOIN first USING (row_id) GROUP BY 1"
