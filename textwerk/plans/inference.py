@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textwerk.operators import association as A, graph as G, inference as I, metrics as M, ranks as R, similarity as S
 from textwerk.operators.durable import table
 from textwerk.plans.corpus import CLEAN, texts_of
-from textwerk.plans.stats import length_rule, topical
+from textwerk.plans.stats import length_rule, measured, topical
 
 QUERIES, SQL = {}, {}
 
@@ -71,7 +71,7 @@ def cmh_by_level(spark, d):
 
 @query()
 def cmh_within_lengths(spark, d):
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 4).where("topic is not null")
+    binned = R.quantile_bins(measured(spark, d), "word_count", 4).where("topic is not null")
     return R.holm(I.cmh(A.mantel_haenszel(binned, "cefr_level", "topic", "bin")))
 
 
@@ -82,14 +82,14 @@ def metric_intervals(spark, d):
 
 @query()
 def placebo_length_bins(spark, d):
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 4, ["dataset"])
+    binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"])
     return I.placebo_bins(A.cells_of(binned, "cefr_level", "topic", ["dataset", "bin"]), "dataset")
 
 
 @query()
 def length_stratified(spark, d):
     """Association of level and topic within length quartiles of each corpus: V, its interval and permutation test."""
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 4, ["dataset"]).withColumn("stratum", F.concat_ws("/", "dataset", "bin"))
+    binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"]).withColumn("stratum", F.concat_ws("/", "dataset", "bin"))
     cells = A.cells_of(binned, "cefr_level", "topic", ["stratum"])
     tests = I.table_tests(cells, "stratum")
     return tests.join(I.permutation_test(cells, "stratum", 1000).select("stratum", F.col("p").alias("perm_p")), "stratum")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textwerk.operators import association as A, metrics as M, ranks as R
 from textwerk.operators.clean import LEVELS
-from textwerk.operators.durable import table
+from textwerk.operators.durable import Workspace, table
 from textwerk.plans.corpus import CLEAN, texts_of
 
 QUERIES, SQL = {}, {}
@@ -29,6 +29,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
 
 
+def measured(spark, d: str) -> DataFrame:
+    """The columns of clean texts besides the text, written once, for queries that read them several times."""
+    return Workspace(spark).save(texts_of(spark, d).select("row_id", "dataset", "cefr_level", "level_rank", "word_count", "topic"))
+
+
 def topical(spark, d: str) -> DataFrame:
     """Clean texts that have a topic."""
     return texts_of(spark, d).where("topic is not null")
@@ -123,7 +128,7 @@ def cmh_terms(spark, d):
 l AS (SELECT topic, cefr_level, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, cefr_level) AS k FROM c GROUP BY topic, cefr_level), s AS (SELECT topic, dataset, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, dataset) AS k FROM c GROUP BY topic, dataset), t AS (SELECT topic, count(*) AS n FROM c GROUP BY topic)
 SELECT topic, t.n AS n, l.cefr_level AS dominant_level, round(l.n / t.n, 6) AS level_share, s.dataset AS dominant_source, round(s.n / t.n, 6) AS source_share, top_words FROM t JOIN l USING (topic) JOIN s USING (topic) LEFT JOIN topics_top_words_de USING (topic) WHERE l.k = 1 AND s.k = 1""")
 def topic_summary(spark, d):
-    texts = topical(spark, d)
+    texts = measured(spark, d).where("topic is not null")
     level = A.dominant(A.cells_of(texts, "cefr_level", "topic")).select(F.col("y").alias("topic"), "n", F.col("dominant").alias("dominant_level"), F.col("share").alias("level_share"))
     source = A.dominant(A.cells_of(texts, "dataset", "topic")).select(F.col("y").alias("topic"), F.col("dominant").alias("dominant_source"), F.col("share").alias("source_share"))
     words = table(spark, d, "topics_top_words_de").select("topic", "top_words")
@@ -161,7 +166,7 @@ def _bins(q: int) -> str:
 
 @query(f"WITH {CLEAN}, {_bins(4)} SELECT dataset, bin, count(*) AS n, min(word_count) AS low, max(word_count) AS high, median(word_count) AS median, {', '.join(f'count_if(cefr_level = {chr(39)}{v}{chr(39)}) AS {v}' for v in LEVELS)} FROM b GROUP BY dataset, bin")
 def length_bins(spark, d):
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 4, ["dataset"])
+    binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"])
     return binned.groupBy("dataset", "bin").agg(F.count("*").alias("n"), F.min("word_count").alias("low"), F.max("word_count").alias("high"), F.median("word_count").alias("median"), *[F.count_if(F.col("cefr_level") == v).alias(v) for v in LEVELS])
 
 
@@ -170,13 +175,13 @@ _BIN_V = f"z AS (SELECT dataset || '/' || bin AS g, cefr_level AS x, topic AS y
 
 @query(f"WITH {CLEAN}, {_bins(4)}, {_BIN_V} SELECT g AS stratum, n, r AS rows, k AS columns, {_VS} FROM cor")
 def association_by_length_bin(spark, d):
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 4, ["dataset"]).where("topic is not null").withColumn("stratum", F.concat_ws("/", "dataset", "bin"))
+    binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"]).where("topic is not null").withColumn("stratum", F.concat_ws("/", "dataset", "bin"))
     return rounded(A.chi_square(A.cells_of(binned, "cefr_level", "topic", ["stratum"]), ["stratum"]), "chi2", "v", "v_uncorrected")
 
 
 @query(f"WITH {CLEAN}, {_bins(10)}, {_BIN_V}, w AS (SELECT split_part(g, '/', 1) AS dataset, CASE WHEN least(rc - 1, kc - 1) > 0 THEN sqrt(phi / least(rc - 1, kc - 1)) ELSE 0 END AS v FROM cor WHERE r > 1 AND k > 1) SELECT dataset, count(*) AS bins, round(avg(v), 6) AS mean_v FROM w GROUP BY dataset")
 def mean_decile_association(spark, d):
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 10, ["dataset"]).where("topic is not null")
+    binned = R.quantile_bins(measured(spark, d), "word_count", 10, ["dataset"]).where("topic is not null")
     v = A.chi_square(A.cells_of(binned, "cefr_level", "topic", ["dataset", "bin"]), ["dataset", "bin"]).where("rows > 1 and columns > 1")
     return rounded(v.groupBy("dataset").agg(F.count("*").alias("bins"), F.avg("v").alias("mean_v")), "mean_v")
 
@@ -189,7 +194,7 @@ def holm_adjustment(spark, d):
 
 def length_rule(spark, d) -> DataFrame:
     """A rule in place of a model: the predicted level is the sixth of its corpus's lengths that a text is in."""
-    binned = R.quantile_bins(texts_of(spark, d), "word_count", 6, ["dataset"])
+    binned = R.quantile_bins(measured(spark, d), "word_count", 6, ["dataset"])
     return binned.select("dataset", F.col("level_rank").alias("y_true"), (F.col("bin") - 1).alias("y_pred"))
 
 
