@@ -32,7 +32,7 @@ from textwerk.operators.durable import Workspace
 #: Slots of the count sketch: a broadcast of 4 bytes each, whatever the size of the collection.
 SLOTS = 1 << 20
 #: Turns in which the shingles are taken: each shuffles its share of the prefixes and frees it.
-TURNS = 3
+TURNS = 4
 #: Rows of a block of a hot shingle.
 BLOCK = 4096
 #: One-bit MinHash values that are compared where prefixes meet.
