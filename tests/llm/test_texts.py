@@ -123,3 +123,15 @@ def test_subjects(spark):
     hits = {(r.row_id, r.topic) for r in found}
     assert len(hits & want) > 0.9 * len([w for w in want if w[0] in {h[0] for h in hits}]) and not {h for h in hits if h[0] in (240, 241, 242, 243)}
     assert subjects.text_subjects(rows.limit(0), known).count() == 0
+
+
+def test_every_text_takes_part_in_the_propagation(spark):
+    """A word that occurs ten times in all of many texts is verified."""
+    known = spark.createDataFrame([(0, "tore, bälle"), (1, "züge, hotels")], "topic int, top_words string")
+    usual = ["Wir sehen das heute und morgen nicht mehr so gern.", "Das ist für die anderen auch so, und wir sehen es nicht.", "Heute ist das so und morgen auch, die anderen sehen es."]
+    texts = [usual[i % 3] for i in range(60_000)]
+    for k in range(10):
+        texts[k * 5_000 + 17] = "Wir sehen die Tore und die Kranzel heute. " + usual[k % 3]
+    texts.append(" ".join(["Wir sehen die Kranzel heute und morgen auch so gern."] * 4))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
+    assert [(r.row_id, r.topic) for r in subjects.dealt_with(subjects.text_subjects(rows, known, asked=F.col("row_id") == 60_000)).collect()] == [(60_000, 0)]

@@ -4,14 +4,14 @@ Sentences are alike if they share words of a subject. Labels spread over this gr
 number of sentences: words of the given subjects are seeds and stay clamped; a sentence takes the subjects of its words, and a word those of the
 other words of its sentences. A word is verified, and hands labels on, only if it was seen often enough and one subject has most
 of its sentences. A word that belongs to two or three subjects, also a seed that is seen mostly with other subjects, is no seed and is
-read by the rest of its text. Rounds are aggregations and joins of word tables with the seeds. At most ``FIT_ROWS`` texts, chosen
-by hash, take part in the propagation; every text then gets the subjects of its own sentences, one or several.
+read by the rest of its text. Rounds are aggregations and joins of word tables with the seeds. The sentences of all texts take part in
+the propagation; they are cut once and written. Every text then gets the subjects of its own sentences, one or several.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textwerk.llm.prose import WORD, Line, common_words, language, least_share, prose_lines
 from textwerk.operators.durable import Workspace
 
-#: Texts in the propagation, at most, and its rounds.
-FIT_ROWS, ROUNDS = 25_000, 3
+#: Rounds of the propagation.
+ROUNDS = 3
+#: Counts of words and subjects a task holds before it hands them on.
+HELD = 200_000
 #: A word is verified with so many sentences and this share of them in its subject; or with ``MIXED_SUPPORT`` sentences if two or three subjects
 #: with a share of ``PART`` each have ``PURITY`` of them together.
 SUPPORT, PURITY, PART, MIXED_SUPPORT = 8, 0.9, 0.08, 40
@@ -60,44 +62,73 @@ def seed_words(subjects: DataFrame) -> DataFrame:
     return split.groupBy("word").agg(F.min("topic").alias("topic"), F.count_distinct("topic").alias("n")).where("n = 1").select("word", "topic")
 
 
-def propagate(rows: DataFrame, text: str, row_id: str, subjects: DataFrame, prose: tuple[dict, dict], lang: Column | None) -> Words:
-    """The verified words with their subjects and weights; seeds have weight 1."""
-    spark, ws = rows.sparkSession, Workspace(rows.sparkSession)
-    seeds = ws.save(seed_words(subjects))
-    source = rows.select(F.col(f"`{row_id}`").alias("id"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    n, steps = source.count(), 1 << 20
-    if not n:
-        return {}
-    chosen = source.where(F.pmod(F.xxhash64("id", F.lit("subjects")), F.lit(steps)) < F.lit(min(steps, int(steps * FIT_ROWS / n) + 1))).select("lang", "text")
-    lines = spark.sparkContext.broadcast(prose)
+def cut_texts(rows: DataFrame, text: str, row_id: str, prose: tuple[dict, dict], lang: Column | None, asked: Column | None) -> DataFrame:
+    """(row_id, asked, sentences, n_words, prose_share) of the texts: their sentences, a line each, as words joined by blanks, the words of their prose lines and the share of prose."""
+    lines = rows.sparkSession.sparkContext.broadcast(prose)
+    wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), wanted.alias("asked"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, least = lines.value
         for batch in batches:
-            out = []
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [" ".join(w) for w in sentences(prose_lines(t, common.get(g, frozenset()), least.get(g, 0.0))[0]) if len(w) <= LONG]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["sentence"])
+            parts, n_words, shares = [], [], []
+            for g, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                kept, good, total = prose_lines(t, common.get(g, frozenset()), least.get(g, 0.0))
+                parts.append("\n".join(" ".join(w) for w in sentences(kept)))
+                n_words.append(sum(len(line[2]) for line in kept))
+                shares.append(good / total if total else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string()), pa.array(n_words, pa.int32()), pa.array(shares, pa.float64())], names=["row_id", "asked", "sentences", "n_words", "prose_share"])
+
+    return source.mapInArrow(cut, "row_id bigint, asked boolean, sentences string, n_words int, prose_share double")
+
+
+def leader(votes: dict[int, float]) -> int | None:
+    """The subject with the most votes; none if there are none or two are level."""
+    if len(votes) == 1:
+        return next((s for s, n in votes.items() if n > 1e-9), None)
+    top = sorted(((n, s) for s, n in votes.items() if n > 1e-9), reverse=True)
+    return None if not top or len(top) > 1 and top[0][0] - top[1][0] < 1e-9 else top[0][1]
 
-    cut_once = ws.save(chosen.mapInArrow(cut, "sentence string"))
+
+def propagate(cut_once: DataFrame, subjects: DataFrame, ws: Workspace) -> Words:
+    """The verified words with their subjects and weights; seeds have weight 1."""
+    spark = cut_once.sparkSession
+    seeds = ws.save(seed_words(subjects))
+    stretches = cut_once.select("sentences")
     known: Words = {r["word"]: ((r["topic"], 1.0),) for r in seeds.collect()}
     for _ in range(ROUNDS):
         current = spark.sparkContext.broadcast(known)
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: Counter = Counter()
+            got: defaultdict[int, Counter] = defaultdict(Counter)
             known = current.value
+
+            def heard() -> pa.RecordBatch:
+                counts = [(w, s, n) for s, by in got.items() for w, n in by.items()]
+                return pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.int32()), pa.array([c[2] for c in counts], pa.int64())], names=["word", "topic", "n"])
+
             for batch in batches:
                 for joined in batch.column(0).to_pylist():
-                    words = set(joined.split(" "))
-                    own = [w for w in words if w in known]
-                    whole = subject_of(own, known)
-                    if own:
-                        got.update([(w, whole if w not in known else subject_of(own, known, w)) for w in words])
-            heard = [(w, s, n) for (w, s), n in got.items() if s is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in heard], pa.string()), pa.array([h[1] for h in heard], pa.int32()), pa.array([h[2] for h in heard], pa.int64())], names=["word", "topic", "n"])
-
-        votes = cut_once.mapInArrow(spread, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
+                    for stretch in joined.split("\n"):
+                        parts = stretch.split(" ")
+                        words = set(parts)
+                        if len(parts) > LONG or words.isdisjoint(known):
+                            continue
+                        voters = {w: hit[0] for w in words & known.keys() if len(hit := known[w]) == 1}
+                        votes: dict[int, float] = {}
+                        for s, weight in voters.values():
+                            votes[s] = votes.get(s, 0.0) + weight
+                        if (whole := leader(votes)) is not None:
+                            got[whole].update(words - voters.keys())
+                        for w, (s, weight) in voters.items():
+                            if (rest := leader(votes | {s: votes[s] - weight})) is not None:
+                                got[rest][w] += 1
+                if sum(map(len, got.values())) > HELD:
+                    yield heard()
+                    got.clear()
+            yield heard()
+
+        votes = stretches.mapInArrow(spread, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
         heard = votes.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct((-F.col("n")).alias("k"), "topic", "n")).alias("by"))
         shares = heard.join(F.broadcast(seeds.withColumnRenamed("topic", "seed")), "word", "full").select("word", "seed", F.coalesce("n", F.lit(0)).alias("n"), F.transform(F.array_sort("by"), lambda b: F.struct(b["topic"].alias("topic"), (b["n"] / F.col("n")).alias("share"))).alias("by"))
         main = F.filter("by", lambda b: b["share"] >= PART)
@@ -114,22 +145,20 @@ def text_subjects(rows: DataFrame, subjects: DataFrame, text: str = "text", row_
     """(row_id, topic, share, n_words, prose_share) of all rows, or those that are ``asked``: a row for each subject of which any sentence of the text deals, with its share of sentences.
 
     Texts without letters, null texts and texts without subjects have no row. The subjects are a small table (``topic``, ``top_words``). The words of the
-    model are those that occur ``SUPPORT`` times in a bounded number of texts, which bounds the broadcast.
+    model are those that occur ``SUPPORT`` times in all texts and were verified, so that the broadcast grows with the vocabulary and not with the texts.
     """
     common = common_words(rows, text, lang)
     prose = (common, least_share(rows, common, text, lang))
-    context = rows.sparkSession.sparkContext
-    lines, model = context.broadcast(prose), context.broadcast(propagate(rows, text, row_id, subjects, prose, lang))
+    ws = Workspace(rows.sparkSession)
+    cut_once = ws.save(cut_texts(rows, text, row_id, prose, lang, asked))
+    model = rows.sparkSession.sparkContext.broadcast(propagate(cut_once, subjects, ws))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, least = lines.value
         known = model.value
         for pdf in frames:
             out = []
-            for i, g, t in zip(pdf["row_id"], pdf["lang"], pdf["text"]):
-                kept, good, total = prose_lines(t, common.get(g, frozenset()), least.get(g, 0.0))
-                parts = sentences(kept)
-                n_words = sum(len(line[2]) for line in kept)
+            for i, joined, n_words, prose_share in zip(pdf["row_id"], pdf["sentences"], pdf["n_words"], pdf["prose_share"]):
+                parts = [x.split(" ") for x in joined.split("\n")] if joined else []
                 counts, open_ones = Counter(), []
                 for words in parts:
                     if len(words) > SHARED:
@@ -146,11 +175,10 @@ def text_subjects(rows: DataFrame, subjects: DataFrame, text: str = "text", row_
                     if s in sure:
                         counts[s] += 1
                 size = sum(len(w) / USUAL if len(w) > LONG else 1 for w in parts)
-                out += [(i, s, n / size, n_words, good / total) for s, n in counts.items()]
+                out += [(i, s, n / size, n_words, prose_share) for s, n in counts.items()]
             yield pd.DataFrame(out, columns=["row_id", "topic", "share", "n_words", "prose_share"])
 
-    wanted = rows if asked is None else rows.where(asked)
-    source = wanted.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("row_id is not null and text is not null")
+    source = cut_once.where("asked and row_id is not null").select("row_id", "sentences", "n_words", "prose_share")
     return source.mapInPandas(judge, "row_id bigint, topic int, share double, n_words int, prose_share double")
 
 
