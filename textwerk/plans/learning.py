@@ -77,7 +77,7 @@ def leave_one_corpus_out(spark, d):
 
 @query()
 def tfidf_prediction(spark, d):
-    return scored(L.cross_predictions(prepared(spark, d), ["tfidf"], k=2), "features")
+    return scored(L.cross_predictions(prepared(spark, d), ["tfidf"]), "features")
 
 
 @query()
@@ -192,4 +192,4 @@ def nearest_other_corpus(spark, d):
 
 @query()
 def boosted_trees(spark, d):
-    return scored(L.cross_predictions(prepared(spark, d), ["surface_trees"], k=1), "features")
+    return scored(L.cross_predictions(prepared(spark, d), ["surface_trees"]), "features")
