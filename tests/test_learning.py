@@ -1,8 +1,10 @@
-"""Queries of prediction do the whole of the job; models are replaced where only the counts matter."""
+"""Queries of prediction and resampling do the whole of the job; models are replaced where only the counts matter."""
+
+from inspect import signature
 
 import pytest
 
-from textwerk.operators import models
+from textwerk.operators import inference, models
 from textwerk.plans import learning
 
 
@@ -15,3 +17,24 @@ def test_every_row_is_predicted_once(spark, data, monkeypatch, name):
     got = learning.QUERIES[name](spark, data)
     assert sorted(r.row_id for r in got.select("row_id").collect()) == sorted(r.row_id for r in rows.select("row_id").collect())
     assert {r.fold for r in got.select("fold").distinct().collect()} == set(range(5))
+
+
+def test_counts_of_resampling(spark, data, monkeypatch):
+    draws, seeds = [], []
+    monkeypatch.setattr(learning, "prepared", lambda spark, d: None)
+    monkeypatch.setattr(models, "cross_predictions", lambda *a: None)
+    monkeypatch.setattr(models, "permuted_labels", lambda rows, k: draws.append(k))
+    monkeypatch.setattr(learning, "scored", lambda p, *by: spark.createDataFrame([(0.5,)], "weighted_f1 double"))
+    monkeypatch.setattr(models, "repeated_benefit", lambda rows, base, more, seeds_=signature(models.repeated_benefit).parameters["seeds"].default, **k: seeds.extend(k.get("seeds", seeds_)) or [0.1] * 5)
+    learning.label_permutation(spark, data)
+    learning.repeated_benefit(spark, data)
+    assert (len(draws), len(seeds)) == (200, 5)
+
+
+def test_coverage_of_all_intervals(spark):
+    cells = spark.createDataFrame([("c", x, y, 40 + 60 * (x == y)) for x in "ab" for y in "ab"], "g string, x string, y string, n long")
+    counts = {k: p.default for k, p in signature(inference.interval_coverage).parameters.items()}
+    assert (counts["reps"], counts["boot_reps"], counts["boot"], signature(inference.detectable_association).parameters["sims"].default) == (1000, 120, 120, 400)
+    for r in inference.interval_coverage(cells, "g", reps=25, boot_reps=10).collect():
+        assert (r.reps, r.boot_reps) == (25, 10)
+        assert all(0 <= r[c] <= 1 for c in ("ncx2", "normal", "percentile", "basic"))

@@ -171,12 +171,13 @@ def adjusted_mutual_information(cells: DataFrame, by: str) -> DataFrame:
     return cells.select(F.col(by).cast("string").alias("g"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n").groupBy("g").applyInPandas(run, "g string, ami double").withColumnRenamed("g", by)
 
 
-def interval_coverage(cells: DataFrame, by: str, reps: int = 200, boot: int = 120, seed: int = 42) -> DataFrame:
-    """(by, scenario, true_v, reps, ncx2, percentile): share of simulated tables whose intervals hold the true uncorrected V.
+def interval_coverage(cells: DataFrame, by: str, reps: int = 1000, boot: int = 120, boot_reps: int = 120, seed: int = 42) -> DataFrame:
+    """(by, scenario, true_v, reps, ncx2, boot_reps, normal, percentile, basic): share of simulated tables whose intervals hold the true uncorrected V; the bootstrap
+    intervals are those of the first ``boot_reps`` tables.
 
     Scenarios are the observed joint distribution and independence with the same margins.
     """
-    blocks = -(-reps // 20)
+    blocks, kinds = -(-reps // 20), ("ncx2", "normal", "percentile", "basic")
     spread = cells.select(F.col(by).cast("string").alias("g"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("scenario", F.explode(F.array(F.lit("observed"), F.lit("independence"))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,21 +195,24 @@ def interval_coverage(cells: DataFrame, by: str, reps: int = 200, boot: int = 12
                 continue
             e = np.outer(s.sum(1), s.sum(0)) / n
             lo, hi = (np.sqrt(x / (n * low)) for x in ncx2_interval(float(((s - e) ** 2 / e).sum()), (s.shape[0] - 1) * (s.shape[1] - 1)))
-            b = cramers_v(np.stack([r.multinomial(n, (s / n).ravel()).reshape(s.shape) for _ in range(boot)]).astype(float))
-            p = np.nanpercentile(b, [2.5, 97.5])
-            out.append((lo <= true <= hi, p[0] <= true <= p[1]))
-        return pd.DataFrame({"g": key[0], "scenario": key[2], "true_v": true, "ncx2": [float(o[0]) for o in out], "percentile": [float(o[1]) for o in out]})
+            held = [lo <= true <= hi, None, None, None]
+            if rep < boot_reps:
+                b = cramers_v(np.stack([r.multinomial(n, (s / n).ravel()).reshape(s.shape) for _ in range(boot)]).astype(float))
+                (p_lo, p_hi), v, sd = np.nanpercentile(b, [2.5, 97.5]), float(cramers_v(s)[0]), float(np.nanstd(b, ddof=1))
+                held[1:] = max(0.0, v - Z * sd) <= true <= min(1.0, v + Z * sd), p_lo <= true <= p_hi, max(0.0, 2 * v - p_hi) <= true <= 2 * v - p_lo
+            out.append(held)
+        return pd.DataFrame({"g": key[0], "scenario": key[2], "true_v": true} | {c: [None if o[k] is None else float(o[k]) for o in out] for k, c in enumerate(kinds)})
 
-    hits = spread.groupBy("g", "block", "scenario").applyInPandas(run, "g string, scenario string, true_v double, ncx2 double, percentile double")
-    return hits.groupBy(F.col("g").alias(by), "scenario").agg(F.first("true_v").alias("true_v"), F.count("*").alias("reps"), F.avg("ncx2").alias("ncx2"), F.avg("percentile").alias("percentile"))
+    hits = spread.groupBy("g", "block", "scenario").applyInPandas(run, "g string, scenario string, true_v double, ncx2 double, normal double, percentile double, basic double")
+    return hits.groupBy(F.col("g").alias(by), "scenario").agg(F.first("true_v").alias("true_v"), F.count("*").alias("reps"), F.avg("ncx2").alias("ncx2"), F.count("normal").alias("boot_reps"), F.avg("normal").alias("normal"), F.avg("percentile").alias("percentile"), F.avg("basic").alias("basic"))
 
 
-def detectable_association(cells: DataFrame, by: str, sims: int = 200, power: float = 0.8, seed: int = 42) -> DataFrame:
+def detectable_association(cells: DataFrame, by: str, sims: int = 400, power: float = 0.8, seed: int = 42) -> DataFrame:
     """(by, critical_v, size, detectable_v): the smallest simulated strength that is found with the given power.
 
     A strength tilts each level towards its own topics, by turns; strengths are independent groups, and the smallest is taken afterwards.
     """
-    strengths = np.round(np.arange(0.0, 0.9, 0.04), 2)
+    strengths = np.round(np.arange(0.0, 0.89, 0.02), 2)
     spread = cells.select(F.col(by).cast("string").alias("g"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n").withColumn("strength", F.explode(F.array(*[F.lit(float(s)) for s in strengths])))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

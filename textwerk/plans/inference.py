@@ -51,7 +51,7 @@ def matched_subsamples(spark, d):
 
 @query()
 def interval_coverage(spark, d):
-    return I.interval_coverage(corpus_cells(spark, d), "dataset", reps=60, boot=60)
+    return I.interval_coverage(corpus_cells(spark, d), "dataset")
 
 
 @query()

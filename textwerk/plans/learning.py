@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
 from textwerk.functions import text as T
@@ -116,9 +118,10 @@ def topic_quality(spark, d):
 
 @query()
 def topic_stability(spark, d):
-    """Overlap of topics from two seeds."""
-    value = P.matched_overlap(modelled(spark, d, seed=1)[1], modelled(spark, d, seed=2)[1])
-    return spark.createDataFrame([(value,)], "matched_jaccard double")
+    """Mean overlap of topics from each two of five seeds."""
+    words = [modelled(spark, d, seed=seed)[1] for seed in (1, 2, 3, 4, 5)]
+    values = [P.matched_overlap(a, b) for a, b in combinations(words, 2)]
+    return spark.createDataFrame([(sum(values) / len(values),)], "matched_jaccard double")
 
 
 @query()
@@ -142,14 +145,14 @@ def repeated_benefit(spark, d):
     """Gain of topics over surface features with several seeds of folds, and the signed-rank p."""
     from textwerk.functions.special import signed_rank_p
 
-    gains = L.repeated_benefit(prepared(spark, d), "surface", "surface_topic", seeds=(1, 2, 3))
+    gains = L.repeated_benefit(prepared(spark, d), "surface", "surface_topic")
     return spark.createDataFrame([(k, float(g), float(signed_rank_p(gains))) for k, g in enumerate(gains)], "run int, gain double, p double")
 
 
 @query()
 def label_permutation(spark, d):
     """Weighted F1 of topics alone against models of permuted labels; the share is (exceeding + 1) / (draws + 1)."""
-    rows, draws = prepared(spark, d), 4
+    rows, draws = prepared(spark, d), 200
     score = lambda r: scored(L.cross_predictions(r, ["topic"])).first()["weighted_f1"]
     observed = score(rows)
     null = [score(L.permuted_labels(rows, k)) for k in range(draws)]
@@ -173,8 +176,8 @@ def topic_sweep(spark, d):
     texts = Workspace(spark).save(texts_of(spark, d))
     weights = Workspace(spark).save(S.word_weights(texts, min_df=5, max_features=20_000, sublinear=False))
     out = None
-    for k in (5, 10, 15):
-        placed, words = P.factorise(weights, k, 6)
+    for k in (5, 8, 10, 12, 15, 20, 25, 30):
+        placed, words = P.factorise(weights, k)
         assigned = placed.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("main_topic"))
         v = A.chi_square(A.cells_of(texts.select("row_id", "cefr_level").join(assigned, "row_id"), "cefr_level", "main_topic")).select(F.lit(k).alias("k"), F.round("v", 6).alias("v"))
         row = v.crossJoin(P.diversity(words))
