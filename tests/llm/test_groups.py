@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textwerk.llm import components, families, near, writings
+from textwerk.operators import skew
 
 
 def brute(edges):
@@ -131,3 +132,25 @@ def test_no_near_pairs(spark):
 def test_pruning_keeps_true_pairs():
     limits = near.least_matches(0.6, near.STEP, 1 / 256, near.HASHES)
     assert list(limits) == sorted(limits) and limits[-1] < 0.6 * near.HASHES
+
+
+def test_writings_are_closed(spark):
+    """A text that is the same as a third one is in its class."""
+    rows = [(1, "Name Anna Ort Berlin"), (2, "Name: Anna\nOrt: Berlin"), (3, "Ort: Berlin\nName: Anna"), (4, "ort berlin name anna"), (5, "Ort: Ulm")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    assert {(r.first_row_id, r.row_id) for r in writings.same_writing(df).collect()} == {(1, 2), (1, 3), (1, 4)}
+    assert {r.row_id: r.n_copies for r in writings.collapsed(df).collect()} == {1: 4, 5: 1}
+
+
+@pytest.mark.parametrize("centre", [0, 5000])
+def test_a_vertex_with_half_of_all_links(spark, monkeypatch, centre):
+    """The hub is handled as heavy, with the smallest and with the largest id."""
+    for module in (components, skew):
+        monkeypatch.setattr(module, "LEAST_ROWS", 50)
+    r = random.Random(3)
+    edges = [(centre, k) for k in range(1, 400)] + [(a, a + 1 + r.randrange(3)) for a in range(1000, 1400)]
+    df = spark.createDataFrame(edges, "i bigint, j bigint")
+    assert components.hubs(components.undirected(df, "i", "j"), 1000) == [centre]
+    want = brute(edges)
+    for method in (components.seeded_components, lambda d: components.peeled_components(d, bfs_rounds=1)):
+        assert {x.vertex: x.label for x in method(df).collect()} == want

@@ -126,13 +126,14 @@ SQL: dict[str, str] = {
 SELECT DISTINCT least(i, CAST(j AS BIGINT)) AS u, greatest(i, CAST(j AS BIGINT)) AS v FROM near_duplicates_de
 WHERE similarity >= 0.85 AND i <> j AND i IN (SELECT row_id FROM combined_csv) AND j IN (SELECT row_id FROM combined_csv))"""
     + _COMPONENTS,
-    "p3_found": r"""WITH k AS (SELECT row_id, text, replace(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')), 'ß', 'ss') AS plain FROM combined_csv),
+    "p3_found": r"""WITH RECURSIVE k AS (SELECT row_id, text, replace(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')), 'ß', 'ss') AS plain FROM combined_csv),
 f AS (SELECT row_id, plain, CASE WHEN regexp_matches(text, '^[\s|;]*[\p{Z}\s]*\p{L}[\p{L}\p{N}]*([ \-_][\p{L}\p{N}]+){0,3}[\p{Z}\s]*:') THEN
   regexp_replace(text, '[\n\r|;]+([\p{Z}\s]*\p{L}[\p{L}\p{N}]*(?:[ \-_][\p{L}\p{N}]+){0,3}[\p{Z}\s]*:)', chr(1) || '\1', 'g') END AS cut FROM k WHERE plain <> ''),
 g AS (SELECT row_id, plain, CASE WHEN contains(cut, chr(1)) THEN list_sort(list_filter(list_transform(string_split(cut, chr(1)),
   lambda p: replace(lower(regexp_replace(p, '[^\p{L}\p{N}]+', '', 'g')), 'ß', 'ss')), lambda p: p <> '')) END AS fields FROM f),
-h AS (SELECT row_id, min(row_id) OVER (PARTITION BY plain) AS a, CASE WHEN len(fields) >= 2 THEN min(row_id) OVER (PARTITION BY fields) END AS b FROM g)
-SELECT least(a, b) AS first_row_id, row_id FROM h WHERE least(a, b) < row_id""",
+n AS (SELECT 'p' || plain AS v, row_id FROM g UNION ALL SELECT 'f' || array_to_string(fields, chr(2)), row_id FROM g WHERE len(fields) >= 2),
+links AS (SELECT DISTINCT min(row_id) OVER (PARTITION BY v) AS u, row_id AS v FROM n)"""
+    + _COMPONENTS,
     "p5_found": """WITH RECURSIVE keyed AS (
 SELECT row_id, 1 AS kind, lower(trim(cv_group)) AS k FROM combined_csv UNION ALL SELECT row_id, 2, lower(trim(pair_id)) FROM combined_csv),
 usable AS (SELECT row_id, min(row_id) OVER (PARTITION BY kind, k) AS low FROM keyed WHERE k IS NOT NULL AND k NOT IN ('', 'nan', 'na')),
