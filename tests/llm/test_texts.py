@@ -105,6 +105,21 @@ def test_prose(spark):
     assert prose.judged(prose.text_statistics(rows.limit(0))).count() == 0
 
 
+def test_the_flag_follows_from_robust_deviations(spark):
+    """Lists are in the lower tail of their language; a third of junk in the table does not hide it."""
+    rows = corpus(spark).select("row_id", "text").union(spark.range(1000, 1100).select("id", F.concat(F.lit("Ulm Bonn Kiel 17\nKöln Jena "), "id", F.lit("\nTrier Gera 5"))))
+    got = {r.row_id for r in prose.judged(prose.text_statistics(rows)).where("not_prose").collect()}
+    assert got == {240} | set(range(1000, 1100))
+
+
+def test_sketches_merge_in_bounded_size(spark):
+    df = spark.range(0, 60_000, 1, 16).select(F.lit("de").alias("lang"), (F.col("id") / 60_000).alias("x"), F.lit(None).cast("double").alias("y"))
+    found = prose.sketches(df, ("x", "y"))
+    points = found["de", "x"]
+    assert set(found) == {("de", "x")} and len(points) == prose.POINTS
+    assert max(abs(p - k / (prose.POINTS - 1)) for k, p in enumerate(points)) < 0.02
+
+
 def test_levels(spark):
     rows = corpus(spark)
     placed = levels.reading_levels(rows)
@@ -113,6 +128,15 @@ def test_levels(spark):
     assert sum(near) / len(near) > 0.95
     assert levels.reading_levels(rows.limit(0)).count() == 0
     assert levels.reading_levels(rows.where("text is null")).first()["reading"] is None
+    model, _ = levels.fitted(rows)
+    difficulty = {w: d for w, d, _ in levels.word_difficulties(model)}
+    assert difficulty["sind"] < difficulty["obwohl"] < difficulty["ungeachtet"]
+
+
+def test_short_texts_are_placed(spark):
+    rows = corpus(spark).select("row_id", "text", "cefr_level").union(spark.createDataFrame([(900, "Ungeachtet der Tore dürfte sich die Bereitschaft erst einstellen.", None)], "row_id bigint, text string, cefr_level string"))
+    got = {r.row_id: r for r in levels.reading_levels(rows).collect()}
+    assert got[900].n_words == 9 and got[900].reading > 3 and got[241].reading is None
 
 
 def test_subjects(spark):
@@ -121,7 +145,7 @@ def test_subjects(spark):
     found = subjects.dealt_with(subjects.text_subjects(rows, known)).collect()
     want = {(r.row_id, r.topic) for r in rows.where("row_id < 240").collect()}
     hits = {(r.row_id, r.topic) for r in found}
-    assert len(hits & want) > 0.9 * len([w for w in want if w[0] in {h[0] for h in hits}]) and not {h for h in hits if h[0] in (240, 241, 242, 243)}
+    assert len(hits & want) > 0.95 * len(want) and len(hits & want) > 0.95 * len({h for h in hits if h[0] < 240}) and not {h for h in hits if h[0] in (240, 241, 242, 243)}
     assert subjects.text_subjects(rows.limit(0), known).count() == 0
 
 

@@ -1,9 +1,10 @@
 """Text statistics, and texts that are lists, tables or junk instead of running prose.
 
 The common words of each language are counted over all texts: words in many texts, mostly written in lower case (so that the nouns and
-names of lists are not among them). Each line has a share of common words; the characters of lines of which that share is far below the language's
-are not prose. Statistics are summarised by mergeable quantile sketches per language, from which each value gets a
-percentile and a robust z-score; tails are flagged.
+names of lists are not among them). Statistics are summarised by quantile sketches per language, which merge in bounded size; from them each value gets a
+percentile and a robust z-score, and tails are flagged. What is not prose follows from such a score too: a line is in the lower
+tail if its share of common words lies ``TAIL`` robust deviations below its language's median, and a text is not prose if more than half of its
+characters are in such lines.
 
 Null texts, and texts without letters and digits, have null statistics and no flag.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,16 +26,18 @@ WORD = re.compile(r"[^\W_]+")
 LINE = re.compile("[^\n\r\x85\u2028\u2029]+")
 #: A common word is in lower case in this share of a language's texts at least, and that in this share of all its spellings.
 COMMON_SHARE, LOWER_SHARE = 0.002, 0.5
-#: At most so many common words a language; with the shares above there can be no more than the mean text length / COMMON_SHARE.
-MOST_COMMON = 20_000
-#: A line is no prose if its share of common words is below this part of its language's median over texts.
-PROSE_PART = 0.36
+#: It also has this share of all (text, word) pairs of its language, so that a language has at most 1 / PAIR_SHARE common words, however long its texts are.
+PAIR_SHARE = 1e-5
+#: Robust deviations below the median from which a line's share of common words is in the tail.
+TAIL = 7.0
+#: A deviation counts as this part of the median at most, as a language of mixed quality has a wide spread.
+WIDEST = 0.1
 #: Lines that occur in a text this often are repeated matter, not prose.
 REPEATED = 4
 #: Statistics that are summarised, in the order of the result.
 STATISTICS = ("word_count", "ttr_200", "mean_word_len", "symbol_share", "end_mark_share", "common_share", "prose_share")
-#: Points of a quantile sketch a language and statistic.
-SKETCH = 256
+#: Size parameter of the quantile sketches (Spark's KLL sketches: some kilobytes each, rank error below one per cent), and points that are read from one.
+SKETCH, POINTS = 400, 256
 #: A sentence of a few words ends within the line.
 MARKED = re.compile(r"\w{3,}[.!?](?:\s|$)").search
 END = tuple(".!?…:;\"“”'")
@@ -52,7 +55,7 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
     """The common words of each language over all texts.
 
     Tasks count their own texts and send the counts of their words; counts of one text are never split. Only words that
-    reach the shares come to the driver, at most ``MOST_COMMON`` a language.
+    reach the shares come to the driver, at most 1 / ``PAIR_SHARE`` a language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +75,12 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
 
     source = rows.select(language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     counts = Workspace(rows.sparkSession).save(source.mapInArrow(run, "lang string, word string, low bigint, other bigint").groupBy("lang", "word").agg(F.sum("low").alias("low"), F.sum("other").alias("other")))
-    totals = {r["lang"]: r["low"] for r in counts.where("word = ''").collect()}
-    if not totals:
+    sums = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("low"))).alias("texts"), F.sum(F.when(F.col("word") != "", F.col("low") + F.col("other"))).alias("pairs")).collect()
+    if not sums:
         return {}
-    limit = F.coalesce(*[F.when(F.col("lang") == g, F.lit(float(max(1.0, COMMON_SHARE * n)))) for g, n in totals.items()])
-    found = counts.where((F.col("word") != "") & (F.col("low") >= limit) & (F.col("low") >= LOWER_SHARE * (F.col("low") + F.col("other")))).orderBy(F.desc("low"), "lang", "word").limit(MOST_COMMON * len(totals)).collect()
-    return {g: frozenset(r["word"] for r in found if r["lang"] == g) for g in totals}
+    limit = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(max(1.0, COMMON_SHARE * (r["texts"] or 0), PAIR_SHARE * (r["pairs"] or 0)))) for r in sums])
+    found = counts.where((F.col("word") != "") & (F.col("low") >= limit) & (F.col("low") >= LOWER_SHARE * (F.col("low") + F.col("other")))).collect()
+    return {g: frozenset(r["word"] for r in found if r["lang"] == g) for g in (r["lang"] for r in sums)}
 
 
 Line = tuple[str, int, list[str], int]
@@ -141,39 +144,21 @@ def statistics_of(text: str | None, common: frozenset[str], least: float) -> tup
     return (len(tokens), ttr, visible / len(tokens), max(0, visible - sum(len(w) for x in lines for w in x[2])) / len(text), ended / len(lines), sum(x[3] for x in lines) / words, good / total)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """A mergeable summary: up to ``SKETCH`` order statistics with equal weights, smallest and largest among them."""
-    v = np.sort(values[~np.isnan(values)])
-    return v if len(v) <= SKETCH else v[np.round(np.linspace(0, len(v) - 1, SKETCH)).astype(int)]
+def sketches(rows: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], np.ndarray]:
+    """Quantiles of each language and statistic over all rows, from sketches that Spark builds by partition and merges in bounded size.
 
-
-def sketches(stats: DataFrame) -> dict[tuple[str, str], list[float]]:
-    """Quantile sketch of each language and statistic over all rows.
-
-    Each task summarises its rows; summaries carry the number of rows behind a point, so that merging them is a weighted order statistic.
-    The driver gets ``SKETCH`` points a language and statistic.
+    The driver gets ``POINTS`` points a language and statistic; a statistic without values has none.
     """
+    by = rows.groupBy("lang").agg(*[F.kll_sketch_agg_double(s, F.lit(SKETCH)).alias(s) for s in names], *[F.count(s).alias("n_" + s) for s in names])
+    ranks = F.array(*[F.lit(k / (POINTS - 1)) for k in range(POINTS)])
+    read = by.select("lang", *[F.when(F.col("n_" + s) > 0, F.kll_sketch_get_quantile_double(s, ranks)).alias(s) for s in names]).collect()
+    return {(r["lang"], s): np.array(r[s]) for r in read for s in names if r[s]}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[pd.DataFrame]] = {}
-        for pdf in frames:
-            for g, part in pdf.groupby("lang"):
-                held.setdefault(g, []).append(part)
-        out = []
-        for g, parts in held.items():
-            part = pd.concat(parts)
-            for s in STATISTICS:
-                v = part[s].to_numpy(float)
-                points = sketch(v)
-                if len(points):
-                    out.append(pd.DataFrame({"lang": g, "statistic": s, "value": points, "weight": np.count_nonzero(~np.isnan(v)) / len(points)}))
-        if out:
-            yield pd.concat(out)
 
-    parts = stats.where("word_count is not null").select("lang", *STATISTICS).mapInPandas(run, "lang string, statistic string, value double, weight double")
-    points = [k / (SKETCH - 1) for k in range(SKETCH)]
-    merged = parts.groupBy("lang", "statistic").agg(F.percentile("value", points, F.greatest(F.round("weight"), F.lit(1)).cast("bigint")).alias("points"))
-    return {(r["lang"], r["statistic"]): r["points"] for r in merged.collect()}
+def middle_and_spread(points: np.ndarray) -> tuple[float, float]:
+    """Median and robust deviation (from the median absolute one) of the quantiles of a sketch."""
+    middle = float(np.median(points))
+    return middle, 1.4826 * float(np.median(np.abs(points - middle)))
 
 
 def text_statistics(rows: DataFrame, text: str = "text", row_id: str = "row_id", lang: Column | None = None) -> DataFrame:
@@ -195,41 +180,32 @@ def text_statistics(rows: DataFrame, text: str = "text", row_id: str = "row_id",
 
 
 def least_share(rows: DataFrame, common: dict[str, frozenset[str]], text: str = "text", lang: Column | None = None) -> dict[str, float]:
-    """The share of common words below which a line is no prose, of each language: a part of the median over its texts.
-
-    The median comes from a histogram of 200 steps over all texts.
-    """
+    """The share of common words below which a line is in the tail of its language: ``TAIL`` robust deviations below the median over all texts."""
     known = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if words := WORD.findall(t.lower()):
-                    seen[g, 200 * sum(map(known.value.get(g, frozenset()).__contains__, words)) // len(words)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "step", "n"])
+            langs, shares = batch.column(0), []
+            for g, t in zip(langs.to_pylist(), batch.column(1).to_pylist()):
+                words = WORD.findall(t.lower())
+                shares.append(sum(map(known.value.get(g, frozenset()).__contains__, words)) / len(words) if words else None)
+            yield pa.RecordBatch.from_arrays([langs, pa.array(shares, pa.float64())], names=["lang", "share"])
 
     source = rows.select(language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    steps = source.mapInArrow(run, "lang string, step int, n bigint").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect()
     out = {}
-    for g in {r["lang"] for r in steps}:
-        own = sorted((r["step"], r["n"]) for r in steps if r["lang"] == g)
-        total, below = sum(n for _, n in own), 0
-        for step, n in own:
-            below += n
-            if 2 * below >= total:
-                out[g] = PROSE_PART * (step + 0.5) / 200
-                break
+    for (g, _), points in sketches(source.mapInArrow(run, "lang string, share double"), ("share",)).items():
+        middle, spread = middle_and_spread(points)
+        out[g] = middle - TAIL * min(spread or middle, WIDEST * middle)
     return out
 
 
 def judged(stats: DataFrame) -> DataFrame:
     """The statistics with a percentile ``p_x`` and a robust z-score ``z_x`` of each, and ``not_prose``.
 
-    A text is not prose if less than half of its characters are in lines of prose; ``tails`` names the statistics
-    in the outer percent of their language or more than four robust deviations from its median.
+    A text is not prose if less than half of its characters are in lines of prose, that is outside the lower tail of :func:`least_share`;
+    ``tails`` names the statistics in the outer percent of their language or more than four robust deviations from its median.
     """
-    known = stats.sparkSession.sparkContext.broadcast(sketches(stats))
+    known = stats.sparkSession.sparkContext.broadcast(sketches(stats.where("word_count is not null"), STATISTICS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -240,16 +216,15 @@ def judged(stats: DataFrame) -> DataFrame:
                     points = known.value.get((g, s))
                     if points is None:
                         continue
-                    at, points = (pdf["lang"] == g).to_numpy(), np.array(points)
+                    at = (pdf["lang"] == g).to_numpy()
                     p[at] = (np.searchsorted(points, v[at], "left") + np.searchsorted(points, v[at], "right")) / 2 / len(points)
-                    middle = np.median(points)
-                    spread = 1.4826 * np.median(np.abs(points - middle)) or points.std() or 1.0
-                    z[at] = (v[at] - middle) / spread
+                    middle, spread = middle_and_spread(points)
+                    z[at] = (v[at] - middle) / (spread or points.std() or 1.0)
                 p[np.isnan(v)] = np.nan
                 pdf["p_" + s], pdf["z_" + s] = p, z
             marks = np.stack([(pdf["p_" + s] <= 0.01) | (pdf["p_" + s] >= 0.99) | (pdf["z_" + s].abs() > 4) for s in STATISTICS]) if len(pdf) else np.zeros((len(STATISTICS), 0))
             pdf["tails"] = [[s for s, m in zip(STATISTICS, column) if m] for column in marks.T]
-            pdf["not_prose"] = (pdf["prose_share"] < 0.5) & pdf["z_prose_share"].lt(0)
+            pdf["not_prose"] = pdf["prose_share"] < 0.5
             yield pdf
 
     more = "".join(f", p_{s} double, z_{s} double" for s in STATISTICS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwerk.llm.components import peeled_components
 from textwerk.llm.families import families, split_rows
-from textwerk.llm.levels import disagreeing, reading_levels
+from textwerk.llm.levels import disagreeing, fitted, reading_levels, word_difficulties
 from textwerk.llm.lookalikes import form_classes, forms, unlike_pairs
 from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.packing import packed
@@ -80,6 +80,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return disagreeing(p4_levels(spark, d))
 
 
+def p4_words(spark: SparkSession, d: str) -> DataFrame:
+    """Difficulty of each word of the model on the scale of the levels, and how sharply it tells them apart."""
+    model, _ = fitted(table(spark, d, "combined_csv"))
+    return spark.createDataFrame(word_difficulties(model), "word string, difficulty double, discrimination double")
+
+
 def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
     return text_subjects(table(spark, d, "combined_csv"), table(spark, d, "topics_top_words_de"))
 
@@ -113,7 +119,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_levels, p5_found, p5_splits, p6_found, p6_subjects, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_levels, p4_words, p5_found, p5_splits, p6_found, p6_subjects, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),

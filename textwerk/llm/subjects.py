@@ -1,11 +1,19 @@
-"""Subjects of texts by label propagation from trusted words.
-
-Sentences are alike if they share words of a subject. Labels spread over this graph, factored through the words, which keeps it linear in the
-number of sentences: words of the given subjects are seeds and stay clamped; a sentence takes the subjects of its words, and a word those of the
-other words of its sentences. A word is verified, and hands labels on, only if it was seen often enough and one subject has most
-of its sentences. A word that belongs to two or three subjects, also a seed that is seen mostly with other subjects, is no seed and is
-read by the rest of its text. Rounds are aggregations and joins of word tables with the seeds. The sentences of all texts take part in
-the propagation; they are cut once and written. Every text then gets the subjects of its own sentences, one or several.
+"""Subjects of texts by label propagation over a graph of passages.
+
+A text may deal with several subjects, so that its sentences (passages) are the vertices, each tied to its text. Two passages are alike if they share
+a feature, a word that passed verification; features stand between the passages they link, like pages that many others link to, which keeps the
+graph linear in the number of passages. Passages with the same features are one vertex with a number of members.
+
+1. *Verification.* All passages with a seed word are read once: a word of which many such passages have no common subject cannot tell
+   subjects apart, and its links are removed. Words in too few passages to be verified have no links either.
+2. *Propagation.* Vertices, links and labels (feature, subject, weight) are tables, and a round is a sequence of joins and aggregations: a
+   passage sums the labels of its features; each of its features then hears what the passage says without it, so that a link never confirms itself. A
+   feature takes a subject if it was heard often enough and one subject, or two or three together, have most of it. Labels are shares, that is normalised.
+   Seeds stay clamped unless the passages show that a seed word belongs to another subject or to several.
+3. *Texts.* A passage has the subject that leads among its features; a text has the subjects of its passages, with their shares. A passage that has only
+   features of several subjects is read by the rest of its text.
+
+The passages of all texts take part.
 """
 
 from __future__ import annotations
@@ -14,31 +22,31 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textwerk.llm.prose import WORD, Line, common_words, language, least_share, prose_lines
 from textwerk.operators.durable import Workspace
+from textwerk.operators.skew import HEAVIEST, LEAST_ROWS, heavy_keys, split_join
 
-#: Rounds of the propagation.
-ROUNDS = 3
-#: Counts of words and subjects a task holds before it hands them on.
+#: Rounds of the propagation at most; it ends when no label changes.
+ROUNDS = 4
+#: Counts of words and subjects, or vertices, that a task holds before it hands them on.
 HELD = 200_000
-#: A word is verified with so many sentences and this share of them in its subject; or with ``MIXED_SUPPORT`` sentences if two or three subjects
-#: with a share of ``PART`` each have ``PURITY`` of them together.
-SUPPORT, PURITY, PART, MIXED_SUPPORT = 8, 0.9, 0.08, 40
+#: A word is verified with so many passages, and this share of all passages at least (so that there can be no more features than words a
+#: passage / ``LEAST_SHARE``), if this share of those with a subject is in one; or with ``MIXED_SUPPORT`` passages if two or
+#: three subjects with a share of ``PART`` each have ``PURITY`` of them together.
+SUPPORT, LEAST_SHARE, PURITY, PART, MIXED_SUPPORT = 8, 1e-5, 0.9, 0.08, 40
 #: A subject belongs to a text if this share of its sentences deals with it; texts need so many words.
 SHARE, LEAST_WORDS = 0.25, 30
-#: Fixed patterns: sentence ends; a stretch without them longer than ``LONG`` words is counted by its subject words.
+#: Fixed patterns: sentence ends.
 SENTENCE = re.compile(r"[.!?…\n\r|;]+(?:\s|$)|\s[–-]\s|[\n\r|]+")
-LONG = 45
-#: Words a sentence has in stretches longer than ``LONG``; from ``SHARED`` words on a stretch is shared among the subjects of its words.
-USUAL, SHARED = 9, 20
+#: A stretch without sentence ends of more than ``SHARED`` words is cut into passages of ``USUAL`` words, which together weigh one sentence up to
+#: ``LONG`` words and one each beyond. They take no part in the verification.
+USUAL, SHARED, LONG = 9, 20, 45
 
-
-#: Subjects of a word with their weights; words of two or more subjects are read by the subjects of their text.
-Words = dict[str, tuple[tuple[int, float], ...]]
+#: Labels of a feature: subjects with their shares.
+TAKEN = "array<struct<topic: int, share: double>>"
 
 
 def sentences(lines: list[Line]) -> list[list[str]]:
@@ -46,16 +54,6 @@ def sentences(lines: list[Line]) -> list[list[str]]:
     return [w for part in SENTENCE.split(" ".join(line[0] for line in lines).lower()) if len(w := [x for x in WORD.findall(part) if not x.isdigit()]) >= 2]
 
 
-def subject_of(words: list[str], known: Words, without: str = "") -> int | None:
-    """The subject with the greatest weight among the words; none if no word has one or two are level."""
-    votes: Counter = Counter()
-    for w in set(words):
-        if w != without and len(hit := known.get(w, ())) == 1:
-            votes[hit[0][0]] += hit[0][1]
-    top = votes.most_common(2)
-    return None if not top or len(top) > 1 and top[0][1] - top[1][1] < 1e-9 else top[0][0]
-
-
 def seed_words(subjects: DataFrame) -> DataFrame:
     """(word, topic) of the given subjects; words given for two subjects are left out."""
     split = subjects.select("topic", F.explode(F.split(F.lower("top_words"), r"\s*,\s*")).alias("word")).where("word <> ''")
@@ -82,104 +80,201 @@ def cut_texts(rows: DataFrame, text: str, row_id: str, prose: tuple[dict, dict],
     return source.mapInArrow(cut, "row_id bigint, asked boolean, sentences string, n_words int, prose_share double")
 
 
-def leader(votes: dict[int, float]) -> int | None:
-    """The subject with the most votes; none if there are none or two are level."""
-    if len(votes) == 1:
-        return next((s for s, n in votes.items() if n > 1e-9), None)
-    top = sorted(((n, s) for s, n in votes.items() if n > 1e-9), reverse=True)
-    return None if not top or len(top) > 1 and top[0][0] - top[1][0] < 1e-9 else top[0][1]
+def heard_words(cut_once: DataFrame, seeds: dict[str, int]) -> DataFrame:
+    """(word, topic, n): passages of each word, with topic null, and those of them in which a seed of one subject leads without the word itself."""
+    known = cut_once.sparkSession.sparkContext.broadcast(seeds)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, total = known.value, Counter()
+        got: defaultdict[int, Counter] = defaultdict(Counter)
 
-def propagate(cut_once: DataFrame, subjects: DataFrame, ws: Workspace) -> Words:
-    """The verified words with their subjects and weights; seeds have weight 1."""
-    spark = cut_once.sparkSession
-    seeds = ws.save(seed_words(subjects))
-    stretches = cut_once.select("sentences")
-    known: Words = {r["word"]: ((r["topic"], 1.0),) for r in seeds.collect()}
+        def counted() -> pa.RecordBatch:
+            rows = [(w, None, n) for w, n in total.items()] + [(w, s, n) for s, by in got.items() for w, n in by.items()]
+            total.clear(), got.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["word", "topic", "n"])
+
+        for batch in batches:
+            for joined in batch.column(0).to_pylist():
+                for stretch in joined.split("\n") if joined else ():
+                    parts = stretch.split(" ")
+                    words = set(parts)
+                    total.update(words)
+                    if len(parts) > SHARED or seeds.keys().isdisjoint(words):
+                        continue
+                    votes = Counter(seeds[w] for w in words & seeds.keys())
+                    for w in words:
+                        rest = votes - Counter([seeds[w]]) if w in seeds else votes
+                        top = rest.most_common(2)
+                        if top and (len(top) == 1 or top[0][1] > top[1][1]):
+                            got[top[0][0]][w] += 1
+            if len(total) > HELD:
+                yield counted()
+        yield counted()
+
+    return cut_once.select("sentences").mapInArrow(run, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
+
+
+def verdict(heard: DataFrame) -> DataFrame:
+    """(feature, n, by): subjects of what each feature heard, (topic, share) with the greatest first, and how often it heard one."""
+    total = heard.groupBy("feature").agg(F.sum("n").alias("n"), F.collect_list(F.struct((-F.col("n")).alias("k"), "topic", "n")).alias("by"))
+    return total.select("feature", "n", F.transform(F.array_sort("by"), lambda b: F.struct(b["topic"].alias("topic"), (b["n"] / F.col("n")).alias("share"))).alias("by"))
+
+
+def main_subjects() -> Column:
+    """The subjects of ``by`` that have a part worth naming."""
+    return F.filter("by", lambda b: b["share"] >= PART)
+
+
+def several() -> Column:
+    """Whether two or three subjects together have most of what was heard."""
+    return (F.col("n") >= MIXED_SUPPORT) & (F.size(main_subjects()) <= 3) & (F.aggregate(main_subjects(), F.lit(0.0), lambda a, b: a + b["share"]) >= PURITY)
+
+
+def features_of(heard: DataFrame, seeds: DataFrame, n_passages: int) -> DataFrame:
+    """(word, feature, seed): the words that keep their links, numbered; seeds always do."""
+    total = heard.where("topic is null").select("word", F.col("n").alias("total"))
+    shares = verdict(heard.where("topic is not null").withColumnRenamed("word", "feature")).withColumnRenamed("feature", "word")
+    unclear = (F.col("n") >= SUPPORT) & (F.col("by")[0]["share"] < PURITY) & ~several()
+    known = total.join(shares, "word", "left").join(F.broadcast(seeds.withColumnRenamed("topic", "seed")), "word", "left")
+    kept = known.where(F.col("seed").isNotNull() | ((F.col("total") >= max(float(SUPPORT), LEAST_SHARE * n_passages)) & ~F.coalesce(unclear, F.lit(False))))
+    return kept.select("word", F.monotonically_increasing_id().alias("feature"), "seed")
+
+
+def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
+    """Rows of two kinds: texts (row_id, asked, n_words, prose_share, size, keys, weights) and vertices (key, features, members)."""
+    known = cut_once.sparkSession.sparkContext.broadcast(features)
+    kinds = {"row_id": pa.int64(), "asked": pa.bool_(), "n_words": pa.int32(), "prose_share": pa.float64(), "size": pa.float64(), "keys": pa.list_(pa.int64()), "weights": pa.list_(pa.float64()), "key": pa.int64(), "features": pa.list_(pa.int64()), "members": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        number, vertices = known.value, {}
+
+        def table(columns: dict) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+        def settled() -> pa.RecordBatch:
+            found = list(vertices.values())
+            vertices.clear()
+            return table({"key": [v[0] for v in found], "features": [v[1] for v in found], "members": [v[2] for v in found]})
+
+        for batch in batches:
+            keys, weights, sizes = [], [], []
+            for joined in batch.column(2).to_pylist():
+                own, weight, size = [], [], 0.0
+                for stretch in joined.split("\n") if joined else ():
+                    words = stretch.split(" ")
+                    if len(words) > SHARED:
+                        parts = [words[k : k + USUAL] for k in range(0, len(words), USUAL)]
+                        each = len(words) / USUAL / len(parts) if len(words) > LONG else 1 / len(parts)
+                    else:
+                        parts, each = [words], 1.0
+                    for part in parts:
+                        size += each
+                        if found := frozenset(number[w] for w in part if w in number):
+                            if (vertex := vertices.get(found)) is None:
+                                ids = sorted(found)
+                                vertex = vertices[found] = [xxhash.xxh64_intdigest(" ".join(map(str, ids))) - (1 << 63), ids, 0]
+                            vertex[2] += len(words) <= SHARED
+                            own.append(vertex[0]), weight.append(each)
+                keys.append(own), weights.append(weight), sizes.append(size)
+            columns = {c: batch.column(k) for k, c in ((0, "row_id"), (1, "asked"), (3, "n_words"), (4, "prose_share"))}
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.array({"size": sizes, "keys": keys, "weights": weights}[c], k) if c in ("size", "keys", "weights") else pa.nulls(batch.num_rows, k) for c, k in kinds.items()], names=list(kinds))
+            if len(vertices) > HELD:
+                yield settled()
+        yield settled()
+
+    return cut_once.select("row_id", "asked", "sentences", "n_words", "prose_share").mapInArrow(run, "row_id bigint, asked boolean, n_words int, prose_share double, size double, keys array<bigint>, weights array<double>, key bigint, features array<bigint>, members bigint")
+
+
+def spoken(links: DataFrame, labels: DataFrame, heavy: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Votes (key, topic, weight, feature) of features with one subject, and each vertex's subjects (key, by), the heaviest first."""
+    one = labels.where(F.size("taken") == 1).select("feature", F.col("taken")[0]["topic"].alias("topic"), F.col("taken")[0]["share"].alias("weight"))
+    votes = split_join(links, one, "feature", heavy).select("key", "topic", "weight", "feature")
+    sums = votes.groupBy("key", "topic").agg(F.sum("weight").alias("votes"))
+    return votes, sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.round("votes", 9)).alias("k"), "topic"))).alias("by"))
+
+
+def votes_at(k: int) -> Column:
+    """Votes of a vertex's k-th subject, 0 if there are fewer."""
+    return F.when(F.size("by") > k, -F.get("by", F.lit(k))["k"]).otherwise(F.lit(0.0))
+
+
+def round_of(links: DataFrame, labels: DataFrame, heavy: list[int]) -> DataFrame:
+    """(feature, topic, n): how often each feature hears a subject from its vertices, each without the feature's own vote."""
+    votes, vertices = spoken(links, labels, heavy)
+    own = votes.select("key", "feature", F.col("topic").alias("own"), "weight")
+    met = links.join(vertices, "key").join(own, ["key", "feature"], "left")
+    topic = lambda k: F.get("by", F.lit(k))["topic"]
+    # the votes of the two heaviest subjects without this feature
+    first = votes_at(0) - F.when(F.col("own") == topic(0), F.col("weight")).otherwise(0.0)
+    second = F.greatest(votes_at(1) - F.when(F.col("own") == topic(1), F.col("weight")).otherwise(0.0), votes_at(2))
+    leads = F.when(first > second + 1e-9, topic(0)).when((second > first + 1e-9) & (votes_at(1) > votes_at(2) + 1e-9), topic(1))
+    return met.select("feature", leads.alias("topic"), "members").where("topic is not null and members > 0").groupBy("feature", "topic").agg(F.sum("members").alias("n"))
+
+
+def labels_of(features: DataFrame, heard: DataFrame) -> DataFrame:
+    """(feature, taken): the labels of the features that are verified by what they heard; seeds are clamped to theirs unless it speaks against them."""
+    known = features.select("feature", "seed").join(verdict(heard), "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = lambda topic, share: F.array(F.struct(topic.cast("int").alias("topic"), share.cast("double").alias("share"))).cast(TAKEN)
+    own = F.coalesce(F.filter("by", lambda b: b["topic"] == F.col("seed"))[0]["share"], F.lit(0.0))
+    strange = (F.col("n") >= SUPPORT) & (own < PURITY)
+    clear = (F.col("n") >= SUPPORT) & (F.col("by")[0]["share"] >= PURITY)
+    taken = F.when(F.col("seed").isNotNull() & ~strange, one(F.col("seed"), F.lit(1.0))).when(F.col("seed").isNull() & clear, one(F.col("by")[0]["topic"], F.col("by")[0]["share"])).when(several(), main_subjects().cast(TAKEN))
+    return known.select("feature", taken.alias("taken")).where("size(taken) > 0")
+
+
+def propagated(ws: Workspace, links: DataFrame, features: DataFrame) -> DataFrame:
+    """(feature, taken) after the rounds; each round's labels are written, and the last ones end the propagation if they equal those before."""
+    heavy = heavy_keys(links, "feature")
+    start = F.array(F.struct(F.col("seed").alias("topic"), F.lit(1.0).alias("share"))).cast(TAKEN)
+    labels = ws.save(features.where("seed is not null").select("feature", start.alias("taken")))
     for _ in range(ROUNDS):
-        current = spark.sparkContext.broadcast(known)
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: defaultdict[int, Counter] = defaultdict(Counter)
-            known = current.value
-
-            def heard() -> pa.RecordBatch:
-                counts = [(w, s, n) for s, by in got.items() for w, n in by.items()]
-                return pa.RecordBatch.from_arrays([pa.array([c[0] for c in counts], pa.string()), pa.array([c[1] for c in counts], pa.int32()), pa.array([c[2] for c in counts], pa.int64())], names=["word", "topic", "n"])
-
-            for batch in batches:
-                for joined in batch.column(0).to_pylist():
-                    for stretch in joined.split("\n"):
-                        parts = stretch.split(" ")
-                        words = set(parts)
-                        if len(parts) > LONG or words.isdisjoint(known):
-                            continue
-                        voters = {w: hit[0] for w in words & known.keys() if len(hit := known[w]) == 1}
-                        votes: dict[int, float] = {}
-                        for s, weight in voters.values():
-                            votes[s] = votes.get(s, 0.0) + weight
-                        if (whole := leader(votes)) is not None:
-                            got[whole].update(words - voters.keys())
-                        for w, (s, weight) in voters.items():
-                            if (rest := leader(votes | {s: votes[s] - weight})) is not None:
-                                got[rest][w] += 1
-                if sum(map(len, got.values())) > HELD:
-                    yield heard()
-                    got.clear()
-            yield heard()
-
-        votes = stretches.mapInArrow(spread, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
-        heard = votes.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct((-F.col("n")).alias("k"), "topic", "n")).alias("by"))
-        shares = heard.join(F.broadcast(seeds.withColumnRenamed("topic", "seed")), "word", "full").select("word", "seed", F.coalesce("n", F.lit(0)).alias("n"), F.transform(F.array_sort("by"), lambda b: F.struct(b["topic"].alias("topic"), (b["n"] / F.col("n")).alias("share"))).alias("by"))
-        main = F.filter("by", lambda b: b["share"] >= PART)
-        sure = (F.col("n") >= MIXED_SUPPORT) & (F.size(main) <= 3) & (F.aggregate(main, F.lit(0.0), lambda a, b: a + b["share"]) >= PURITY)
-        one = F.array(F.struct(F.coalesce("seed", F.col("by")[0]["topic"]).alias("topic"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("by")[0]["share"]).alias("share")))
-        strange = F.coalesce((F.col("n") >= SUPPORT) & (F.coalesce(F.filter("by", lambda b: b["topic"] == F.col("seed"))[0]["share"], F.lit(0.0)) < PURITY), F.lit(False))
-        clear = (F.col("n") >= SUPPORT) & (F.col("by")[0]["share"] >= PURITY)
-        taken = F.when(F.col("seed").isNotNull() & ~strange, one).when(clear & F.col("seed").isNull(), one).when(sure, main)
-        known = {r["word"]: tuple((x["topic"], x["share"]) for x in r["taken"]) for r in shares.select("word", taken.alias("taken")).where("size(taken) > 0").collect()}
-    return known
+        labels, before = ws.save(labels_of(features, round_of(links, labels, heavy))), labels
+        topics = lambda c: F.array_sort(F.transform(c, lambda x: x["topic"]))
+        changed = labels.alias("n").join(before.alias("o"), "feature", "full").where(~topics("n.taken").eqNullSafe(topics("o.taken"))).limit(1).count()
+        ws.drop(before)
+        if not changed:
+            break
+    return labels
 
 
 def text_subjects(rows: DataFrame, subjects: DataFrame, text: str = "text", row_id: str = "row_id", lang: Column | None = None, asked: Column | None = None) -> DataFrame:
     """(row_id, topic, share, n_words, prose_share) of all rows, or those that are ``asked``: a row for each subject of which any sentence of the text deals, with its share of sentences.
 
-    Texts without letters, null texts and texts without subjects have no row. The subjects are a small table (``topic``, ``top_words``). The words of the
-    model are those that occur ``SUPPORT`` times in all texts and were verified, so that the broadcast grows with the vocabulary and not with the texts.
+    Texts without letters, null texts and texts without subjects have no row; repeated rows give repeated rows. The subjects are a small table (``topic``,
+    ``top_words``). What is broadcast are the words with links, whose number is bounded by ``LEAST_SHARE`` and not by the texts.
     """
     common = common_words(rows, text, lang)
     prose = (common, least_share(rows, common, text, lang))
     ws = Workspace(rows.sparkSession)
     cut_once = ws.save(cut_texts(rows, text, row_id, prose, lang, asked))
-    model = rows.sparkSession.sparkContext.broadcast(propagate(cut_once, subjects, ws))
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = model.value
-        for pdf in frames:
-            out = []
-            for i, joined, n_words, prose_share in zip(pdf["row_id"], pdf["sentences"], pdf["n_words"], pdf["prose_share"]):
-                parts = [x.split(" ") for x in joined.split("\n")] if joined else []
-                counts, open_ones = Counter(), []
-                for words in parts:
-                    if len(words) > SHARED:
-                        mentions = Counter(known[w][0][0] for w in words if len(known.get(w, ())) == 1)
-                        for s, n in mentions.items():
-                            counts[s] += (len(words) / USUAL if len(words) > LONG else 1) * n / sum(mentions.values())
-                    elif (s := subject_of(words, known)) is not None:
-                        counts[s] += 1
-                    else:
-                        open_ones.append({s for w in words for s, _ in known.get(w, ())})
-                sure = dict(counts)
-                for options in filter(None, open_ones):
-                    s = max(options, key=lambda s: (sure.get(s, 0), -s))
-                    if s in sure:
-                        counts[s] += 1
-                size = sum(len(w) / USUAL if len(w) > LONG else 1 for w in parts)
-                out += [(i, s, n / size, n_words, prose_share) for s, n in counts.items()]
-            yield pd.DataFrame(out, columns=["row_id", "topic", "share", "n_words", "prose_share"])
-
-    source = cut_once.where("asked and row_id is not null").select("row_id", "sentences", "n_words", "prose_share")
-    return source.mapInPandas(judge, "row_id bigint, topic int, share double, n_words int, prose_share double")
+    seeds = ws.save(seed_words(subjects))
+    heard = ws.save(heard_words(cut_once, {r["word"]: r["topic"] for r in seeds.collect()}))
+    n_passages = cut_once.agg(F.sum(F.size(F.split("sentences", "\n")))).first()[0] or 0
+    features = ws.save(features_of(heard, seeds, n_passages))
+    both = ws.save(passages(cut_once, {r["word"]: r["feature"] for r in features.select("word", "feature").collect()}))
+    texts = both.where("keys is not null and asked and row_id is not null").withColumn("text", F.monotonically_increasing_id())
+    # one vertex may come from several tasks; its features are the same in all of them
+    vertices = ws.save(both.where("features is not null").groupBy("key").agg(F.first("features").alias("features"), F.sum("members").alias("members")))
+    links = ws.save(vertices.select("key", "members", F.explode("features").alias("feature")))
+    labels = propagated(ws, links, features)
+
+    _, leading = spoken(links, labels, heavy_keys(links, "feature"))
+    options = links.join(labels, "feature").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("taken", lambda x: x["topic"])))).alias("options"))
+    leads = F.when(votes_at(0) > votes_at(1) + 1e-9, F.col("by")[0]["topic"])
+    settled = ws.save(options.join(leading, "key", "left").select("key", leads.alias("topic"), "options"))
+    common_keys = [r["key"] for r in vertices.where(F.col("members") >= LEAST_ROWS).orderBy(F.desc("members")).limit(HEAVIEST).collect()]
+    spread = texts.select("text", "row_id", "n_words", "prose_share", "size", F.explode(F.arrays_zip("keys", "weights")).alias("p")).select("text", "row_id", "n_words", "prose_share", "size", F.col("p.keys").alias("key"), F.col("p.weights").alias("weight"))
+    met = ws.save(split_join(spread, settled, "key", common_keys))
+    of_text = ["text", "row_id", "n_words", "prose_share", "size"]
+    sure = ws.save(met.where("topic is not null").groupBy(*of_text, "topic").agg(F.sum("weight").alias("weight")))
+    open_ones = met.where("topic is null").select("text", "key", F.col("weight").alias("more"), F.explode("options").alias("topic"))
+    read = open_ones.groupBy("text", "key", "topic").agg(F.sum("more").alias("more")).join(sure.select("text", "topic", "weight"), ["text", "topic"])
+    chosen = read.groupBy("text", "key").agg(F.max(F.struct("weight", (-F.col("topic")).alias("t"), "more")).alias("c")).select("text", (-F.col("c.t")).alias("topic"), "c.more")
+    added = chosen.groupBy("text", "topic").agg(F.sum("more").alias("more"))
+    return sure.join(added, ["text", "topic"], "left").select("row_id", "topic", ((F.col("weight") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("share"), "n_words", "prose_share")
 
 
 def dealt_with(found: DataFrame) -> DataFrame:
