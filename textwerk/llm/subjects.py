@@ -41,6 +41,7 @@ SUPPORT, LEAST_SHARE, PURITY, PART, MIXED_SUPPORT = 8, 1e-5, 0.9, 0.08, 40
 SHARE, LEAST_WORDS = 0.25, 30
 #: Fixed patterns: sentence ends.
 SENTENCE = re.compile(r"[.!?…\n\r|;]+(?:\s|$)|\s[–-]\s|[\n\r|]+")
+WORD_OR_END = re.compile(r"[^\W_]+|\n")
 #: A stretch without sentence ends of more than ``SHARED`` words is cut into passages of ``USUAL`` words, which together weigh one sentence up to
 #: ``LONG`` words and one each beyond. They take no part in the verification.
 USUAL, SHARED, LONG = 9, 20, 45
@@ -49,9 +50,10 @@ USUAL, SHARED, LONG = 9, 20, 45
 TAKEN = "array<struct<topic: int, share: double>>"
 
 
-def sentences(lines: list[Line]) -> list[list[str]]:
-    """Words of each sentence of the lines, joined first, as lines may be broken anywhere."""
-    return [w for part in SENTENCE.split(" ".join(line[0] for line in lines).lower()) if len(w := [x for x in WORD.findall(part) if not x.isdigit()]) >= 2]
+def sentences(lines: list[Line]) -> str:
+    """The sentences of the lines, one in a line, as words parted by blanks; the lines are joined first, as they may be broken anywhere."""
+    marked = SENTENCE.sub("\n", " ".join(line[0] for line in lines).lower())
+    return "\n".join(part for raw in " ".join(WORD_OR_END.findall(marked)).split("\n") if " " in (part := raw.strip()))
 
 
 def seed_words(subjects: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def cut_texts(rows: DataFrame, text: str, row_id: str, prose: tuple[dict, dict],
             parts, n_words, shares = [], [], []
             for g, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kept, good, total = prose_lines(t, common.get(g, frozenset()), least.get(g, 0.0))
-                parts.append("\n".join(" ".join(w) for w in sentences(kept)))
+                parts.append(sentences(kept))
                 n_words.append(sum(len(line[2]) for line in kept))
                 shares.append(good / total if total else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string()), pa.array(n_words, pa.int32()), pa.array(shares, pa.float64())], names=["row_id", "asked", "sentences", "n_words", "prose_share"])
@@ -86,6 +88,7 @@ def heard_words(cut_once: DataFrame, seeds: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, total = known.value, Counter()
+        all_seeds = frozenset(seeds)
         got: defaultdict[int, Counter] = defaultdict(Counter)
 
         def counted() -> pa.RecordBatch:
@@ -99,9 +102,13 @@ def heard_words(cut_once: DataFrame, seeds: dict[str, int]) -> DataFrame:
                     parts = stretch.split(" ")
                     words = set(parts)
                     total.update(words)
-                    if len(parts) > SHARED or seeds.keys().isdisjoint(words):
+                    hits = words & all_seeds
+                    if not hits or len(parts) > SHARED:
+                        continue
+                    votes = Counter(map(seeds.__getitem__, hits))
+                    if len(votes) == 1:
+                        got[seeds[next(iter(hits))]].update(words if len(hits) > 1 else words - hits)
                         continue
-                    votes = Counter(seeds[w] for w in words & seeds.keys())
                     for w in words:
                         rest = votes - Counter([seeds[w]]) if w in seeds else votes
                         top = rest.most_common(2)
@@ -131,13 +138,13 @@ def several() -> Column:
 
 
 def features_of(heard: DataFrame, seeds: DataFrame, n_passages: int) -> DataFrame:
-    """(word, feature, seed): the words that keep their links, numbered; seeds always do."""
+    """(word, feature, seed): the words (no numbers) that keep their links, numbered; seeds always do."""
     total = heard.where("topic is null").select("word", F.col("n").alias("total"))
     shares = verdict(heard.where("topic is not null").withColumnRenamed("word", "feature")).withColumnRenamed("feature", "word")
     unclear = (F.col("n") >= SUPPORT) & (F.col("by")[0]["share"] < PURITY) & ~several()
     known = total.join(shares, "word", "left").join(F.broadcast(seeds.withColumnRenamed("topic", "seed")), "word", "left")
-    kept = known.where(F.col("seed").isNotNull() | ((F.col("total") >= max(float(SUPPORT), LEAST_SHARE * n_passages)) & ~F.coalesce(unclear, F.lit(False))))
-    return kept.select("word", F.monotonically_increasing_id().alias("feature"), "seed")
+    kept = known.where(~F.col("word").rlike(r"^\d+$")).where(F.col("seed").isNotNull() | ((F.col("total") >= max(float(SUPPORT), LEAST_SHARE * n_passages)) & ~F.coalesce(unclear, F.lit(False))))
+    return kept.select("word", (F.monotonically_increasing_id() + 1).alias("feature"), "seed")
 
 
 def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
@@ -172,7 +179,7 @@ def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
                         parts, each = [words], 1.0
                     for part in parts:
                         size += each
-                        if found := frozenset(number[w] for w in part if w in number):
+                        if found := frozenset(filter(None, map(number.get, part))):
                             if (vertex := vertices.get(found)) is None:
                                 ids = sorted(found)
                                 vertex = vertices[found] = [xxhash.xxh64_intdigest(" ".join(map(str, ids))) - (1 << 63), ids, 0]
@@ -255,26 +262,27 @@ def text_subjects(rows: DataFrame, subjects: DataFrame, text: str = "text", row_
     n_passages = cut_once.agg(F.sum(F.size(F.split("sentences", "\n")))).first()[0] or 0
     features = ws.save(features_of(heard, seeds, n_passages))
     both = ws.save(passages(cut_once, {r["word"]: r["feature"] for r in features.select("word", "feature").collect()}))
-    texts = both.where("keys is not null and asked and row_id is not null").withColumn("text", F.monotonically_increasing_id())
+    texts = ws.save(both.where("keys is not null and asked and row_id is not null").drop("key", "features", "members").withColumn("text", F.monotonically_increasing_id()))
     # one vertex may come from several tasks; its features are the same in all of them
     vertices = ws.save(both.where("features is not null").groupBy("key").agg(F.first("features").alias("features"), F.sum("members").alias("members")))
     links = ws.save(vertices.select("key", "members", F.explode("features").alias("feature")))
     labels = propagated(ws, links, features)
 
     _, leading = spoken(links, labels, heavy_keys(links, "feature"))
-    options = links.join(labels, "feature").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("taken", lambda x: x["topic"])))).alias("options"))
-    leads = F.when(votes_at(0) > votes_at(1) + 1e-9, F.col("by")[0]["topic"])
-    settled = ws.save(options.join(leading, "key", "left").select("key", leads.alias("topic"), "options"))
+    leads = ws.save(leading.where(votes_at(0) > votes_at(1) + 1e-9).select("key", F.col("by")[0]["topic"].alias("topic"), F.lit(None).cast("array<int>").alias("options")))
+    undecided = links.join(leads.select("key"), "key", "left_anti").join(labels, "feature")
+    options = undecided.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("taken", lambda x: x["topic"])))).alias("options"))
+    settled = ws.save(leads.union(options.select("key", F.lit(None).cast("int").alias("topic"), "options")))
     common_keys = [r["key"] for r in vertices.where(F.col("members") >= LEAST_ROWS).orderBy(F.desc("members")).limit(HEAVIEST).collect()]
-    spread = texts.select("text", "row_id", "n_words", "prose_share", "size", F.explode(F.arrays_zip("keys", "weights")).alias("p")).select("text", "row_id", "n_words", "prose_share", "size", F.col("p.keys").alias("key"), F.col("p.weights").alias("weight"))
+    spread = texts.select("text", F.explode(F.arrays_zip("keys", "weights")).alias("p")).select("text", F.col("p.keys").alias("key"), F.col("p.weights").alias("weight"))
     met = ws.save(split_join(spread, settled, "key", common_keys))
-    of_text = ["text", "row_id", "n_words", "prose_share", "size"]
-    sure = ws.save(met.where("topic is not null").groupBy(*of_text, "topic").agg(F.sum("weight").alias("weight")))
+    sure = ws.save(met.where("topic is not null").groupBy("text", "topic").agg(F.sum("weight").alias("weight")))
     open_ones = met.where("topic is null").select("text", "key", F.col("weight").alias("more"), F.explode("options").alias("topic"))
     read = open_ones.groupBy("text", "key", "topic").agg(F.sum("more").alias("more")).join(sure.select("text", "topic", "weight"), ["text", "topic"])
     chosen = read.groupBy("text", "key").agg(F.max(F.struct("weight", (-F.col("topic")).alias("t"), "more")).alias("c")).select("text", (-F.col("c.t")).alias("topic"), "c.more")
     added = chosen.groupBy("text", "topic").agg(F.sum("more").alias("more"))
-    return sure.join(added, ["text", "topic"], "left").select("row_id", "topic", ((F.col("weight") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("share"), "n_words", "prose_share")
+    whole = sure.join(added, ["text", "topic"], "left").join(texts.select("text", "row_id", "n_words", "prose_share", "size"), "text")
+    return whole.select("row_id", "topic", ((F.col("weight") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("share"), "n_words", "prose_share")
 
 
 def dealt_with(found: DataFrame) -> DataFrame:
