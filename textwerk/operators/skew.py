@@ -34,21 +34,21 @@ def split_join(left: DataFrame, right: DataFrame, on: str, heavy: Sequence, how:
 
 
 def dealt(rows: DataFrame, key: str, row_id: str, block: int | None = None) -> DataFrame:
-    """The rows whose key another row has too, with ``n_blocks`` of their key and their own ``block``, so that about ``block`` rows share one."""
+    """The rows with ``n_rows`` and ``n_blocks`` of their key and their own ``block``, so that about ``block`` rows share one."""
     size = block or BLOCK
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    known = split_join(rows, counts, key, heavy_keys(rows, key))
-    blocks = F.ceil(F.col("_n") / size).cast("int")
-    return known.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64(row_id), blocks).cast("int")).drop("_n")
+    counts = rows.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    known = split_join(rows, counts, key, heavy_keys(rows, key), "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(1)))
+    blocks = F.ceil(F.col("n_rows") / size).cast("int")
+    return known.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64(row_id), blocks).cast("int"))
 
 
-def pairs_within(rows: DataFrame, key: str, row_id: str, extra: Sequence[str] = (), block: int | None = None) -> DataFrame:
-    """(a_x, b_x for the id and each extra column) of every two rows with the same key, the smaller id first.
+def pairs_of(rows: DataFrame, key: str, row_id: str, extra: Sequence[str] = ()) -> DataFrame:
+    """(a_x, b_x for the id and each extra column) of every two of the :func:`dealt` rows with the same key, the smaller id first.
 
-    The rows of a key are dealt to blocks, and each two blocks meet in a cell of their own, so that no task gets more than two blocks at a
+    Each two blocks of a key meet in a cell of their own, so that no task gets more than two blocks at a
     time, however many rows the key has. The ids are distinct.
     """
-    cells = dealt(rows, key, row_id, block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    cells = rows.where("n_rows > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     cells = cells.select(key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", row_id, *extra)
     a, b = (cells.select(key, "lo", "hi", F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in (row_id, *extra)]) for s in "ab")
     met = a.join(b, [key, "lo", "hi"]).where((F.col("lo") == F.col("hi")) | (F.col("a_block") != F.col("b_block"))).where(F.col(f"a_{row_id}") < F.col(f"b_{row_id}"))
