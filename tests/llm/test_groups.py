@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textwerk.llm import components, families, near, writings
 from textwerk.operators import skew
+from textwerk.operators.durable import Workspace
 
 
 def brute(edges):
@@ -112,13 +113,25 @@ def test_near_pairs(spark, t, size, monkeypatch):
 
 
 def test_hot_shingles_are_dealt_to_blocks(spark, monkeypatch):
-    """The same pairs result when every shingle counts as hot. Tasks read the size from their closure."""
+    """The same pairs result when shingles are hot, by their exact counts, and when the slots of the sketch are so crowded that all may be."""
     r = random.Random(9)
     same = [f"w{k}" for k in range(30)]
     rows = [(i, " ".join(same + [f"e{r.randrange(9)}" for _ in range(6)])) for i in range(60)]
-    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    df = spark.createDataFrame(rows, "row_id bigint, text string").repartition(4)
     want = brute_pairs(rows, 0.6, 3, 10)
-    assert {(x.i, x.j) for x in near.near_pairs(*near.near_classes(df, threshold=0.6, size=3)).collect()} == want
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(skew, "BLOCK", 4)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    monkeypatch.setattr(near, "REMEMBERED", 5)
+    for slots in (1 << 20, 8):
+        monkeypatch.setattr(near, "SLOTS", slots)
+        monkeypatch.setattr(near, "MOST_SLOTS", slots)
+        assert {(x.i, x.j) for x in near.near_pairs(*near.near_classes(df, threshold=0.6, size=3)).collect()} == want
+    # the texts share shingles that are in more prefixes than two blocks hold
+    ws = Workspace(spark)
+    sets = ws.save(near.shingled(df, "text", "row_id", 3, 10))
+    rows = near.prefixes(sets, 0.6, spark.sparkContext.broadcast(near.shingle_counts(sets)), 3, 3)
+    assert near.in_cells(ws, rows).where("cell > 0").count() > 0
 
 
 def test_no_near_pairs(spark):

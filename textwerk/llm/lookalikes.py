@@ -1,7 +1,7 @@
 """One form for texts that look the same but differ in their characters.
 
 1. Ignorable characters are deleted, spaces, line breaks and hyphens get one character a kind, and what remains gets its compatibility form.
-2. Letters that look alike in Latin, Greek and Cyrillic are taken as one sign. A word of such signs is a lattice of readings, and
+2. Letters that look alike in Latin, Greek, Cyrillic, Armenian and Cherokee are taken as one sign. A word of such signs is a lattice of readings, and
    Viterbi search finds the best one under character bigrams that were counted over all texts, with a high price
    for a change of script within a word. A word that has a letter of one script only is read in that script.
 
@@ -22,11 +22,18 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Letters of Cyrillic and Greek, each above the Latin letter that it looks like.
-CYRILLIC = "аеорсухѕіјһԁԛԝАВЕКМНОРСТУХЅІЈԌԚԜ"
-CYRILLIC_AS = "aeopcyxsijhdqwABEKMHOPCTYXSIJGQW"
-GREEK = "οναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-GREEK_AS = "ovaABEZHIKMNOPTYX"
+from textwerk.operators.skew import dealt, heavy_keys, pairs_of, split_join
+
+#: Fixed values, after the public list of confusable characters (UTS 39) as far as the letters are alike in common upright type:
+#: letters of Cyrillic, Greek, Armenian and Cherokee, each above the Latin letter that it looks like.
+CYRILLIC = "аеорсухѕіјһԁԛԝѵүӏАВЕКМНОРСТУХЅІЈԌԚԜҮЅѴӀ"
+CYRILLIC_AS = "aeopcyxsijhdqwvylABEKMHOPCTYXSIJGQWYSVI"
+GREEK = "οναρυικγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳͿ"
+GREEK_AS = "ovapuikyABEZHIKMNOPTYXCjJ"
+ARMENIAN = "օսոհցզԼՍՕ"
+ARMENIAN_AS = "ounhgqLUO"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTAJEWMHGZ4RWSVSLCPKB"
 #: Other look-alikes of Latin letters, hyphens, and spaces that the compatibility form leaves.
 OTHERS = {"ı": "i", "ɡ": "g", "ɑ": "a", "ӏ": "l", "Ӏ": "I", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "֊": "-"}
 LINE_BREAKS = re.compile("\r\n|[\r\x85\u2028\u2029\x0b\x0c]")
@@ -34,7 +41,7 @@ BREAK = re.compile("[\r\x85\u2028\u2029\x0b\x0c]").search
 #: Ignorable characters beyond the basic plane: tags, variation selectors, and format signs of music and shorthand.
 TAGS = re.compile("[\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 BEYOND = re.compile("[\U00010000-\U0010ffff]").search
-SPACES = {"\t": " ", "\u1680": " ", "\u180e": None, "\u3164": " ", "\u115f": None, "\u1160": None, "\u034f": None}
+SPACES = {"\t": " ", "\u1680": " ", "\u180e": None, "\u115f": None, "\u1160": None, "\u034f": None}
 #: A joiner between two pictographs makes them one sign and is kept.
 JOINER = re.compile("(?<![\u203c-\u3299\U0001f000-\U0001faff\ufe0f])\u200d|\u200d(?![\u203c-\u3299\U0001f000-\U0001faff])")
 #: Price of a change of script within a word, in nats; additive smoothing of bigram counts.
@@ -53,9 +60,9 @@ def ignorable() -> re.Pattern:
 
 
 def script_of(c: str) -> str:
-    """``L``, ``G`` or ``C`` for letters of the three scripts, else nothing."""
+    """A letter for each of the scripts, else nothing."""
     name = unicodedata.name(c, "")
-    return {"LATIN": "L", "GREEK": "G", "CYRILLIC": "C"}.get(name.split(" ")[0], "") if c.isalpha() else ""
+    return {"LATIN": "L", "GREEK": "G", "CYRILLIC": "C", "ARMENIAN": "A", "CHEROKEE": "K"}.get(name.split(" ")[0], "") if c.isalpha() else ""
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,15 +73,16 @@ class Reader:
 
     def __init__(self, bigrams: dict[str, int] | None = None):
         self.ignored = ignorable()
-        to = {ord(a): b for a, b in [*zip(CYRILLIC, CYRILLIC_AS), *zip(GREEK, GREEK_AS), *OTHERS.items(), *SPACES.items()]}
+        scripts = ((GREEK, GREEK_AS), (CYRILLIC, CYRILLIC_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS))
+        to = {ord(a): b for a, b in [*(pair for script in scripts for pair in zip(*script)), *OTHERS.items(), *SPACES.items()]}
         self.signs, self.signed = to, one_of(map(chr, to))
         self.readings: dict[str, list[str]] = {}
-        for letters, like in ((GREEK, GREEK_AS), (CYRILLIC, CYRILLIC_AS)):
+        for letters, like in scripts:
             for a, b in zip(letters, like):
                 self.readings.setdefault(b, [b]).append(a)
         ambiguous = "".join(self.readings)
         self.doubtful = re.compile(rf"\b[{ambiguous}]+\b")
-        self.foreign = re.compile("[Ͱ-ԯᲀ-᲏ἀ-῿Ꙁ-ꚟ]")
+        self.foreign = re.compile("[Ͱ-֏Ꭰ-ᏽᲀ-᲏ἀ-῿Ꙁ-ꚟ]")
         self.bigrams = bigrams or {}
         self.starts = Counter()
         for pair, n in self.bigrams.items():
@@ -144,7 +152,7 @@ class Reader:
 def bigram_counts(rows: DataFrame, text: str) -> dict[str, int]:
     """Counts of letter pairs, and of first letters as ``^x``, over the words of all texts that have letters of one script only.
 
-    The table is bounded by the square of the number of letters of Latin, Greek and Cyrillic.
+    The table is bounded by the square of the number of letters of these scripts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +211,10 @@ def form_classes(rows: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def unlike_pairs(classes: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): pairs of rows with equal forms and unequal texts, the smaller id first.
 
-    Only forms that have two or more different texts are joined; these are found from partial aggregates.
+    Only forms that have two or more different texts are joined; these are found from partial aggregates. Rows of a form are dealt to
+    blocks, and blocks are paired, so that no task gets all rows of a form that very many texts have.
     """
     mixed = classes.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    some = classes.join(mixed, "form", "left_semi")
-    a, b = some.select(F.col("doc_id").alias("doc_id_a"), "form", F.col("raw").alias("ra")), some.select(F.col("doc_id").alias("doc_id_b"), "form", F.col("raw").alias("rb"))
-    return a.join(b, "form").where("doc_id_a < doc_id_b and ra <> rb").select("doc_id_a", "doc_id_b").distinct()
+    some = split_join(classes, mixed, "form", heavy_keys(classes, "form"), "left_semi").distinct()
+    met = pairs_of(dealt(some, "form", "doc_id"), "form", "doc_id", ["raw"]).where("a_raw <> b_raw")
+    return met.select(F.col("a_doc_id").alias("doc_id_a"), F.col("b_doc_id").alias("doc_id_b")).distinct()

@@ -3,15 +3,17 @@
 Texts are sets of word shingles (``size`` words in a row; words are runs of letters and digits in lower case). Records with the
 same set form one class, named by a 64-bit digest of the set; only classes are compared.
 
-1. *Candidates.* Shingles are ordered from rare to common by a count sketch of fixed size that is computed over all texts.
+1. *Candidates.* Shingles are ordered from rare to common by a count sketch that is computed over all texts.
    Two sets at the threshold must share a shingle among the rarest ``n - ceil(t n) + 1`` of each, so that joining these
-   prefixes loses no pair.
+   prefixes loses no pair. A shingle in too many prefixes for one task, counted exactly, is dealt to blocks, and each two blocks meet in a cell of their own.
 2. *Bayesian pruning.* The MinHash values of a candidate pair are compared a few at a time; after each step the pair is dropped
    if, with a uniform prior, the posterior probability that its similarity reaches the threshold is below ``TOLERANCE``.
 3. *Verification.* The rest is verified exactly on the sets.
 
-The order of shingles only steers the amount of work, never the result; so a sketch of fixed size serves any collection.
-Null texts, and texts with fewer words than asked for, are in no class. Shingles are held as 32-bit fingerprints; a text may have up to 2^28 of them.
+The order of shingles only steers the amount of work, never the result. The sketch has a slot for every 16 shingles, within bounds; where its slots
+are crowded, common shingles still stand out, and only the exact counts tell which of them are hot.
+Null texts, and texts with fewer words than asked for, are in no class. Shingles are held as 40-bit fingerprints (32 and 8 bits, in two columns); a text with
+2^28 of them or more is refused.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from textwerk.operators.durable import Workspace
+from textwerk.operators.skew import HEAVIEST, dealt, pairs_of, split_join
 
-#: Slots of the count sketch: a broadcast of 4 bytes each, whatever the size of the collection.
-SLOTS = 1 << 20
-#: Turns in which the shingles are taken: each shuffles its share of the prefixes and frees it.
-TURNS = 4
+#: Slots of the count sketch, at least and at most: a broadcast of 2 bytes each.
+SLOTS, MOST_SLOTS = 1 << 20, 1 << 22
+#: Turns in which the shingles are taken: each shuffles its share of the prefixes and frees it. One more takes those that may be hot.
+TURNS = 3
 #: Rows of a block of a hot shingle.
 BLOCK = 4096
+#: Classes a task remembers, to pass over their copies.
+REMEMBERED = 1_000_000
 #: One-bit MinHash values that are compared where prefixes meet.
 BITS = 128
 #: Further MinHash values of a record, one byte each, and how many are compared in a step.
@@ -67,8 +72,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[list[str]], size: int, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 32-bit fingerprints of the shingles of each text, one text after the other, and their numbers. There are fewer than 2^31 texts."""
+    """Sorted distinct 40-bit fingerprints of the shingles of each text, one text after the other, and their numbers. There are fewer than 2^24 texts."""
     words = np.fromiter(map(len, texts), np.int64, len(texts))
+    if words.max(initial=0) >= 1 << 28:
+        raise ValueError("a text has 2^28 words or more")
     h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, int(words.sum()))
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), words)
     n = max(0, len(h) - size + 1)
@@ -76,14 +83,19 @@ def shingle_sets(texts: list[list[str]], size: int, hashes: WordHash) -> tuple[n
         s = h[:n].copy()
         for k in range(1, size):
             s = s * _MIX + h[k : n + k]
-        s = (doc[:n] << np.uint64(32)) | (mixed(s) >> np.uint64(32))
+        s = (doc[:n] << np.uint64(40)) | (mixed(s) >> np.uint64(24))
     s = np.sort(s[doc[:n] == doc[size - 1 : size - 1 + n]])
     s = s[np.r_[True, s[1:] != s[:-1]][: len(s)]]
-    return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((s >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    return s & np.uint64((1 << 40) - 1), np.bincount((s >> np.uint64(40)).astype(np.int64), minlength=len(texts))
+
+
+def whole(low: list[bytes], high: list[bytes]) -> np.ndarray:
+    """Fingerprints from their two columns, one set after the other."""
+    return np.frombuffer(b"".join(low), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(high), np.uint8).astype(np.uint64) << np.uint64(32))
 
 
 def shingled(rows: DataFrame, text: str, row_id: str, size: int, least_words: int) -> DataFrame:
-    """(row_id, key, s1, s2, set): one row for each text that has enough words; equal sets have equal keys, s1 and s2 are one-bit MinHash values."""
+    """(row_id, key, n, s1, s2, set, high): one row for each text that has enough words; equal sets have equal keys, s1 and s2 are one-bit MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -94,32 +106,41 @@ def shingled(rows: DataFrame, text: str, row_id: str, size: int, least_words: in
             if cut:
                 flat, n = shingle_sets([words for _, words in cut], size, hashes)
                 start = np.cumsum(n) - n
-                bits = one_bits(flat, start)
-                raw = flat.tobytes()
-                sets = [raw[4 * x : 4 * (x + k)] for x, k in zip(start.tolist(), n.tolist())]
-                keys = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int64()), pa.array(keys, pa.int64()), pa.array(bits[0]), pa.array(bits[1]), pa.array(sets, pa.binary())], names=["row_id", "key", "s1", "s2", "set"])
+                low = flat.astype(np.uint32)
+                bits = one_bits(low, start)
+                raw, more = low.tobytes(), (flat >> np.uint64(32)).astype(np.uint8).tobytes()
+                at = list(zip(start.tolist(), n.tolist()))
+                sets, highs = [raw[4 * x : 4 * (x + k)] for x, k in at], [more[x : x + k] for x, k in at]
+                keys = [xxhash.xxh64_intdigest(x + y) - (1 << 63) for x, y in zip(sets, highs)]
+                columns = [pa.array([i for i, _ in cut], pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int32()), pa.array(bits[0]), pa.array(bits[1]), pa.array(sets, pa.binary()), pa.array(highs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "key", "n", "s1", "s2", "set", "high"])
 
     source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").cast("string").alias("text")).where("row_id is not null and text is not null")
-    return source.mapInArrow(run, "row_id bigint, key bigint, s1 bigint, s2 bigint, set binary")
+    return source.mapInArrow(run, "row_id bigint, key bigint, n int, s1 bigint, s2 bigint, set binary, high binary")
+
+
+def log_code(count: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 16 bits, which keeps their order to a part in a thousand at any size."""
+    return np.minimum(np.log2(np.maximum(count, 1)) * 1024, 65535).astype(np.uint16)
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How often each slot's shingles occur over all texts; ``SLOTS`` numbers."""
+    """How often each slot's shingles occur over all texts, as :func:`log_code`."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (int(total) // 16).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) % SLOTS, minlength=SLOTS)
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], names=["slot", "n"])
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) % slots, minlength=slots)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
-    summed = sets.select("set").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = np.zeros(SLOTS, np.int64)
-    found = summed.toArrow()
+    found = sets.select("set").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(slots, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(counts, 2**31 - 1).astype(np.int32)
+    return log_code(counts)
 
 
 def needed(t: float, a: int, b: int) -> int:
@@ -130,46 +151,52 @@ def needed(t: float, a: int, b: int) -> int:
 def prefixes(sets: DataFrame, threshold: float, counts: Broadcast, turn: int, turns: int) -> DataFrame:
     """(met, at, key, s1, s2): the rare end of each set, a row for each shingle of this turn, with the set's one-bit MinHash values.
 
-    Rows meet by ``met``, the shingle and a cell. Rows of a shingle that is counted often are dealt to blocks, and each pair of blocks
-    is a cell of its own, so that no group exceeds about ``2 * BLOCK`` rows. ``at`` holds the size of the set, the
-    shingle's place in it, and whether the row is of its cell's second block.
+    Rows meet by ``met``, the shingle. ``at`` holds the size of the set and the shingle's place in it. The last turn, ``turns``, has the shingles whose
+    slots are counted so often that they may be hot; the others share the rest.
     """
+    limit, once = int(log_code(np.array([2 * BLOCK]))[0]), int(log_code(np.array([1]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        code = counts.value
         for batch in batches:
-            # copies within the task go here, those of other tasks where the rows meet
-            fresh = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in seen and (len(seen) >= 1_000_000 or not seen.add(k))]
+            # copies within the task go here, those of other tasks where the rows meet; what is forgotten is soon learnt again if it is frequent
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            fresh = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in seen and not seen.add(k)]
             if not fresh:
                 continue
             keys, s1, s2 = (batch.column(c).take(pa.array(fresh)).to_numpy() for c in (0, 1, 2))
-            raws = batch.column(3).take(pa.array(fresh)).to_pylist()
-            n = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            raws, highs = (batch.column(c).take(pa.array(fresh)).to_pylist() for c in (3, 4))
+            n = np.fromiter(map(len, highs), np.int64, len(highs))
             flat = np.frombuffer(b"".join(raws), np.uint32)
             doc = np.repeat(np.arange(len(n)), n)
-            c = counts.value[flat % SLOTS]
+            c = code[flat % len(code)]
             start = np.cumsum(n) - n
             place = np.arange(len(flat)) - start[doc]
             # by text, count and fingerprint, which is the place so far; one plain sort of packed values
-            packed = np.sort((doc << 44) | (np.minimum(c, (1 << 16) - 1).astype(np.int64) << 28) | place)
+            packed = np.sort((doc << 44) | (c.astype(np.int64) << 28) | place)
             order = start[doc] + (packed & 0xFFFFFFF)
+            own = c[order] > limit if turn == turns else (c[order] <= limit) & (flat[order] % turns == turn)
             # a slot counted once has no partner
-            at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > 1) & (flat[order] % turns == turn))
-            count, cell, side = c[order[at]], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            hot = np.flatnonzero(count > 2 * BLOCK)
-            if len(hot):
-                cold = np.flatnonzero(count <= 2 * BLOCK)
-                rows, cells, sides = [cold], [cell[cold]], [side[cold]]
-                for r in hot.tolist():
-                    blocks = -(-int(count[r]) // BLOCK)
-                    own, other = int(mixed(keys[doc[at[r]]].astype(np.uint64)[None])[0] % np.uint64(blocks)), np.arange(blocks)
-                    rows.append(np.full(blocks, r)), cells.append(np.minimum(own, other) * blocks + np.maximum(own, other)), sides.append((own > other).astype(np.int64))
-                at, cell, side = at[np.concatenate(rows)], np.concatenate(cells), np.concatenate(sides)
+            at = np.flatnonzero((place < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (c[order] > once) & own)
             d = doc[at]
-            met, where = (flat[order[at]].astype(np.int64) << 31) | cell, (n[d] << 32) | (place[at] << 1) | side
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (met, where, keys[d], s1[d], s2[d])], names=["met", "at", "key", "s1", "s2"])
+            met = flat[order[at]].astype(np.int64) | (np.frombuffer(b"".join(highs), np.uint8)[order[at]].astype(np.int64) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (met, (n[d] << 32) | (place[at] << 1), keys[d], s1[d], s2[d])], names=["met", "at", "key", "s1", "s2"])
+
+    return sets.select("key", "s1", "s2", "set", "high").mapInArrow(run, "met bigint, at bigint, key bigint, s1 bigint, s2 bigint")
+
 
-    return sets.select("key", "s1", "s2", "set").mapInArrow(run, "met bigint, at bigint, key bigint, s1 bigint, s2 bigint")
+def in_cells(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The rows with a ``cell``: those of a hot shingle once for each block of it, with the last bit of ``at`` set if their own block is the second of the cell."""
+    rows = ws.save(rows)
+    hot = ws.save(rows.groupBy("met").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
+    heaviest = [r["met"] for r in hot.orderBy(F.desc("n")).limit(HEAVIEST).collect()]
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    dealt = split_join(rows, hot, "met", heaviest, "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") > 1, F.least("own", "other").cast("bigint") * (1 << 32) + F.greatest("own", "other") + 1).otherwise(F.lit(0))
+    return cells.select("met", cell.cast("bigint").alias("cell"), (F.col("at") + (F.col("own") > F.col("other")).cast("bigint")).alias("at"), "key", "s1", "s2")
 
 
 def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TURNS) -> DataFrame:
@@ -182,8 +209,8 @@ def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TU
     t, most_unlike = threshold, BITS - least_matches(threshold, BITS, 0.5)[0]
 
     def meet(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        met, at, key, s1, s2 = rows
-        group = np.cumsum(np.r_[True, met[1:] != met[:-1]])
+        met, cell, at, key, s1, s2 = rows
+        group = np.cumsum(np.r_[True, (met[1:] != met[:-1]) | (cell[1:] != cell[:-1])])
         again = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
         group, at, key, s1, s2 = group[~again], at[~again], key[~again], s1[~again].view(np.uint64), s2[~again].view(np.uint64)
         side, place, n = at & 1, (at & 0xFFFFFFFF) >> 1, at >> 32
@@ -217,7 +244,9 @@ def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TU
                 held.append([c.to_numpy() for c in batch.columns])
             if sum(len(h[0]) for h in held) >= 250_000:
                 rows = [np.concatenate(c) for c in zip(*held)]
-                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
+                # the last group, of at most two blocks and copies from other tasks, may go on in the next batch
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                last += int(np.searchsorted(rows[1][last:], rows[1][-1]))
                 if last:
                     yield from meet([c[:last] for c in rows])
                 held = [[c[last:] for c in rows]]
@@ -226,10 +255,11 @@ def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TU
 
     counts = ws.spark.sparkContext.broadcast(shingle_counts(sets))
     parts = None
-    for turn in range(turns):
+    for turn in range(turns + 1):
         ws.release()
-        met = prefixes(sets, threshold, counts, turn, turns).repartition("met").sortWithinPartitions("met", "key")
-        part = ws.save(met.mapInArrow(run, "a bigint, b bigint").distinct())
+        rows = prefixes(sets, threshold, counts, turn, turns)
+        met = in_cells(ws, rows) if turn == turns else rows.select("met", F.lit(0).cast("bigint").alias("cell"), "at", "key", "s1", "s2")
+        part = ws.save(met.repartition("met", "cell").sortWithinPartitions("met", "cell", "key").mapInArrow(run, "a bigint, b bigint").distinct())
         parts = part if parts is None else parts.union(part)
     return parts.distinct()
 
@@ -243,8 +273,9 @@ def hash_family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def min_values(flat: np.ndarray, start: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
     """For each hash function, the smallest hash of every set, scrambled; the sets lie one after the other in ``flat``."""
+    flat = flat ^ (flat >> np.uint32(15))
     for m, o in zip(*hash_family(count, seed)):
-        low = np.minimum.reduceat((flat ^ (flat >> np.uint32(15))) * m + o, start)
+        low = np.minimum.reduceat(flat * m + o, start)
         yield (low ^ (low >> np.uint32(13))) * np.uint32(0x9E3779B1)
 
 
@@ -311,16 +342,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, values = [], []
-            for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                p, q = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
+            for i, (left, right, more, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                p, q = whole([left], [more]), whole([right], [other])
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if both >= needed(threshold, len(p), len(q)):
                     keep.append(i), values.append(both / (len(p) + len(q) - both))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
 
-    x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), sets.select(F.col("key").alias("b"), F.col("set").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("xa"), F.col("high").alias("ha")), sets.select(F.col("key").alias("b"), F.col("set").alias("xb"), F.col("high").alias("hb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 def near_classes(rows: DataFrame, text: str = "text", row_id: str = "row_id", threshold: float = 0.8, size: int = 5, least_words: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -334,14 +365,16 @@ def near_classes(rows: DataFrame, text: str = "text", row_id: str = "row_id", th
     pairs = ws.save(candidates(ws, sets, threshold))
     ws.release()
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = ws.save(sets.select("key", "set").join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    # one row of each class, found by aggregates, so that the sets of copies are not brought together
+    first = sets.groupBy("key").agg(F.min("row_id").alias("row_id")).join(keys, "key")
+    wanted = ws.save(sets.select("row_id", "key", "set", "high").join(first, ["row_id", "key"], "left_semi").select("key", "set", "high").dropDuplicates(["key"]))
     ws.release()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(batch.column(1).to_pylist()) if batch.num_rows else [], pa.binary())], names=["key", "signature"])
 
-    likely = ws.save(pruned(pairs, wanted.mapInArrow(sign, "key bigint, signature binary"), threshold))
+    likely = ws.save(pruned(pairs, wanted.select("key", "set").mapInArrow(sign, "key bigint, signature binary"), threshold))
     links = ws.save(verified(likely, wanted, threshold))
     return sets.select("row_id", "key"), links
 
@@ -349,12 +382,15 @@ def near_classes(rows: DataFrame, text: str = "text", row_id: str = "row_id", th
 def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(i, j) row pairs, i < j: rows of one class, and rows of linked classes.
 
-    This is the expansion that a caller asks for; its size is that of the result. Only classes with copies and linked ones are joined.
+    This is the expansion that a caller asks for; its size is that of the result. The rows of a class are dealt to blocks, and blocks are paired,
+    so that no task gets all rows of a class with very many copies.
     """
-    one = members.select(F.col("row_id").alias("i"), F.col("key").alias("a"))
-    two = members.select(F.col("row_id").alias("j"), F.col("key").alias("b"))
-    several = members.groupBy("key").count().where("count > 1").select("key")
-    copied = members.join(several, "key", "left_semi")
-    inside = copied.select(F.col("row_id").alias("i"), "key").join(copied.select(F.col("row_id").alias("j"), "key"), "key").where("i < j").select("i", "j")
-    across = links.select("a", "b").join(one, "a").join(two, "b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j")
+    placed = Workspace(members.sparkSession).save(dealt(members.distinct(), "key", "row_id"))
+    inside = pairs_of(placed, "key", "row_id").select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"))
+    blocks = placed.where("n_blocks > 1").select("key", "n_blocks").distinct()
+    many = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1)
+    of = lambda side: blocks.select(F.col("key").alias(side), F.col("n_blocks").alias("n" + side))
+    cells = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("block_a", F.explode(many("na"))).withColumn("block_b", F.explode(many("nb")))
+    one, two = (placed.select(F.col("row_id").alias(i), F.col("key").alias(s), F.col("block").alias("block_" + s)) for i, s in (("i", "a"), ("j", "b")))
+    across = cells.join(one, ["a", "block_a"]).join(two, ["b", "block_b"]).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j")
     return inside.union(across).distinct()

@@ -17,24 +17,30 @@ from textwerk.llm.subjects import dealt_with, text_subjects
 from textwerk.llm.tokens import encoded, token_counts
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import Workspace, table
+from textwerk.operators.skew import heavy_keys, split_join
 
 #: A recorded pair links its rows from this similarity on.
 LINK_SIMILARITY = 0.85
 
 
+#: Texts are near duplicates from this share of common shingles on.
+ALIKE = {"threshold": 0.6, "size": 3, "least_words": 10}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_pairs(*near_classes(table(spark, d, "combined_csv"), threshold=0.6, size=3, least_words=10))
+    return near_pairs(*near_classes(table(spark, d, "combined_csv"), **ALIKE))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """For every compared row its class of equal shingle sets, the number of classes linked to it, and its group."""
-    members, links = near_classes(table(spark, d, "combined_csv"), threshold=0.8, size=5, least_words=10)
+    members, links = near_classes(table(spark, d, "combined_csv"), **ALIKE)
     first = members.groupBy("key").agg(F.min("row_id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     groups = peeled_components(links, "a", "b").withColumnRenamed("vertex", "key")
     known = first.join(degree, "key", "left").join(groups, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "key").alias("label"))
     low = known.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    return members.join(known, "key").join(low, "label").select("row_id", "class_id", "n_links", "group_id")
+    whole = split_join(known, low, "label", heavy_keys(known, "label"))
+    return split_join(members, whole, "key", heavy_keys(members, "key")).select("row_id", "class_id", "n_links", "group_id")
 
 
 def recorded_links(spark: SparkSession, d: str) -> DataFrame:
