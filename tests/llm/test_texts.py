@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,20 @@ def test_packing(spark):
     assert packing.packed(df.limit(0), specs).count() == 0
 
 
+def test_generations_beat_best_fit():
+    """Items of a quarter to half of the capacity, three a full bin: best fit leaves room that crossover and replacement fill."""
+    r = np.random.default_rng(3)
+    triples = [(a, b, 1000 - a - b) for a, b in zip(r.integers(260, 380, 120).tolist(), r.integers(255, 370, 120).tolist())]
+    sizes = r.permutation(np.array([x for t in triples for x in t], np.int64))
+    best_fit = packing.score_of(sizes, packing.fresh(sizes, 1000, 0.0, r), 1000)[0]
+    population = [packing.fresh(sizes, 1000, 0.03 * k, r) for k in range(packing.POPULATION)]
+    for _ in range(packing.EPOCHS):
+        population = packing.evolve(sizes, 1000, population, r)
+    best = population[0]
+    assert max(np.bincount(best, weights=sizes)) <= 1000 and len(best) == len(sizes)
+    assert packing.score_of(sizes, best, 1000)[0] < best_fit - 1
+
+
 SAME = [("Sandtal ist schön", "Ѕаndtаl іst schön"), ("Über", "Über"), ("ﬁn", "fin"), ("Ａｂｃ", "Abc"), ("a b", "a b"), ("c d", "c d"), ("zu­sammen", "zusammen"), ("e‑mail", "e-mail"), ("x​y", "xy"), ("νon", "von"), ("ρarιs", "paris"), ("հօnig", "honig"), ("ᎪᏴer", "ABer"), ("g\r\nh", "g\nh")]
 UNLIKE = [("Haus", "haus"), ("schön", "schon"), ("a b", "a  b"), ("1", "l"), ("слово", "слова"), ("👩‍🏫", "👩🏫")]
 

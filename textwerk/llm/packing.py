@@ -2,8 +2,9 @@
 
 Items are dealt to shards of bounded size by hash. Each shard is packed on several islands. An individual is an assignment of items to
 bins; a child takes whole well-filled bins of one parent over to the other, bins of the other that hold the same items are removed,
-and the displaced items go back by best fit, largest first, together with those of its emptiest bins. Between epochs the
-best individual of each island moves to the next one by a join. Bins that stay far from full are taken apart and packed again across shards.
+and the displaced items go back by best fit, largest first, together with those of its emptiest bins; before that, displaced items replace smaller ones
+of a bin that they fill better. Between epochs the best individual of each island moves to the next one by a join. Epochs go on while they save a
+container, and a shard rests once it has the fewest that its load allows. Bins that stay far from full are taken apart and packed again across shards.
 
 An item is split only if it alone exceeds the capacity: into full pieces, each with a container of its own, and a rest.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from textwerk.operators.durable import Workspace
 
-#: Items a shard holds on average, islands a shard, individuals an island, children an epoch, epochs.
-SHARD_ITEMS, ISLANDS, POPULATION, CHILDREN, EPOCHS = 4000, 2, 3, 4, 2
+#: Items a shard holds on average, islands a shard, individuals an island, children an epoch, epochs at most.
+SHARD_ITEMS, ISLANDS, POPULATION, CHILDREN, EPOCHS = 4000, 2, 4, 10, 8
 #: Bins below this share of the capacity are taken apart for the last round.
 LOOSE = 0.98
 _STATE = "spec_id int, shard int, island int, capacity int, docs binary, pieces binary, sizes binary, population binary, n_bins int, score double"
@@ -61,6 +62,30 @@ def fresh(sizes: np.ndarray, capacity: int, noise: float, r: np.random.Generator
     return assign
 
 
+def replaced(sizes: np.ndarray, rest: np.ndarray, assign: np.ndarray, loads: list[int], capacity: int) -> np.ndarray:
+    """Let free items take the place of one smaller item of a bin where they leave less room; returns the items that are free then.
+
+    Each bin is tried once, with its smallest item, in the order of its room. Changes ``assign`` and ``loads``.
+    """
+    if not len(rest) or not loads:
+        return rest
+    free = sorted((int(sizes[i]), int(i)) for i in rest)
+    kept = np.flatnonzero(assign >= 0)
+    smallest = {}
+    for i in kept[np.argsort(-sizes[kept], kind="stable")].tolist():
+        smallest[int(assign[i])] = i
+    for k in sorted(smallest, key=lambda k: loads[k] - capacity):
+        out = smallest[k]
+        room = capacity - loads[k] + int(sizes[out])
+        at = bisect_left(free, (room + 1, -1)) - 1
+        if at >= 0 and free[at][0] > sizes[out]:
+            size, i = free.pop(at)
+            loads[k] += size - int(sizes[out])
+            assign[i], assign[out] = k, -1
+            insort(free, (int(sizes[out]), out))
+    return np.array([i for _, i in free], dtype=np.int64)
+
+
 def child(giver: np.ndarray, taker: np.ndarray, sizes: np.ndarray, capacity: int, r: np.random.Generator) -> np.ndarray:
     """Crossover of two assignments by whole bins."""
     loads = np.bincount(giver, weights=sizes)
@@ -80,8 +105,8 @@ def child(giver: np.ndarray, taker: np.ndarray, sizes: np.ndarray, capacity: int
     inside = assign >= 0
     assign[inside] = compact(assign[inside])
     now = np.bincount(assign[inside], weights=sizes[inside]).astype(np.int64).tolist() if inside.any() else []
-    rest = np.flatnonzero(~inside)
     assign = assign.astype(np.int32)
+    rest = replaced(sizes, np.flatnonzero(~inside), assign, now, capacity)
     best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], assign, now, capacity)
     return compact(assign)
 
@@ -148,11 +173,16 @@ def _packed(ws: Workspace, items: DataFrame) -> DataFrame:
     counts = items.groupBy("spec_id").agg(F.ceil(F.count("*") / SHARD_ITEMS).alias("shards"))
     dealt = items.join(F.broadcast(counts), "spec_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("int")).drop("shards").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     state = ws.save(dealt.groupBy("spec_id", "shard", "island").applyInPandas(_begin, _STATE))
+    used = lambda: state.groupBy("spec_id", "shard").agg(F.min("n_bins").alias("n")).agg(F.sum("n")).first()[0]
+    bins = used()
     for epoch in range(1, EPOCHS):
         movers = state.select("spec_id", "shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), state["population"].substr(F.lit(1), (F.length("sizes") / 2).cast("int")).alias("migrant"))
         after = state.join(movers, ["spec_id", "shard", "island"], "left").mapInPandas(_go_on(epoch), _STATE)
         state, before = ws.save(after), state
         ws.drop(before)
+        bins, last = used(), bins
+        if bins == last:
+            break
     winner = state.groupBy("spec_id", "shard").agg(F.min(F.struct("n_bins", (-F.col("score")).alias("s"), "island")).alias("w")).select("spec_id", "shard", F.col("w.island").alias("island"))
     return ws.save(state.join(winner, ["spec_id", "shard", "island"], "left_semi").mapInPandas(_unpack, "spec_id int, shard int, capacity int, bin int, load bigint, doc_id bigint, piece int, size bigint"))
 

@@ -14,7 +14,7 @@ from textwerk.llm.near import near_classes, near_pairs
 from textwerk.llm.packing import packed
 from textwerk.llm.prose import judged, text_statistics
 from textwerk.llm.subjects import dealt_with, text_subjects
-from textwerk.llm.tokens import encoded, token_counts
+from textwerk.llm.tokens import encoded, token_counts, tokenizer_path
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import Workspace, table
 from textwerk.operators.skew import heavy_keys, split_join
@@ -113,8 +113,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Container and place of every piece of documents, for each row of packing_specs."""
-    return packed(token_counts(table(spark, d, "documents")), table(spark, d, "packing_specs"))
+    """Container and place of every piece of documents, for each row of packing_specs, in tokens of its own tokenizer."""
+    specs, documents, out = table(spark, d, "packing_specs"), table(spark, d, "documents"), None
+    for name in sorted(r[0] for r in specs.select("tokenizer").distinct().collect()):
+        part = packed(token_counts(documents, path=tokenizer_path(name + ".json")), specs.where(F.col("tokenizer") == name))
+        out = part if out is None else out.union(part)
+    return packed(token_counts(documents.limit(0)), specs) if out is None else out
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

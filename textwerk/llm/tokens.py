@@ -34,10 +34,15 @@ _NEVER = np.int64(1) << 40
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Place of an installed public tokenizer file."""
+    """Place of an installed public tokenizer file; an unknown name is an error that lists what there is."""
+    import os
+
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    path = public_tokenizers.path(name)
+    if not os.path.exists(path):
+        raise ValueError(f"no tokenizer file {name}; there are {sorted(x for x in os.listdir(os.path.dirname(path)) if '.' in x)}")
+    return path
 
 
 def byte_of_sign() -> dict[str, int]:
