@@ -35,7 +35,7 @@ from textwerk.operators.skew import HEAVIEST, dealt, pairs_of, split_join
 #: Slots of the count sketch, at least and at most: a broadcast of 2 bytes each.
 SLOTS, MOST_SLOTS = 1 << 20, 1 << 22
 #: Turns in which the shingles are taken: each shuffles its share of the prefixes and frees it. One more takes those that may be hot.
-TURNS = 3
+TURNS = 4
 #: Rows of a block of a hot shingle.
 BLOCK = 4096
 #: Classes a task remembers, to pass over their copies.
@@ -258,8 +258,11 @@ def candidates(ws: Workspace, sets: DataFrame, threshold: float, turns: int = TU
     for turn in range(turns + 1):
         ws.release()
         rows = prefixes(sets, threshold, counts, turn, turns)
-        met = in_cells(ws, rows) if turn == turns else rows.select("met", F.lit(0).cast("bigint").alias("cell"), "at", "key", "s1", "s2")
-        part = ws.save(met.repartition("met", "cell").sortWithinPartitions("met", "cell", "key").mapInArrow(run, "a bigint, b bigint").distinct())
+        if turn == turns:
+            met = in_cells(ws, rows).repartition("met", "cell").sortWithinPartitions("met", "cell", "key")
+        else:
+            met = rows.repartition("met").sortWithinPartitions("met", "key").select("met", F.lit(0).cast("bigint").alias("cell"), "at", "key", "s1", "s2")
+        part = ws.save(met.mapInArrow(run, "a bigint, b bigint").distinct())
         parts = part if parts is None else parts.union(part)
     return parts.distinct()
 
@@ -385,7 +388,7 @@ def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     This is the expansion that a caller asks for; its size is that of the result. The rows of a class are dealt to blocks, and blocks are paired,
     so that no task gets all rows of a class with very many copies.
     """
-    placed = Workspace(members.sparkSession).save(dealt(members.distinct(), "key", "row_id"))
+    placed = Workspace(members.sparkSession).save(dealt(members, "key", "row_id"))
     inside = pairs_of(placed, "key", "row_id").select(F.col("a_row_id").alias("i"), F.col("b_row_id").alias("j"))
     blocks = placed.where("n_blocks > 1").select("key", "n_blocks").distinct()
     many = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1)
