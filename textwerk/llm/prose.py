@@ -11,6 +11,7 @@ Null texts, and texts without letters and digits, have null statistics and no fl
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -51,11 +52,10 @@ def language(column: Column | None) -> Column:
     return F.when(two.isin("de", "en"), two).otherwise("und")
 
 
-def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None) -> dict[str, frozenset[str]]:
-    """The common words of each language over all texts.
+def word_counts(rows: DataFrame, text: str = "text", lang: Column | None = None) -> DataFrame:
+    """(lang, word, low, other): in how many texts each word is found in lower case, and in another spelling; ``low`` of the empty word counts the texts.
 
-    Tasks count their own texts and send the counts of their words; counts of one text are never split. Only words that
-    reach the shares come to the driver, at most 1 / ``PAIR_SHARE`` a language.
+    Tasks count their own texts and send the counts of their words; counts of one text are never split.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,16 @@ def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "word", "low", "other"])
 
     source = rows.select(language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    counts = Workspace(rows.sparkSession).save(source.mapInArrow(run, "lang string, word string, low bigint, other bigint").groupBy("lang", "word").agg(F.sum("low").alias("low"), F.sum("other").alias("other")))
+    return Workspace(rows.sparkSession).save(source.mapInArrow(run, "lang string, word string, low bigint, other bigint").groupBy("lang", "word").agg(F.sum("low").alias("low"), F.sum("other").alias("other")))
+
+
+def common_words(rows: DataFrame, text: str = "text", lang: Column | None = None) -> dict[str, frozenset[str]]:
+    """The common words of each language over all texts."""
+    return common_of(word_counts(rows, text, lang))
+
+
+def common_of(counts: DataFrame) -> dict[str, frozenset[str]]:
+    """The common words among :func:`word_counts`. Only words that reach the shares come to the driver, at most 1 / ``PAIR_SHARE`` a language."""
     sums = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("low"))).alias("texts"), F.sum(F.when(F.col("word") != "", F.col("low") + F.col("other"))).alias("pairs")).collect()
     if not sums:
         return {}
@@ -97,26 +106,30 @@ def line_shares(text: str, common: frozenset[str]) -> list[Line]:
     return out
 
 
-def prose_of(lines: list[Line], least: float) -> tuple[list[Line], int, int]:
-    """(lines of prose, their characters, all characters).
+def line_ratios(lines: list[Line]) -> list[float]:
+    """The share of common words by which each line is judged: infinite for a marked sentence, below 0 for repeated matter and lines without a common word.
 
     Short lines have too few words to judge by themselves; they are judged with the lines around them that are as short.
     """
     repeats = Counter(line[0] for line in lines) if len(lines) >= REPEATED else {}
-    prose, good, total = [], 0, 0
-    for k, (line, n, own, known) in enumerate(lines):
-        total += n
+    out = []
+    for k, (line, _, own, known) in enumerate(lines):
         words = len(own)
         if repeats and repeats[line] >= REPEATED:
+            out.append(-1.0)
             continue
         if 0 < words < 6:
             for near in (k - 1, k + 1):
                 if 0 <= near < len(lines) and len(lines[near][2]) < 12:
                     words, known = words + len(lines[near][2]), known + lines[near][3]
-        if known and (known >= least * words or words <= 8 and MARKED(line)):
-            prose.append(lines[k])
-            good += n
-    return prose, good, total
+        out.append(-1.0 if not known else math.inf if words <= 8 and MARKED(line) else known / words)
+    return out
+
+
+def prose_of(lines: list[Line], least: float) -> tuple[list[Line], int, int]:
+    """(lines of prose, their characters, all characters)."""
+    prose = [line for line, ratio in zip(lines, line_ratios(lines)) if ratio >= max(least, 0.0)]
+    return prose, sum(line[1] for line in prose), sum(line[1] for line in lines)
 
 
 def prose_lines(text: str, common: frozenset[str], least: float) -> tuple[list[Line], int, int]:
@@ -192,8 +205,13 @@ def least_share(rows: DataFrame, common: dict[str, frozenset[str]], text: str =
             yield pa.RecordBatch.from_arrays([langs, pa.array(shares, pa.float64())], names=["lang", "share"])
 
     source = rows.select(language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    return least_of(source.mapInArrow(run, "lang string, share double"))
+
+
+def least_of(shares: DataFrame) -> dict[str, float]:
+    """:func:`least_share` of texts (lang, share) with their shares of common words, null for those without words."""
     out = {}
-    for (g, _), points in sketches(source.mapInArrow(run, "lang string, share double"), ("share",)).items():
+    for (g, _), points in sketches(shares, ("share",)).items():
         middle, spread = middle_and_spread(points)
         out[g] = middle - TAIL * min(spread or middle, WIDEST * middle)
     return out

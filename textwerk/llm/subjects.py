@@ -22,10 +22,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textwerk.llm.prose import WORD, Line, common_words, language, least_share, prose_lines
+from textwerk.llm.prose import LINE, Line, common_of, language, least_of, line_ratios, word_counts
 from textwerk.operators.durable import Workspace
 from textwerk.operators.skew import HEAVIEST, LEAST_ROWS, heavy_keys, split_join
 
@@ -33,14 +34,14 @@ from textwerk.operators.skew import HEAVIEST, LEAST_ROWS, heavy_keys, split_join
 ROUNDS = 4
 #: Counts of words and subjects, or vertices, that a task holds before it hands them on.
 HELD = 200_000
-#: A word is verified with so many passages, and this share of all passages at least (so that there can be no more features than words a
-#: passage / ``LEAST_SHARE``), if this share of those with a subject is in one; or with ``MIXED_SUPPORT`` passages if two or
+#: A word is verified with so many passages, and this share of all texts at least (so that there can be no more features than different words a
+#: text / ``LEAST_SHARE``), if this share of those with a subject is in one; or with ``MIXED_SUPPORT`` passages if two or
 #: three subjects with a share of ``PART`` each have ``PURITY`` of them together.
 SUPPORT, LEAST_SHARE, PURITY, PART, MIXED_SUPPORT = 8, 1e-5, 0.9, 0.08, 40
 #: A subject belongs to a text if this share of its sentences deals with it; texts need so many words.
 SHARE, LEAST_WORDS = 0.25, 30
-#: Fixed patterns: sentence ends.
-SENTENCE = re.compile(r"[.!?…\n\r|;]+(?:\s|$)|\s[–-]\s|[\n\r|]+")
+#: What ends a sentence in a line with single blanks.
+SENTENCE_ENDS = (". ", "! ", "? ", "… ", "; ", "|", " - ", " – ")
 WORD_OR_END = re.compile(r"[^\W_]+|\n")
 #: A stretch without sentence ends of more than ``SHARED`` words is cut into passages of ``USUAL`` words, which together weigh one sentence up to
 #: ``LONG`` words and one each beyond. They take no part in the verification.
@@ -50,10 +51,36 @@ USUAL, SHARED, LONG = 9, 20, 45
 TAKEN = "array<struct<topic: int, share: double>>"
 
 
-def sentences(lines: list[Line]) -> str:
-    """The sentences of the lines, one in a line, as words parted by blanks; the lines are joined first, as they may be broken anywhere."""
-    marked = SENTENCE.sub("\n", " ".join(line[0] for line in lines).lower())
-    return "\n".join(part for raw in " ".join(WORD_OR_END.findall(marked)).split("\n") if " " in (part := raw.strip()))
+def cut_lines(text: str, common: frozenset[str]) -> tuple[list[Line], list[str]]:
+    """The lines of a text, as :func:`textwerk.llm.prose.line_shares` gives them, and the words of each, parted by blanks, with a line feed where a sentence ends."""
+    lines, cut, known = [], [], common.__contains__
+    for raw in LINE.findall(text):
+        if tokens := raw.split():
+            marked = " ".join(tokens).lower() + " "
+            for end in SENTENCE_ENDS:
+                marked = marked.replace(end, "\n")
+            found = WORD_OR_END.findall(marked)
+            lines.append((raw, sum(map(len, tokens)), range(len(found) - found.count("\n")), sum(map(known, found))))
+            cut.append(" ".join(found))
+    return lines, cut
+
+
+def lines_of_prose(batch: pa.RecordBatch, least: dict[str, float]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray | None]]:
+    """Of a batch of cut texts: whether each line is prose, the text of each line, and the lines' marks of each text that has others than prose."""
+    ratios = batch.column("ratios")
+    n = np.diff(ratios.offsets.to_numpy())
+    low = np.array([max(least.get(g, 0.0), 0.0) for g in batch.column("lang").to_pylist()])
+    text = np.repeat(np.arange(len(n)), n)
+    prose = ratios.flatten().to_numpy(zero_copy_only=False) >= low[text]
+    ends, bad = np.cumsum(n), np.bincount(text[~prose], minlength=len(n))
+    return prose, text, [prose[e - k : e] if b else None for e, k, b in zip(ends.tolist(), n.tolist(), bad.tolist())]
+
+
+def kept_sentences(joined: str, prose: np.ndarray | None) -> list[str]:
+    """The sentences of two or more words in the lines of prose (all if not told), which are joined first, as lines may be broken anywhere."""
+    if prose is not None:
+        joined = " ".join(line for line, good in zip(joined.split("\r"), prose.tolist()) if good)
+    return [part for raw in joined.replace("\r", " ").split("\n") if " " in (part := raw.strip())]
 
 
 def seed_words(subjects: DataFrame) -> DataFrame:
@@ -62,49 +89,50 @@ def seed_words(subjects: DataFrame) -> DataFrame:
     return split.groupBy("word").agg(F.min("topic").alias("topic"), F.count_distinct("topic").alias("n")).where("n = 1").select("word", "topic")
 
 
-def cut_texts(rows: DataFrame, text: str, row_id: str, prose: tuple[dict, dict], lang: Column | None, asked: Column | None) -> DataFrame:
-    """(row_id, asked, sentences, n_words, prose_share) of the texts: their sentences, a line each, as words joined by blanks, the words of their prose lines and the share of prose."""
-    lines = rows.sparkSession.sparkContext.broadcast(prose)
+def cut_texts(rows: DataFrame, text: str, row_id: str, common: dict, lang: Column | None, asked: Column | None) -> DataFrame:
+    """(row_id, asked, lang, share, lines, ratios, chars, words) of the texts: their share of common words, and of each line the sentences, what it is judged by, its characters and words."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
     wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     source = rows.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), wanted.alias("asked"), language(lang).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, least = lines.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
-            parts, n_words, shares = [], [], []
+            shares, joined, lengths, ratios, chars, words = [], [], [0], [], [], []
             for g, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                kept, good, total = prose_lines(t, common.get(g, frozenset()), least.get(g, 0.0))
-                parts.append(sentences(kept))
-                n_words.append(sum(len(line[2]) for line in kept))
-                shares.append(good / total if total else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.string()), pa.array(n_words, pa.int32()), pa.array(shares, pa.float64())], names=["row_id", "asked", "sentences", "n_words", "prose_share"])
+                lines, cut = cut_lines(t, common.get(g, frozenset()))
+                n = [len(line[2]) for line in lines]
+                shares.append(sum(line[3] for line in lines) / total if (total := sum(n)) else None)
+                joined.append("\r".join(cut)), lengths.append(len(lines)), ratios.extend(line_ratios(lines)), chars.extend(line[1] for line in lines), words.extend(n)
+            ends = pa.array(np.cumsum(lengths), pa.int32())
+            more = [pa.array(shares, pa.float64()), pa.array(joined, pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((ratios, pa.float32()), (chars, pa.int32()), (words, pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *more], names=["row_id", "asked", "lang", "share", "lines", "ratios", "chars", "words"])
 
-    return source.mapInArrow(cut, "row_id bigint, asked boolean, sentences string, n_words int, prose_share double")
+    return source.mapInArrow(run, "row_id bigint, asked boolean, lang string, share double, lines string, ratios array<float>, chars array<int>, words array<int>")
 
 
-def heard_words(cut_once: DataFrame, seeds: dict[str, int]) -> DataFrame:
-    """(word, topic, n): passages of each word, with topic null, and those of them in which a seed of one subject leads without the word itself."""
-    known = cut_once.sparkSession.sparkContext.broadcast(seeds)
+def heard_words(cut_once: DataFrame, seeds: dict[str, int], least: dict[str, float]) -> DataFrame:
+    """(word, topic, n): passages of each word in which a seed of one subject leads without the word itself."""
+    known = cut_once.sparkSession.sparkContext.broadcast((seeds, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, total = known.value, Counter()
+        seeds, least = known.value
         all_seeds = frozenset(seeds)
         got: defaultdict[int, Counter] = defaultdict(Counter)
 
         def counted() -> pa.RecordBatch:
-            rows = [(w, None, n) for w, n in total.items()] + [(w, s, n) for s, by in got.items() for w, n in by.items()]
-            total.clear(), got.clear()
+            rows = [(w, s, n) for s, by in got.items() for w, n in by.items()]
+            got.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["word", "topic", "n"])
 
         for batch in batches:
-            for joined in batch.column(0).to_pylist():
-                for stretch in joined.split("\n") if joined else ():
-                    parts = stretch.split(" ")
-                    words = set(parts)
-                    total.update(words)
-                    hits = words & all_seeds
+            for joined, marks in zip(batch.column("lines").to_pylist(), lines_of_prose(batch, least)[2]):
+                for stretch in kept_sentences(joined, marks):
+                    parts = stretch.split()
+                    hits = all_seeds.intersection(parts)
                     if not hits or len(parts) > SHARED:
                         continue
+                    words = set(parts)
                     votes = Counter(map(seeds.__getitem__, hits))
                     if len(votes) == 1:
                         got[seeds[next(iter(hits))]].update(words if len(hits) > 1 else words - hits)
@@ -114,11 +142,11 @@ def heard_words(cut_once: DataFrame, seeds: dict[str, int]) -> DataFrame:
                         top = rest.most_common(2)
                         if top and (len(top) == 1 or top[0][1] > top[1][1]):
                             got[top[0][0]][w] += 1
-            if len(total) > HELD:
+            if sum(map(len, got.values())) > HELD:
                 yield counted()
         yield counted()
 
-    return cut_once.select("sentences").mapInArrow(run, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
+    return cut_once.select("lang", "lines", "ratios").mapInArrow(run, "word string, topic int, n bigint").groupBy("word", "topic").agg(F.sum("n").alias("n"))
 
 
 def verdict(heard: DataFrame) -> DataFrame:
@@ -137,29 +165,29 @@ def several() -> Column:
     return (F.col("n") >= MIXED_SUPPORT) & (F.size(main_subjects()) <= 3) & (F.aggregate(main_subjects(), F.lit(0.0), lambda a, b: a + b["share"]) >= PURITY)
 
 
-def features_of(heard: DataFrame, seeds: DataFrame, n_passages: int) -> DataFrame:
+def features_of(heard: DataFrame, counts: DataFrame, seeds: DataFrame, n_texts: int) -> DataFrame:
     """(word, feature, seed): the words (no numbers) that keep their links, numbered; seeds always do."""
-    total = heard.where("topic is null").select("word", F.col("n").alias("total"))
-    shares = verdict(heard.where("topic is not null").withColumnRenamed("word", "feature")).withColumnRenamed("feature", "word")
+    total = counts.where("word <> ''").groupBy("word").agg(F.sum(F.col("low") + F.col("other")).alias("total"))
+    shares = verdict(heard.withColumnRenamed("word", "feature")).withColumnRenamed("feature", "word")
     unclear = (F.col("n") >= SUPPORT) & (F.col("by")[0]["share"] < PURITY) & ~several()
     known = total.join(shares, "word", "left").join(F.broadcast(seeds.withColumnRenamed("topic", "seed")), "word", "left")
-    kept = known.where(~F.col("word").rlike(r"^\d+$")).where(F.col("seed").isNotNull() | ((F.col("total") >= max(float(SUPPORT), LEAST_SHARE * n_passages)) & ~F.coalesce(unclear, F.lit(False))))
+    kept = known.where(~F.col("word").rlike(r"^\d+$")).where(F.col("seed").isNotNull() | ((F.col("total") >= max(float(SUPPORT), LEAST_SHARE * n_texts)) & ~F.coalesce(unclear, F.lit(False))))
     return kept.select("word", (F.monotonically_increasing_id() + 1).alias("feature"), "seed")
 
 
-def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
+def passages(cut_once: DataFrame, features: dict[str, int], least: dict[str, float]) -> DataFrame:
     """Rows of two kinds: texts (row_id, asked, n_words, prose_share, size, keys, weights) and vertices (key, features, members)."""
-    known = cut_once.sparkSession.sparkContext.broadcast(features)
+    known = cut_once.sparkSession.sparkContext.broadcast((features, least))
     kinds = {"row_id": pa.int64(), "asked": pa.bool_(), "n_words": pa.int32(), "prose_share": pa.float64(), "size": pa.float64(), "keys": pa.list_(pa.int64()), "weights": pa.list_(pa.float64()), "key": pa.int64(), "features": pa.list_(pa.int64()), "members": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        number, vertices = known.value, {}
+        (number, least), vertices = known.value, {}
 
         def table(columns: dict) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+            return pa.RecordBatch.from_arrays([(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k)) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
         def settled() -> pa.RecordBatch:
             found = list(vertices.values())
@@ -168,10 +196,14 @@ def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
 
         for batch in batches:
             keys, weights, sizes = [], [], []
-            for joined in batch.column(2).to_pylist():
+            prose, text, marked = lines_of_prose(batch, least)
+            chars, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("chars", "words"))
+            n_words = np.bincount(text, counts * prose, batch.num_rows).astype(np.int32)
+            prose_shares = np.bincount(text, chars * prose, batch.num_rows) / np.maximum(1, np.bincount(text, chars, batch.num_rows))
+            for joined, marks in zip(batch.column("lines").to_pylist(), marked):
                 own, weight, size = [], [], 0.0
-                for stretch in joined.split("\n") if joined else ():
-                    words = stretch.split(" ")
+                for stretch in kept_sentences(joined, marks):
+                    words = stretch.split()
                     if len(words) > SHARED:
                         parts = [words[k : k + USUAL] for k in range(0, len(words), USUAL)]
                         each = len(words) / USUAL / len(parts) if len(words) > LONG else 1 / len(parts)
@@ -186,13 +218,12 @@ def passages(cut_once: DataFrame, features: dict[str, int]) -> DataFrame:
                             vertex[2] += len(words) <= SHARED
                             own.append(vertex[0]), weight.append(each)
                 keys.append(own), weights.append(weight), sizes.append(size)
-            columns = {c: batch.column(k) for k, c in ((0, "row_id"), (1, "asked"), (3, "n_words"), (4, "prose_share"))}
-            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.array({"size": sizes, "keys": keys, "weights": weights}[c], k) if c in ("size", "keys", "weights") else pa.nulls(batch.num_rows, k) for c, k in kinds.items()], names=list(kinds))
+            yield table({"row_id": batch.column("row_id"), "asked": batch.column("asked"), "n_words": n_words, "prose_share": prose_shares, "size": sizes, "keys": keys, "weights": weights})
             if len(vertices) > HELD:
                 yield settled()
         yield settled()
 
-    return cut_once.select("row_id", "asked", "sentences", "n_words", "prose_share").mapInArrow(run, "row_id bigint, asked boolean, n_words int, prose_share double, size double, keys array<bigint>, weights array<double>, key bigint, features array<bigint>, members bigint")
+    return cut_once.select("row_id", "asked", "lang", "lines", "ratios", "chars", "words").mapInArrow(run, "row_id bigint, asked boolean, n_words int, prose_share double, size double, keys array<bigint>, weights array<double>, key bigint, features array<bigint>, members bigint")
 
 
 def spoken(links: DataFrame, labels: DataFrame, heavy: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -253,15 +284,14 @@ def text_subjects(rows: DataFrame, subjects: DataFrame, text: str = "text", row_
     Texts without letters, null texts and texts without subjects have no row; repeated rows give repeated rows. The subjects are a small table (``topic``,
     ``top_words``). What is broadcast are the words with links, whose number is bounded by ``LEAST_SHARE`` and not by the texts.
     """
-    common = common_words(rows, text, lang)
-    prose = (common, least_share(rows, common, text, lang))
     ws = Workspace(rows.sparkSession)
-    cut_once = ws.save(cut_texts(rows, text, row_id, prose, lang, asked))
+    counts = word_counts(rows, text, lang)
+    cut_once = ws.save(cut_texts(rows, text, row_id, common_of(counts), lang, asked))
+    least = least_of(cut_once.select("lang", "share"))
     seeds = ws.save(seed_words(subjects))
-    heard = ws.save(heard_words(cut_once, {r["word"]: r["topic"] for r in seeds.collect()}))
-    n_passages = cut_once.agg(F.sum(F.size(F.split("sentences", "\n")))).first()[0] or 0
-    features = ws.save(features_of(heard, seeds, n_passages))
-    both = ws.save(passages(cut_once, {r["word"]: r["feature"] for r in features.select("word", "feature").collect()}))
+    heard = ws.save(heard_words(cut_once, {r["word"]: r["topic"] for r in seeds.collect()}, least))
+    features = ws.save(features_of(heard, counts, seeds, cut_once.count()))
+    both = ws.save(passages(cut_once, {r["word"]: r["feature"] for r in features.select("word", "feature").collect()}, least))
     texts = ws.save(both.where("keys is not null and asked and row_id is not null").drop("key", "features", "members").withColumn("text", F.monotonically_increasing_id()))
     # one vertex may come from several tasks; its features are the same in all of them
     vertices = ws.save(both.where("features is not null").groupBy("key").agg(F.first("features").alias("features"), F.sum("members").alias("members")))
