@@ -2,9 +2,11 @@
 
 from inspect import signature
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from textwerk.operators import inference, models
+from textwerk.operators import inference, logistic, models
 from textwerk.plans import learning
 
 
@@ -13,7 +15,7 @@ def test_every_row_is_predicted_once(spark, data, monkeypatch, name):
     rows = learning.prepared(spark, data)
     monkeypatch.setattr(learning, "prepared", lambda spark, d: rows)
     monkeypatch.setattr(learning, "scored", lambda predictions, *by: predictions)
-    monkeypatch.setattr(models, "fit_predict", lambda train, test, features, label: models.majority(train, test, label))
+    monkeypatch.setattr(models, "fit_predict", lambda train, test, features, label: test.withColumn("prediction", F.lit(1.0)))
     got = learning.QUERIES[name](spark, data)
     assert sorted(r.row_id for r in got.select("row_id").collect()) == sorted(r.row_id for r in rows.select("row_id").collect())
     assert {r.fold for r in got.select("fold").distinct().collect()} == set(range(5))
@@ -21,14 +23,78 @@ def test_every_row_is_predicted_once(spark, data, monkeypatch, name):
 
 def test_counts_of_resampling(spark, data, monkeypatch):
     draws, seeds = [], []
-    monkeypatch.setattr(learning, "prepared", lambda spark, d: None)
-    monkeypatch.setattr(models, "cross_predictions", lambda *a: None)
-    monkeypatch.setattr(models, "permuted_labels", lambda rows, k: draws.append(k))
-    monkeypatch.setattr(learning, "scored", lambda p, *by: spark.createDataFrame([(0.5,)], "weighted_f1 double"))
+    rows = learning.prepared(spark, data)
+    monkeypatch.setattr(learning, "prepared", lambda spark, d: rows)
+    monkeypatch.setattr(learning, "permuted_scores", lambda cells, n, *a: draws.append(n) or (0.5, [0.1] * n))
     monkeypatch.setattr(models, "repeated_benefit", lambda rows, base, more, seeds_=signature(models.repeated_benefit).parameters["seeds"].default, **k: seeds.extend(k.get("seeds", seeds_)) or [0.1] * 5)
     learning.label_permutation(spark, data)
     learning.repeated_benefit(spark, data)
-    assert (len(draws), len(seeds)) == (200, 5)
+    assert (draws, len(seeds)) == ([200], 5)
+
+
+def labelled(spark, n=600):
+    """Levels that follow length, topics that follow levels, in three corpora and five folds."""
+    r = np.random.default_rng(1)
+    rows = []
+    for i in range(n):
+        level = int(r.integers(0, 4))
+        rows.append((i, "abc"[i % 3], i % 5, level, float(level + r.normal(0, 0.7)), float(r.normal()), 3.0, float(r.normal()), int((level + (r.random() < 0.3)) % 5), float(r.random())))
+    return spark.createDataFrame(rows, "row_id bigint, dataset string, fold int, level_rank int, log_tokens double, n_sentences double, tokens_per_sentence double, mean_word_len double, topic int, topic_strength double")
+
+
+def brute_fit(x, y, steps=4000):
+    """The same objective by plain gradient descent."""
+    mean, sd = x.mean(0), x.std(0)
+    z = np.c_[np.ones(len(x)), (x - mean) / np.where(sd > 1e-9, sd, 1)]
+    b = np.zeros((int(y.max()) + 1, z.shape[1]))
+    for _ in range(steps):
+        p = logistic.softmax(z @ b.T)
+        g = (p - np.eye(len(b))[y]).T @ z
+        g[:, 1:] += b[:, 1:]
+        b -= 0.5 / len(z) * g
+    return lambda v: (np.c_[np.ones(len(v)), (v - mean) / np.where(sd > 1e-9, sd, 1)] @ b.T).argmax(1)
+
+
+def test_models_of_one_pass_equal_single_fits(spark):
+    rows = labelled(spark)
+    got = models.cross_predictions(rows, ["majority", "surface", "topic", "topic_tree", "surface_topic_raw"])
+    assert got.count() == 5 * 600 and got.groupBy("features").agg(F.count_distinct("row_id").alias("n")).where("n <> 600").count() == 0
+    pdf = rows.toPandas()
+    by = {(r.features, r.row_id): r.y_pred for r in got.collect()}
+    for f in range(5):
+        train, test = pdf[pdf["fold"] != f], pdf[pdf["fold"] == f]
+        for name, columns in (("surface", list(logistic.NUMERIC)), ("topic", None)):
+            one = lambda p: p[columns].to_numpy() if columns else np.eye(5)[p["topic"]]
+            want = brute_fit(one(train), train["level_rank"].to_numpy())(one(test))
+            assert np.mean(want == [by[name, i] for i in test["row_id"]]) > 0.99
+        tree = train.groupby("topic")["level_rank"].agg(lambda v: v.value_counts().sort_index().idxmax())
+        assert [by["topic_tree", i] for i in test["row_id"]] == tree[test["topic"]].tolist()
+
+
+def test_transfer_has_a_diagonal_and_a_floor(spark):
+    rows = labelled(spark)
+    found = {(r.train, r.test, r.setting): r.n for r in models.transfer_matrix(rows, "surface").groupBy("train", "test", "setting").agg(F.count("*").alias("n")).collect()}
+    assert found == {(a, b, "in-corpus" if a == b else "transfer"): 200 for a in "abc" for b in "abc"}
+    found = {(r.test, r.setting): r.n for r in models.leave_one_out(rows, "surface").groupBy("test", "setting").agg(F.count("*").alias("n")).collect()}
+    assert found == {(a, s): 200 for a in "abc" for s in ("in-corpus", "transfer", "floor")}
+
+
+def test_permutations_are_of_the_same_sizes(spark):
+    pdf = labelled(spark).toPandas()
+    cells = pdf.groupby(["fold", "topic", "level_rank"]).size().reset_index(name="n").rename(columns={"level_rank": "level"})
+    observed, null = logistic.permuted_scores(cells, 20, spark, inference.weighted_f1)
+    assert len(null) == 20 and observed > max(null) and len(set(null)) > 10
+    sums = []
+    logistic.permuted_scores(cells, 1, spark, lambda c: sums.append(c.sum(1)) or 0.0)
+    assert sums[0].tolist() == [(pdf["level_rank"] == v).sum() for v in range(6)]
+
+
+def test_stress_test_needs_as_many_components_as_folds(spark):
+    rows = labelled(spark).withColumn("cv_group", F.concat(F.lit("g"), (F.col("row_id") / 2).cast("int"))).withColumn("cefr_level", F.col("level_rank").cast("string"))
+    one = spark.createDataFrame([(t, 0) for t in range(5)], "topic bigint, component bigint")
+    assert models.stress_test(rows, one)[0] == "not_estimable"
+    status, found = models.stress_test(rows, one.withColumn("component", F.col("topic")))
+    assert status == "ok" and {r.cv: r.n for r in found.groupBy("cv").agg(F.count("*").alias("n")).collect()} == {"topic": 600, "random": 600}
 
 
 def test_coverage_of_all_intervals(spark):

@@ -6,15 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, OneHotEncoder, RegexTokenizer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from textwerk.functions import text as T
 from textwerk.functions.special import chi2_sf
 from textwerk.operators.durable import Workspace
-
-#: Columns of each numeric feature set.
-FEATURES = {"word_count": ["log_tokens"], "surface": ["log_tokens", "n_sentences", "tokens_per_sentence", "mean_word_len"], "topic": ["topic"], "surface_topic": ["log_tokens", "n_sentences", "tokens_per_sentence", "mean_word_len", "topic"]}
+from textwerk.operators.logistic import NUMERIC, RULES, SETS, Task, predictions
 
 
 def with_features(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -24,28 +22,9 @@ def with_features(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"log_tokens": F.log1p(n.cast("double")), "n_sentences": s.cast("double"), "tokens_per_sentence": n / s, "mean_word_len": T.mean_length(words)})
 
 
-def balanced(train: DataFrame, label: str) -> DataFrame:
-    """``weight`` so that every class counts alike and weights sum to the number of rows."""
-    counts = train.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_t"), F.count("*").alias("_k"))
-    return train.join(F.broadcast(counts.crossJoin(totals)), label).withColumn("weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
-
-
-def numeric_pipeline(columns: Sequence[str], label: str, n_train: int, weighted: bool = False, kind: str = "logistic") -> Pipeline:
-    """Standardised columns (``topic`` one-hot) into multinomial logistic regression with an L2 penalty of strength 1, or boosted trees one against the rest."""
-    plain = [c for c in columns if c != "topic"]
-    stages, inputs = [], []
-    if "topic" in columns:
-        stages.append(OneHotEncoder(inputCols=["topic"], outputCols=["topic_hot"], dropLast=False, handleInvalid="keep"))
-        inputs.append("topic_hot")
-    if plain:
-        stages += [VectorAssembler(inputCols=plain, outputCol="plain"), StandardScaler(inputCol="plain", outputCol="scaled", withMean=True, withStd=True)]
-        inputs.append("scaled")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    if kind == "trees":
-        return Pipeline(stages=[*stages, OneVsRest(labelCol=label, classifier=GBTClassifier(maxDepth=4, maxIter=15, seed=42))])
-    model = LogisticRegression(labelCol=label, regParam=1.0 / max(1, n_train), standardization=False, maxIter=300, tol=1e-8)
-    return Pipeline(stages=[*stages, model.setWeightCol("weight") if weighted else model])
+def tree_pipeline(columns: Sequence[str], label: str) -> Pipeline:
+    """Boosted trees on the columns, one level against the rest."""
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), OneVsRest(labelCol=label, classifier=GBTClassifier(maxDepth=4, maxIter=15, seed=42))])
 
 
 def text_pipeline(label: str, n_train: int, text: str = "text") -> Pipeline:
@@ -55,32 +34,25 @@ def text_pipeline(label: str, n_train: int, text: str = "text") -> Pipeline:
     return Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False), CountVectorizer(inputCol="words", outputCol="tf", minDF=3.0, vocabSize=50_000), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(labelCol=label, regParam=1.0 / max(1, n_train), maxIter=100)])
 
 
-def majority(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """The most frequent level of the training rows, the lower one of equals."""
-    top = train.groupBy(label).count().orderBy(F.desc("count"), label).first()
-    return test.withColumn("prediction", F.lit(float(top[0]) if top else None).cast("double"))
-
-
 def fit_predict(train: DataFrame, test: DataFrame, features: str, label: str = "level_rank") -> DataFrame:
-    """Predictions of a named feature set; ``_balanced`` and ``_trees`` at the end of the name choose the variant."""
-    if features == "majority":
-        return majority(train, test, label)
-    n = train.count()
+    """Predictions of ``tfidf``, or of boosted trees for a name that ends in ``_trees``."""
     if features == "tfidf":
-        return text_pipeline(label, n).fit(train).transform(test)
-    base = features.removesuffix("_balanced").removesuffix("_trees")
-    weighted = features.endswith("_balanced")
-    pipeline = numeric_pipeline(FEATURES[base], label, n, weighted, "trees" if features.endswith("_trees") else "logistic")
-    return pipeline.fit(balanced(train, label) if weighted else train).transform(test)
+        return text_pipeline(label, train.count()).fit(train).transform(test)
+    return tree_pipeline(SETS[features.removesuffix("_trees")][0], label).fit(train).transform(test)
 
 
 def cross_predictions(rows: DataFrame, feature_sets: Sequence[str], fold: str = "fold", label: str = "level_rank", k: int = 5) -> DataFrame:
-    """(row_id, features, fold, y_true, y_pred): out-of-fold predictions; the rows are written once and read for every fold."""
+    """(row_id, features, fold, y_true, y_pred): out-of-fold predictions of all folds; the rows are written once.
+
+    Feature sets of :mod:`textwerk.operators.logistic` are fitted together for all folds; ``tfidf`` and ``_trees`` by pipelines, a fold at a time.
+    """
     ws = Workspace(rows.sparkSession)
-    columns = [c for c in ("row_id", "dataset", "text", "topic", label, fold, "log_tokens", "n_sentences", "tokens_per_sentence", "mean_word_len") if c in rows.columns and (c != "text" or "tfidf" in feature_sets)]
-    held = ws.save(rows.select(*columns))
-    out = None
-    for name in feature_sets:
+    columns = [c for c in ("row_id", "dataset", "text", "topic", "topic_strength", label, fold, *NUMERIC) if c in rows.columns and (c != "text" or "tfidf" in feature_sets)]
+    held = ws.save(rows.select(*dict.fromkeys(columns)))
+    together = [n for n in feature_sets if n in SETS or n in RULES]
+    folds = frozenset(range(k))
+    out = predictions(held, [Task(n, n, folds - {f}, frozenset({f})) for n in together for f in range(k)], label, fold).select("row_id", "features", F.col("unit").alias("fold"), "y_true", "y_pred") if together else None
+    for name in [n for n in feature_sets if n not in together]:
         for f in range(k):
             train, test = held.where(F.col(fold) != f), held.where(F.col(fold) == f)
             p = fit_predict(train, test, name, label).select("row_id", F.lit(name).alias("features"), F.col(fold).alias("fold"), F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
@@ -88,25 +60,39 @@ def cross_predictions(rows: DataFrame, feature_sets: Sequence[str], fold: str =
     return ws.save(out)
 
 
-def transfer_matrix(rows: DataFrame, features: str = "surface", label: str = "level_rank") -> DataFrame:
-    """(train, test, y_true, y_pred): a model of each corpus applied to every other; corpora are few."""
-    held = Workspace(rows.sparkSession).save(rows)
-    corpora = sorted(r[0] for r in held.select("dataset").distinct().collect())
-    out = None
-    for a in corpora:
-        p = fit_predict(held.where(F.col("dataset") == a), held.where(F.col("dataset") != a), features, label).select(F.lit(a).alias("train"), F.col("dataset").alias("test"), F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-        out = p if out is None else out.union(p)
-    return out
+def corpus_units(rows: DataFrame, fold: str = "fold", k: int = 5) -> tuple[DataFrame, dict[str, frozenset[int]]]:
+    """The rows with a ``unit`` for each corpus and fold, written, and the units of each corpus; corpora are few."""
+    corpora = sorted(r[0] for r in rows.select("dataset").distinct().collect() if r[0] is not None)
+    number = F.array_position(F.array(*[F.lit(c) for c in corpora]), F.col("dataset")) - 1 if corpora else F.lit(None)
+    held = Workspace(rows.sparkSession).save(rows.withColumn("unit", (number * k + F.col(fold)).cast("int")))
+    return held, {c: frozenset(range(n * k, n * k + k)) for n, c in enumerate(corpora)}
 
 
-def leave_one_out(rows: DataFrame, features: str = "surface", label: str = "level_rank") -> DataFrame:
-    """(test, y_true, y_pred): a model of all other corpora applied to each corpus."""
-    held = Workspace(rows.sparkSession).save(rows)
-    out = None
-    for a in sorted(r[0] for r in held.select("dataset").distinct().collect()):
-        p = fit_predict(held.where(F.col("dataset") != a), held.where(F.col("dataset") == a), features, label).select(F.lit(a).alias("test"), F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-        out = p if out is None else out.union(p)
-    return out
+def within(corpora: dict[str, frozenset[int]], features: str) -> list[Task]:
+    """Cross-validation inside each corpus."""
+    return [Task(f"{a}|{a}", features, units - {u}, frozenset({u})) for a, units in corpora.items() for u in sorted(units)]
+
+
+def transfer_matrix(rows: DataFrame, features: str = "topic", label: str = "level_rank") -> DataFrame:
+    """(train, test, setting, y_true, y_pred): a model of each corpus applied to every other (``transfer``), and grouped
+    cross-validation inside each (``in-corpus``), by the folds of the rows."""
+    held, corpora = corpus_units(rows)
+    across = [Task(f"{a}|{b}", features, corpora[a], corpora[b]) for a in corpora for b in corpora if a != b]
+    found = predictions(held, within(corpora, features) + across, label)
+    pair = F.split("name", r"\|")
+    return found.select(pair[0].alias("train"), pair[1].alias("test"), F.when(pair[0] == pair[1], "in-corpus").otherwise("transfer").alias("setting"), "y_true", "y_pred")
+
+
+def leave_one_out(rows: DataFrame, features: str = "topic", label: str = "level_rank") -> DataFrame:
+    """(test, setting, y_true, y_pred): a model of all other corpora applied to each corpus (``transfer``), grouped cross-validation inside it
+    (``in-corpus``) and its most frequent level (``floor``)."""
+    held, corpora = corpus_units(rows)
+    everything = frozenset().union(*corpora.values())
+    outside = [Task(f"transfer|{a}", features, everything - units, units) for a, units in corpora.items()]
+    floor = [Task(f"floor|{a}", "majority", units, units) for a, units in corpora.items()]
+    found = predictions(held, within(corpora, features) + outside + floor, label)
+    pair = F.split("name", r"\|")
+    return found.select(pair[1].alias("test"), F.when(pair[0] == pair[1], "in-corpus").otherwise(pair[0]).alias("setting"), "y_true", "y_pred")
 
 
 def likelihood_ratio(rows: DataFrame, label: str = "level_rank", topics: int = 10) -> tuple[str, float, int, float]:
@@ -153,28 +139,13 @@ def repeated_benefit(rows: DataFrame, base: str, more: str, seeds: Sequence[int]
     return out
 
 
-def permuted_labels(rows: DataFrame, draw: int, label: str = "level_rank", row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """The rows with labels dealt anew: rows and labels are both put in hash order, of different salts, and matched by position within
-    hash blocks of equal size, which keeps the label counts. The result depends on ids, seed and draw only."""
-    from pyspark.sql import Window
-
-    ws = Workspace(rows.sparkSession)
-    block = F.pmod(F.xxhash64(F.lit(f"{seed}/{draw}/block"), row_id), F.lit(256))
-    held = ws.save(rows.withColumn("_b", block))
-    place = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(f"{seed}/{draw}/{salt}"), row_id), row_id))
-    ids = held.withColumn("_p", place("rows"))
-    labels = held.select("_b", F.col(label).alias("_label"), place("labels").alias("_p"))
-    return ids.join(labels, ["_b", "_p"]).withColumn(label, F.col("_label")).drop("_b", "_p", "_label")
-
-
-def stress_test(rows: DataFrame, components: DataFrame, features: str = "surface", label: str = "level_rank", k: int = 5) -> tuple[str, DataFrame | None]:
-    """Cross-validation whose folds keep topic components (topic, component) whole, against random folds: ``not_estimable`` with fewer components
-    than folds, else ``ok`` with (cv, y_true, y_pred)."""
-    from textwerk.operators.folds import grouped_folds, stratified_folds
+def stress_test(rows: DataFrame, components: DataFrame, features: Sequence[str] = ("topic",), label: str = "level_rank", group: str = "cv_group", k: int = 5) -> tuple[str, DataFrame | None]:
+    """Cross-validation whose folds keep linked topics (topic, component) whole, against random folds that keep groups whole:
+    ``not_estimable`` with fewer components than folds, else ``ok`` with (cv, features, y_true, y_pred)."""
+    from textwerk.operators.folds import grouped_folds
 
     joined = rows.drop("fold").join(F.broadcast(components.select("topic", "component")), "topic")
     if components.select("component").distinct().count() < k:
         return "not_estimable", None
-    whole = cross_predictions(grouped_folds(joined, "component", None, k), [features], label=label, k=k).select(F.lit("topic").alias("cv"), "y_true", "y_pred")
-    plain = cross_predictions(stratified_folds(rows.drop("fold"), k=k), [features], label=label, k=k).select(F.lit("random").alias("cv"), "y_true", "y_pred")
-    return "ok", whole.union(plain)
+    parts = [cross_predictions(folded, features, label=label, k=k).select(F.lit(cv).alias("cv"), "features", "y_true", "y_pred") for cv, folded in (("topic", grouped_folds(joined, "component", None, k)), ("random", grouped_folds(joined, group, k=k)))]
+    return "ok", parts[0].union(parts[1])

@@ -7,9 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from textwerk.functions import text as T
-from textwerk.operators import association as A, folds as K, metrics as M, models as L, similarity as S, topics as P
+from textwerk.operators import association as A, folds as K, graph as G, metrics as M, models as L, similarity as S, topics as P
 from textwerk.operators.clean import supported_levels
 from textwerk.operators.durable import Workspace, table
+from textwerk.operators.logistic import permuted_scores
 from textwerk.plans.corpus import CLEAN, texts_of
 from textwerk.plans.stats import rounded
 
@@ -51,30 +52,65 @@ def stratified_fold_counts(spark, d):
     return folded.groupBy("cefr_level").agg(F.count_distinct("fold").cast("int").alias("folds"), F.count("*").alias("n"))
 
 
+#: The feature sets of the benchmark.
+BENCHMARK = ("majority", "word_count", "surface", "topic", "surface_topic", "topic_balanced", "topic_tree", "topic_raw", "surface_topic_raw")
+
+
+def both_regimes(spark, d) -> DataFrame:
+    """Metrics of all feature sets with folds by group and by row."""
+    rows = prepared(spark, d)
+    parts = [scored(L.cross_predictions(folded, BENCHMARK), "features").withColumn("cv", F.lit(cv)) for cv, folded in (("grouped", rows), ("ungrouped", K.stratified_folds(rows.drop("fold"))))]
+    return Workspace(spark).save(parts[0].union(parts[1]))
+
+
 @query()
 def length_benchmark(spark, d):
-    """Metrics of feature sets under grouped cross-validation."""
-    return scored(L.cross_predictions(prepared(spark, d), ["majority", "word_count", "surface", "topic", "surface_topic", "surface_balanced"]), "features")
+    """Metrics of nine feature sets under cross-validation with folds by group and by row."""
+    return both_regimes(spark, d)
 
 
 @query()
 def leakage(spark, d):
     """Weighted F1 with folds by row and by group, and their difference, of each feature set."""
-    rows, names = prepared(spark, d), ["majority", "surface"]
-    grouped = scored(L.cross_predictions(rows, names), "features").select("features", F.col("weighted_f1").alias("grouped"))
-    single = scored(L.cross_predictions(K.stratified_folds(rows.drop("fold")), names), "features").select("features", F.col("weighted_f1").alias("ungrouped"))
-    return grouped.join(single, "features").withColumn("leakage", F.round(F.col("ungrouped") - F.col("grouped"), 6))
+    whole = both_regimes(spark, d)
+    side = lambda cv: whole.where(F.col("cv") == cv).select("features", F.col("weighted_f1").alias(cv))
+    return side("grouped").join(side("ungrouped"), "features").withColumn("leakage", F.round(F.col("ungrouped") - F.col("grouped"), 6))
+
+
+@query()
+def raw_loading_difference(spark, d):
+    """Grouped scores with raw topic loadings minus those with normalised ones."""
+    whole = both_regimes(spark, d).where("cv = 'grouped'").select("features", "weighted_f1", "qwk")
+    raw = whole.where("features LIKE '%_raw'").select(F.regexp_replace("features", "_raw$", "").alias("features"), F.col("weighted_f1").alias("f"), F.col("qwk").alias("q"))
+    return raw.join(whole, "features").select("features", F.round(F.col("f") - F.col("weighted_f1"), 6).alias("weighted_f1"), F.round(F.col("q") - F.col("qwk"), 6).alias("qwk"))
+
+
+def shared_levels(spark, d) -> DataFrame:
+    """Prepared rows of the levels that every corpus has; all rows where there is none."""
+    rows = prepared(spark, d)
+    seen = rows.groupBy("level_rank").agg(F.count_distinct("dataset").alias("n")).collect()
+    corpora = rows.select("dataset").distinct().count()
+    common = [r["level_rank"] for r in seen if r["n"] == corpora]
+    return rows.where(F.col("level_rank").isin(common)) if common else rows
 
 
 @query()
 def corpus_transfer(spark, d):
-    """Metrics of models of one corpus on every other."""
-    return scored(L.transfer_matrix(prepared(spark, d)), "train", "test")
+    """Metrics of models of one corpus on every other, and of grouped cross-validation inside each, on the levels that all have; with the share of the tested corpus that these levels cover."""
+    rows = prepared(spark, d)
+    found = scored(L.transfer_matrix(shared_levels(spark, d)), "train", "test", "setting")
+    kept = shared_levels(spark, d).groupBy("dataset").agg(F.count("*").alias("kept"))
+    cover = rows.groupBy("dataset").agg(F.count("*").alias("n")).join(kept, "dataset").select(F.col("dataset").alias("test"), F.round(F.col("kept") / F.col("n"), 6).alias("coverage"))
+    return found.join(F.broadcast(cover), "test", "left")
 
 
 @query()
 def leave_one_corpus_out(spark, d):
-    return scored(L.leave_one_out(prepared(spark, d)), "test")
+    """Weighted F1 and kappa of a model of all other corpora, of cross-validation inside the corpus, of its most frequent level, and the drop."""
+    found = Workspace(spark).save(scored(L.leave_one_out(shared_levels(spark, d)), "test", "setting"))
+    of = lambda setting, c: F.max(F.when(F.col("setting") == setting, F.col(c)))
+    whole = found.groupBy("test").agg(of("in-corpus", "weighted_f1").alias("in_corpus_f1"), of("in-corpus", "qwk").alias("in_corpus_qwk"), of("transfer", "weighted_f1").alias("transfer_f1"), of("transfer", "qwk").alias("transfer_qwk"), of("floor", "weighted_f1").alias("floor_f1"))
+    return whole.withColumn("drop_f1", F.round(F.col("in_corpus_f1") - F.col("transfer_f1"), 6))
 
 
 @query()
@@ -151,23 +187,34 @@ def repeated_benefit(spark, d):
 
 @query()
 def label_permutation(spark, d):
-    """Weighted F1 of topics alone against models of permuted labels; the share is (exceeding + 1) / (draws + 1)."""
-    rows, draws = prepared(spark, d), 200
-    score = lambda r: scored(L.cross_predictions(r, ["topic"])).first()["weighted_f1"]
-    observed = score(rows)
-    null = [score(L.permuted_labels(rows, k)) for k in range(draws)]
-    return spark.createDataFrame([(float(observed), float(sum(null) / draws), (sum(x >= observed for x in null) + 1) / (draws + 1))], "observed double, null_mean double, p double")
+    """Weighted F1 of topics alone against 200 permutations of the labels, each cross-validated; the share is (exceeding + 1) / (draws + 1)."""
+    from textwerk.operators.inference import weighted_f1
+
+    cells = prepared(spark, d).groupBy("fold", "topic", F.col("level_rank").alias("level")).agg(F.count("*").alias("n")).toPandas()
+    observed, null = permuted_scores(cells, 200, spark, weighted_f1)
+    return spark.createDataFrame([(observed, float(sum(null) / len(null)), (sum(x >= observed for x in null) + 1) / (len(null) + 1))], "observed double, null_mean double, p double")
 
 
 @query()
 def topic_stress(spark, d):
-    """Scores with whole topics held out against random folds, or the status that this cannot be estimated."""
+    """Scores with linked topics held out together against folds by group, or the status that this cannot be estimated."""
     rows = prepared(spark, d)
-    alone = rows.select(F.col("topic").cast("bigint").alias("topic")).distinct().withColumn("component", F.col("topic"))
-    status, predictions = L.stress_test(rows, alone)
+    status, predictions = L.stress_test(rows, G.topic_components(rows), ("topic", "word_count", "surface"))
     if predictions is None:
-        return spark.createDataFrame([(status, None, None)], "status string, cv string, weighted_f1 double")
-    return scored(predictions, "cv").select(F.lit(status).alias("status"), "cv", "weighted_f1")
+        return spark.createDataFrame([(status, None, None, None)], "status string, cv string, features string, weighted_f1 double")
+    return scored(predictions, "cv", "features").select(F.lit(status).alias("status"), "cv", "features", "weighted_f1")
+
+
+@query()
+def topic_stress_by_corpus(spark, d):
+    """The same in each corpus, where topics are linked by fewer families."""
+    rows, out = prepared(spark, d), None
+    for name in sorted(r[0] for r in rows.select("dataset").distinct().collect()):
+        own = Workspace(spark).save(rows.where(F.col("dataset") == name))
+        status, predictions = L.stress_test(own, G.topic_components(own), ("topic", "word_count", "surface"))
+        part = spark.createDataFrame([(name, status, None, None, None)], "dataset string, status string, cv string, features string, weighted_f1 double") if predictions is None else scored(predictions, "cv", "features").select(F.lit(name).alias("dataset"), F.lit(status).alias("status"), "cv", "features", "weighted_f1")
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query()
