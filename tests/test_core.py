@@ -66,7 +66,7 @@ def test_association_anchors(spark):
     assert same["u_x_given_y"] == pytest.approx(1) and same["nmi"] == pytest.approx(1)
     planted = A.residuals(A.grid(cells(spark, [[200, 20], [20, 200]]))).agg(F.max("std_residual")).first()[0]
     assert planted > 5
-    assert A.chi_square(cells(spark, [[5, 3]])).first()["v"] == 0
+    assert A.chi_square(cells(spark, [[5, 3]])).first()["v"] is None
 
 
 def test_special_functions():

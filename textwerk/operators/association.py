@@ -46,7 +46,7 @@ def residuals(full: DataFrame) -> DataFrame:
 def chi_square(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, rows, columns, chi2, dof, v, v_uncorrected): Pearson's statistic without continuity correction, and Cramér's V.
 
-    ``v`` has Bergsma's correction of bias; both are 0 for a degenerate table.
+    ``v`` has Bergsma's correction of bias; both are null for a table with less than two rows or columns.
     """
     full = grid(cells, by)
     d = F.col("n") - expected()
@@ -62,7 +62,8 @@ def with_v(s: DataFrame) -> DataFrame:
     r_c, k_c = r - F.try_divide((r - 1) * (r - 1), n - 1), k - F.try_divide((k - 1) * (k - 1), n - 1)
     low = F.least(k_c - 1, r_c - 1)
     plain = F.least(r - 1, k - 1)
-    return s.withColumn("dof", (r - 1) * (k - 1)).withColumn("v", F.when((n > 1) & (low > 0), F.sqrt(phi_c / low)).otherwise(F.lit(0.0))).withColumn("v_uncorrected", F.when(plain > 0, F.sqrt(phi / plain)).otherwise(F.lit(0.0)))
+    v = F.when(plain > 0, F.when((n > 1) & (low > 0), F.sqrt(phi_c / low)).otherwise(F.lit(0.0)))
+    return s.withColumn("dof", (r - 1) * (k - 1)).withColumn("v", v).withColumn("v_uncorrected", F.when(plain > 0, F.sqrt(phi / plain)))
 
 
 def information(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

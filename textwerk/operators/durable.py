@@ -26,8 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Workspaces of this process that still have tables.
+_OPEN: list[Workspace] = []
+
+
+def sweep() -> None:
+    """Delete the intermediate tables of all operator calls so far; for a session that goes on after it has used their results."""
+    while _OPEN:
+        _OPEN.pop().close()
+
+
 class Workspace:
-    """Written intermediate tables of one operator call."""
+    """Written intermediate tables of one operator call. They stay until :meth:`close`, :func:`sweep` or the end of the session, as lazy results read them."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -38,6 +48,7 @@ class Workspace:
         self._fs.mkdirs(root)
         self._fs.deleteOnExit(root)
         self._written = 0
+        _OPEN.append(self)
 
     def save(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Write ``df`` and return the table that was written."""
@@ -55,6 +66,14 @@ class Workspace:
             if path:
                 self._fs.delete(self._path(path), True)
 
+    def path(self, name: str) -> str:
+        """A place in the workspace for files that are not written by :meth:`save`."""
+        return f"{self.base}/{name}"
+
+    def close(self) -> None:
+        """Delete all tables; what reads them must be done."""
+        self._fs.delete(self._path(self.base), True)
+
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of plans that are done, before the next large shuffle."""
         gc.collect()

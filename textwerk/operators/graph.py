@@ -8,38 +8,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from textwerk.operators.clean import strip
 from textwerk.operators.durable import Workspace
+from textwerk.operators.skew import LEAST_ROWS, heavy_keys, split_join
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, label) with the smallest vertex of each component, for string or number vertices that have a link.
 
-    Each round points every vertex to its smallest neighbour, follows pointers to their end, and contracts the links.
+    Each round points every vertex to the smallest of its neighbourhood in a pseudo-random order, follows pointers to their end, and contracts the links.
+    A vertex with most of the links, or a label with most of the vertices, meets a broadcast instead of being shuffled to one task.
     """
     ws = Workspace(edges.sparkSession)
 
     def links_of(df: DataFrame, x: str, y: str) -> DataFrame:
         return ws.save(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) != F.col(y))).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct())
 
-    links, labels = links_of(edges, a, b), None
-    while True:
+    def heavy(df: DataFrame, key: str, n: int) -> list:
+        return heavy_keys(df, key) if n >= LEAST_ROWS else []
+
+    def renamed(df: DataFrame, labels: DataFrame, key: str, n: int) -> DataFrame:
+        """``df`` with the column ``key`` replaced by its label."""
+        to = labels.select(F.col("vertex").alias(key), F.col("label").alias("_to"))
+        return split_join(df, to, key, heavy(df, key, n), "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
+
+    links, labels, turn = links_of(edges, a, b), None, 0
+    n = most = links.count()
+    while n or labels is None:
         ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("d")), F.struct(F.col("v").alias("s"), F.col("u").alias("d")))).alias("e")).select("e.*")
-        step = ws.save(ends.groupBy(F.col("s").alias("vertex")).agg(F.least(F.first("s"), F.min("d")).alias("label")))
+        order = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("h"), F.col(c).alias("k"))
+        low = ends.groupBy("s").agg(F.min(order("d")).alias("low"))
+        step = ws.save(low.select(F.col("s").alias("vertex"), F.least(order("s"), F.col("low"))["k"].alias("label")))
         while True:
-            to = step.select(F.col("vertex").alias("_v"), F.col("label").alias("_l"))
-            jumped = ws.save(step.join(to, step["label"] == to["_v"], "left").select("vertex", F.coalesce("_l", "label").alias("label")))
-            still = jumped.alias("n").join(step.alias("o"), "vertex").where(F.col("n.label") != F.col("o.label")).limit(1).count()
-            step = jumped
-            if not still:
+            jumped = ws.save(renamed(step.withColumn("_before", F.col("label")), step, "label", 2 * n).select("vertex", "label", (F.col("label") != F.col("_before")).alias("moved")))
+            step = jumped.select("vertex", "label")
+            if not jumped.where("moved").limit(1).count():
                 break
-        if labels is None:
-            labels = step
-        else:
-            to = step.select(F.col("vertex").alias("_v"), F.col("label").alias("_l"))
-            labels = ws.save(labels.join(to, labels["label"] == to["_v"], "left").select("vertex", F.coalesce("_l", "label").alias("label")))
-        lu, lv = step.select(F.col("vertex").alias("u"), F.col("label").alias("lu")), step.select(F.col("vertex").alias("v"), F.col("label").alias("lv"))
-        links = links_of(links.join(lu, "u").join(lv, "v"), "lu", "lv")
-        if not links.limit(1).count():
-            return labels
+        labels = step if labels is None else ws.save(renamed(labels, step, "label", 2 * most).select("vertex", "label"))
+        links, turn = links_of(renamed(renamed(links, step, "u", n), step, "v", n), "u", "v"), turn + 1
+        n = links.count()
+    smallest = labels.groupBy("label").agg(F.min("vertex").alias("low"))
+    return split_join(labels, smallest, "label", heavy(labels, "label", 2 * most)).select("vertex", F.col("low").alias("label"))
 
 
 def validation_families(rows: DataFrame, pairs: DataFrame, row_id: str = "row_id", key: str = "pair_id") -> DataFrame:
@@ -49,7 +56,7 @@ def validation_families(rows: DataFrame, pairs: DataFrame, row_id: str = "row_id
     """
     ids = rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.when(~strip(F.col(key)).isin("", "nan"), F.col(key)).alias("k"))
     lows = ids.where("k is not null").groupBy("k").agg(F.min("row_id").alias("i"), F.count("*").alias("n")).where("n > 1")
-    stars = ids.join(lows, "k").where("i <> row_id").select("i", F.col("row_id").alias("j"))
+    stars = split_join(ids.where("k is not null"), lows, "k", heavy_keys(ids, "k")).where("i <> row_id").select("i", F.col("row_id").alias("j"))
     known = ids.select("row_id")
     near = pairs.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).join(known.withColumnRenamed("row_id", "i"), "i", "left_semi").join(known.withColumnRenamed("row_id", "j"), "j", "left_semi")
     labels = connected(stars.union(near.select("i", "j")), "i", "j").withColumnRenamed("vertex", "row_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textwerk.operators.durable import Workspace
 
@@ -48,3 +48,8 @@ def kappa(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     columns = placed.groupBy(*by, "j").agg(F.sum("n").alias("c"))
     chance = join(rows, columns).groupBy(*by).agg(F.sum(F.col("r") * F.col("c") * F.pow(F.col("i") - F.col("j"), F.lit(2.0))).alias("e"))
     return join(seen, chance).select(*by, (1 - F.try_divide(F.col("o") * F.col("t"), F.col("e"))).alias("qwk"))
+
+
+def calibration(score: Column, floor: float, ceiling: float) -> Column:
+    """Where a score lies between a floor (0) and a ceiling (1); null if they are equal."""
+    return (score - floor) / (ceiling - floor) if ceiling != floor else F.lit(None).cast("double")

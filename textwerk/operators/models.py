@@ -120,12 +120,6 @@ def likelihood_ratio(rows: DataFrame, label: str = "level_rank", topics: int = 1
     return "ok", max(0.0, stat), df, chi2_sf(stat, df)
 
 
-def calibration(weighted_f1: float, floor: float, ceiling: float) -> float:
-    """Where a score lies between a floor (0) and a ceiling (1)."""
-    return (weighted_f1 - floor) / (ceiling - floor) if ceiling != floor else float("nan")
-
-
-
 def repeated_benefit(rows: DataFrame, base: str, more: str, seeds: Sequence[int] = (1, 2, 3, 4, 5), group: str = "cv_group", label: str = "level_rank") -> list[float]:
     """Difference in weighted F1 of two feature sets under grouped folds, for each seed."""
     from textwerk.operators.folds import grouped_folds

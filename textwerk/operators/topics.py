@@ -14,13 +14,35 @@ from textwerk.operators.ranks import top_per_group
 
 #: Inner steps of a text's weights in each round.
 INNER = 8
+#: Rounds at most, and the part of the first error by which a round must improve to go on.
+ROUNDS, TOLERANCE = 400, 1e-4
+#: Terms of a slice, and shards of the tasks, by which partial sums are added.
+SLICE, SHARDS = 1024, 64
 
 
-def factorise(weights: DataFrame, k: int = 10, rounds: int = 12, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(id, topic_weights) and (topic, term, weight) of weights (id, term, w), by alternating multiplicative updates.
+def added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of array columns by keys, in two levels, so that no task gets the arrays of all tasks; ``parts`` has (keys..., v)."""
+    schema = ", ".join(f"{k} int" for k in keys) + ", v array<double>"
 
-    Term weights (k rows over a vocabulary that the caller bounds by ``max_features``) are broadcast; each task solves its texts and sends one
-    partial sum a topic, which are added by topic. Nothing grows with the number of texts on the driver.
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "v": [np.sum(list(pdf["v"]), axis=0)]})
+
+    sharded = parts.withColumn("_shard", F.pmod(F.spark_partition_id(), F.lit(SHARDS)))
+    first = sharded.groupBy(*keys, "_shard").applyInPandas(lambda key, pdf: add(key[:-1], pdf), schema)
+    return first.groupBy(*keys).applyInPandas(add, schema)
+
+
+def factorise(weights: DataFrame, k: int = 10, rounds: int = ROUNDS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(id, topic_weights) and (topic, term, weight) of weights (id, term, w); see :func:`factorised`."""
+    return factorised(weights, k, rounds, seed)[:2]
+
+
+def factorised(weights: DataFrame, k: int = 10, rounds: int = ROUNDS, seed: int = 42) -> tuple[DataFrame, DataFrame, float]:
+    """(id, topic_weights), (topic, term, weight) of all terms and the root of the squared error of weights (id, term, w), by alternating multiplicative updates.
+
+    Term weights (k rows over a vocabulary that the caller bounds by ``max_features``) are broadcast; each task solves its texts and sends
+    partial sums, which are added by topic and slice of the vocabulary. Nothing grows with the number of texts on the driver. It ends after ``rounds``,
+    or when a round improves the error by less than ``TOLERANCE`` of the first one.
     """
     ws = Workspace(weights.sparkSession)
     spark = weights.sparkSession
@@ -37,7 +59,9 @@ def factorise(weights: DataFrame, k: int = 10, rounds: int = 12, seed: int = 42)
             x *= target / (hh @ x + 1e-12)
         return x
 
-    for _ in range(rounds):
+    whole = rows.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    errors: list[float] = []
+    for _ in range(rounds if terms else 0):
         shared = spark.sparkContext.broadcast(h)
 
         def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,17 +72,19 @@ def factorise(weights: DataFrame, k: int = 10, rounds: int = 12, seed: int = 42)
                     x = solve(h, hh, at, w)
                     xv[:, at] += np.outer(x, w)
                     xx += np.outer(x, x)
-            yield pd.DataFrame({"topic": np.arange(len(h)), "xv": list(xv), "xx": list(xx)})
-
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"topic": [key[0]], "xv": [np.sum(list(pdf["xv"]), axis=0)], "xx": [np.sum(list(pdf["xx"]), axis=0)]})
-
-        schema = "topic int, xv array<double>, xx array<double>"
-        found = rows.mapInPandas(partial, schema).groupBy("topic").applyInPandas(add, schema).orderBy("topic").collect()
-        xv, xx = np.array([f["xv"] for f in found]), np.array([f["xx"] for f in found])
+            for t in range(len(h)):
+                starts = range(0, h.shape[1], SLICE)
+                yield pd.DataFrame({"topic": t, "slice": [-1, *range(len(starts))], "v": [xx[t], *(xv[t, s : s + SLICE] for s in starts)]})
+
+        found = {(r["topic"], r["slice"]): np.array(r["v"]) for r in added(rows.mapInPandas(partial, "topic int, slice int, v array<double>"), ["topic", "slice"]).collect()}
+        slices = range(-(-h.shape[1] // SLICE))
+        xv, xx = np.array([np.concatenate([found[t, n] for n in slices]) for t in range(k)]), np.array([found[t, -1] for t in range(k)])
+        errors.append(max(0.0, whole - 2 * float((h * xv).sum()) + float(((h @ h.T) * xx).sum())))
         for _ in range(2):
             h = h * xv / (xx @ h + 1e-12)
         h = np.maximum(h, 1e-12)
+        if len(errors) > 1 and errors[-2] - errors[-1] < TOLERANCE * errors[0]:
+            break
     final = spark.sparkContext.broadcast(h)
 
     def place_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,8 +94,21 @@ def factorise(weights: DataFrame, k: int = 10, rounds: int = 12, seed: int = 42)
             yield pd.DataFrame({"id": pdf["id"], "topic_weights": [solve(h, hh, at, w) for at, w in zip(pdf["at"], pdf["w"])]})
 
     texts = rows.mapInPandas(place_texts, "id bigint, topic_weights array<double>")
-    top = [(int(t), terms[j], float(h[t, j])) for t in range(k) for j in np.argsort(-h[t], kind="stable")[: min(200, len(terms))]] if terms else []
-    return texts, spark.createDataFrame(top, "topic int, term string, weight double")
+    table = pd.DataFrame({"topic": np.repeat(np.arange(k, dtype=np.int32), len(terms)), "term": pd.Series(terms * k, dtype=str), "weight": h.ravel() if terms else np.zeros(0)})
+    return texts, spark.createDataFrame(table, "topic int, term string, weight double"), float(np.sqrt(errors[-1])) if errors else 0.0
+
+
+def hashed_vectors(terms: DataFrame, seed: int = 0) -> DataFrame:
+    """(term, vector) of 64 signs from a hash of the term: nearly orthogonal vectors that stand for an encoder where there is none."""
+    sign = lambda n: F.when(F.shiftright(F.col("_h"), n).bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+    return terms.select("term", F.xxhash64("term", F.lit(seed)).alias("_h")).select("term", F.array(*[sign(n) for n in range(64)]).alias("vector"))
+
+
+def text_vectors(weights: DataFrame, word_vectors: DataFrame) -> DataFrame:
+    """(id, vector): the sum of the vectors of a text's words by their weights (id, term, w)."""
+    size = len(word_vectors.first()["vector"]) if word_vectors.limit(1).count() else 0
+    met = weights.join(word_vectors, "term")
+    return met.groupBy("id").agg(F.array(*[F.sum(F.col("w") * F.col("vector")[n]) for n in range(size)]).alias("vector"))
 
 
 def keyword_weights(texts: DataFrame, words: DataFrame, doc_vectors: DataFrame, word_vectors: DataFrame, top_n: int = 25) -> DataFrame:
@@ -98,12 +137,13 @@ def signal_axes(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int =
             if x is not None:
                 n, s, ss = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if ss is None else ss)
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "ss": [ss.ravel()]})
+            yield pd.DataFrame({"part": [0, 1, 2], "v": [[float(n)], s, ss.ravel()]})
 
-    parts = vectors.mapInPandas(moments, "n long, s array<double>, ss array<double>").toPandas()
-    if parts.empty:
+    summed = lambda parts: {r["part"]: np.array(r["v"]) for r in added(parts, ["part"]).collect()}
+    found = summed(vectors.where("vector is not null").mapInPandas(moments, "part int, v array<double>"))
+    if not found:
         return vectors.select("id", F.col("vector").cast("array<double>").alias("axes"))
-    n, s, ss = parts["n"].sum(), np.sum(list(parts["s"]), axis=0), np.sum(list(parts["ss"]), axis=0)
+    n, s, ss = found[0][0], found[1], found[2]
     mean = s / n
     value, vector = np.linalg.eigh(ss.reshape(len(s), -1) / n - np.outer(mean, mean))
     keep = np.argsort(-value)[: min(k, int((value > 1e-10).sum()))]
@@ -121,11 +161,11 @@ def signal_axes(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int =
                     x = (np.stack(pdf["vector"]) - mean) @ white
                     g = np.tanh(x @ w.T)
                     a, b, n = a + g.T @ x, b + (1 - g**2).sum(0), n + len(x)
-            yield pd.DataFrame({"n": [n], "a": [a.ravel()], "b": [b]})
+            yield pd.DataFrame({"part": [0, 1, 2], "v": [[float(n)], a.ravel(), b]})
 
-        parts = vectors.mapInPandas(step, "n long, a array<double>, b array<double>").toPandas()
-        n = parts["n"].sum()
-        new = np.sum(list(parts["a"]), axis=0).reshape(w.shape) / n - np.diag(np.sum(list(parts["b"]), axis=0) / n) @ w
+        found = summed(vectors.where("vector is not null").mapInPandas(step, "part int, v array<double>"))
+        n = found[0][0]
+        new = found[1].reshape(w.shape) / n - np.diag(found[2] / n) @ w
         u, _, vt = np.linalg.svd(new)
         new, old = u @ vt, w
         w = new

@@ -8,6 +8,7 @@ from textwerk.functions import text as T
 from textwerk.operators import clean as C
 from textwerk.operators.durable import table
 from textwerk.operators.ranks import top_per_group
+from textwerk.plans.named import registrar
 
 #: White space as the inside of a class of the SQL side's pattern language.
 _S = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -26,19 +27,7 @@ texts AS (SELECT row_id, text, cefr_level, source_name, dataset, topic, topic_st
   list_position(['A1','A2','B1','B2','C1','C2'], cefr_level) - 1 AS level_rank FROM marked WHERE d0 = d1 AND l0 = l1 AND k = 1)"""
 )
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with the SQL that states the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def texts_of(spark: SparkSession, d: str) -> DataFrame:

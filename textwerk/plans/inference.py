@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 from textwerk.operators import association as A, graph as G, inference as I, metrics as M, ranks as R, similarity as S
 from textwerk.operators.durable import table
 from textwerk.plans.corpus import CLEAN, texts_of
+from textwerk.plans.named import registrar
 from textwerk.plans.stats import length_rule, measured, topical
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with the SQL that states the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def corpus_cells(spark, d):

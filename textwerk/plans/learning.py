@@ -12,21 +12,11 @@ from textwerk.operators.clean import supported_levels
 from textwerk.operators.durable import Workspace, table
 from textwerk.operators.logistic import permuted_scores
 from textwerk.plans.corpus import CLEAN, texts_of
+from textwerk.plans.named import registrar
 from textwerk.plans.stats import rounded
+from textwerk.sources.readers import stop_words
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with the SQL that states the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def prepared(spark, d) -> DataFrame:
@@ -125,10 +115,47 @@ def topic_after_length(spark, d):
     return spark.createDataFrame([(status, float(stat), int(df), float(p))], "status string, statistic double, df int, p double")
 
 
+def topic_weights(texts) -> DataFrame:
+    """TF-IDF of words in five texts or more, 20,000 at most, without stop words."""
+    return Workspace(texts.sparkSession).save(S.word_weights(texts, min_df=5, max_features=20_000, sublinear=False, stop=stop_words()))
+
+
 def modelled(spark, d, k: int = 10, seed: int = 42):
     """A topic model of the clean texts."""
-    weights = S.word_weights(texts_of(spark, d), min_df=5, max_features=20_000, sublinear=False)
-    return P.factorise(weights, k, seed=seed)
+    return P.factorise(topic_weights(texts_of(spark, d)), k, seed=seed)
+
+
+def keyword_model(spark, d, k: int = 10, encoder: int = 0):
+    """A keyword topic model: the weights are the cosines of each text and its 25 nearest words, by vectors of an encoder."""
+    weights = topic_weights(texts_of(spark, d))
+    vocabulary = Workspace(spark).save(weights.select("term").distinct())
+    words = Workspace(spark).save(P.hashed_vectors(vocabulary, encoder))
+    keywords = Workspace(spark).save(P.keyword_weights(weights, vocabulary, P.text_vectors(weights, words), words))
+    return P.factorised(keywords, k)
+
+
+@query()
+def keyword_topics(spark, d):
+    """The main topic of each text by the keyword topic model, and its share; null where no keyword has weight."""
+    texts, _, _ = keyword_model(spark, d)
+    w = T.l1_normalised(F.col("topic_weights"))
+    return texts.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("topic"), F.round(F.array_max(w), 6).alias("topic_strength"))
+
+
+@query()
+def encoder_sensitivity(spark, d):
+    """Association of level and keyword topic under three encoders; a model that fails gives a row with its error."""
+    texts, out = texts_of(spark, d).select("row_id", "cefr_level"), None
+    for encoder in (0, 1, 2):
+        try:
+            placed, words, _ = keyword_model(spark, d, encoder=encoder)
+            assigned = placed.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("main_topic"))
+            v = A.chi_square(A.cells_of(texts.join(assigned, "row_id"), "cefr_level", "main_topic")).select(F.lit(encoder).alias("encoder"), F.round("v", 6).alias("v"))
+            row = v.crossJoin(P.diversity(words)).withColumn("error", F.lit(None).cast("string"))
+        except ValueError as e:
+            row = spark.createDataFrame([(encoder, None, None, str(e))], "encoder int, v double, diversity double, error string")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query()
@@ -219,25 +246,30 @@ def topic_stress_by_corpus(spark, d):
 
 @query()
 def topic_sweep(spark, d):
-    """Diversity and association with level for several numbers of topics."""
+    """Reconstruction error, coherence, diversity and association with level for several numbers of topics; for 10, 15 and 20 the weighted F1 of topics under grouped cross-validation too."""
     texts = Workspace(spark).save(texts_of(spark, d))
-    weights = Workspace(spark).save(S.word_weights(texts, min_df=5, max_features=20_000, sublinear=False))
+    weights, rows = topic_weights(texts), prepared(spark, d)
+    terms = Workspace(spark).save(weights.select("id", "term"))
     out = None
     for k in (5, 8, 10, 12, 15, 20, 25, 30):
-        placed, words = P.factorise(weights, k)
-        assigned = placed.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("main_topic"))
+        placed, words, error = P.factorised(weights, k)
+        assigned = Workspace(spark).save(placed.select(F.col("id").alias("row_id"), T.argmax(F.col("topic_weights")).alias("main_topic")))
+        f1 = None
+        if k in (10, 15, 20):
+            own = rows.drop("topic").join(assigned.select("row_id", F.col("main_topic").alias("topic")), "row_id")
+            f1 = scored(L.cross_predictions(own, ["topic"]), "features").first()["weighted_f1"]
         v = A.chi_square(A.cells_of(texts.select("row_id", "cefr_level").join(assigned, "row_id"), "cefr_level", "main_topic")).select(F.lit(k).alias("k"), F.round("v", 6).alias("v"))
-        row = v.crossJoin(P.diversity(words))
+        row = v.crossJoin(P.diversity(words)).crossJoin(P.coherence(words, terms).agg(F.avg("npmi").alias("npmi"))).withColumns({"error": F.lit(round(error, 6)), "weighted_f1": F.lit(f1).cast("double")})
         out = row if out is None else out.union(row)
     return out
 
 
 @query()
 def nearest_other_corpus(spark, d):
-    """For each text of one corpus the most similar one of another, by words."""
+    """For each text the most similar one of each other corpus, by words."""
     texts = texts_of(spark, d)
-    w = Workspace(spark).save(S.word_weights(texts).join(texts.select(F.col("row_id").alias("id"), "dataset"), "id"))
-    return S.nearest_across(w.where("dataset = 'elg_cefr_de'"), w.where("dataset = 'kurs_archiv_de'"))
+    w = Workspace(spark).save(S.word_weights(texts, stop=stop_words()).join(texts.select(F.col("row_id").alias("id"), "dataset"), "id"))
+    return S.nearest_across(w)
 
 
 @query()

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textwerk.operators import association as A, metrics as M, ranks as R
 from textwerk.operators.clean import LEVELS
 from textwerk.operators.durable import Workspace, table
+from textwerk.operators.metrics import calibration
 from textwerk.plans.corpus import CLEAN, texts_of
+from textwerk.plans.named import registrar
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with the SQL that states the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -44,7 +34,7 @@ _GRID = """cell AS (SELECT g, x, y, count(*) AS n FROM z WHERE x IS NOT NULL AND
 gr AS (SELECT a.g, a.x, b.y, coalesce(c.n, 0) AS n, r, c_, t FROM (SELECT g, x, sum(n) AS r FROM cell GROUP BY ALL) a JOIN (SELECT g, y, sum(n) AS c_ FROM cell GROUP BY ALL) b USING (g) JOIN (SELECT g, sum(n) AS t FROM cell GROUP BY ALL) USING (g) LEFT JOIN cell c ON c.g = a.g AND c.x = a.x AND c.y = b.y)"""
 _V = """chi AS (SELECT g, max(t)::BIGINT AS n, count(DISTINCT x) AS r, count(DISTINCT y) AS k, sum((n - r * c_ / t) ** 2 / (r * c_ / t)) AS chi2 FROM gr GROUP BY g),
 cor AS (SELECT *, greatest(0, chi2 / n - (k - 1) * (r - 1) / (n - 1)) AS phi, r - (r - 1) ** 2 / (n - 1) AS rc, k - (k - 1) ** 2 / (n - 1) AS kc FROM chi)"""
-_VS = "round(chi2, 6) AS chi2, (r - 1) * (k - 1) AS dof, round(CASE WHEN least(rc - 1, kc - 1) > 0 THEN sqrt(phi / least(rc - 1, kc - 1)) ELSE 0 END, 6) AS v, round(CASE WHEN least(r - 1, k - 1) > 0 THEN sqrt(chi2 / n / least(r - 1, k - 1)) ELSE 0 END, 6) AS v_uncorrected"
+_VS = "round(chi2, 6) AS chi2, (r - 1) * (k - 1) AS dof, round(CASE WHEN least(r, k) < 2 THEN NULL WHEN least(rc - 1, kc - 1) > 0 THEN sqrt(phi / least(rc - 1, kc - 1)) ELSE 0 END, 6) AS v, round(CASE WHEN least(r - 1, k - 1) > 0 THEN sqrt(chi2 / n / least(r - 1, k - 1)) END, 6) AS v_uncorrected"
 _BY = f"WITH {CLEAN}, z AS (SELECT dataset AS g, cefr_level AS x, topic AS y FROM texts), {_GRID}, {_V} "
 _ALL = f"WITH {CLEAN}, z AS (SELECT 1 AS g, cefr_level AS x, topic AS y FROM texts), {_GRID}, {_V} "
 
@@ -117,6 +107,25 @@ def top_associations(spark, d):
     return rounded(top, "std_residual").select(F.col("x").alias("level"), F.col("y").alias("topic"), "std_residual")
 
 
+@query(_ALL + """, e AS (SELECT x, y, n, r * c_ / t AS e, (n - r * c_ / t) / sqrt(r * c_ / t * (1 - r / t) * (1 - c_ / t)) AS z FROM gr),
+s AS (SELECT 'absolute' AS side, row_number() OVER (ORDER BY round(abs(z), 9) DESC, x, y) AS place, * FROM e UNION ALL SELECT 'over', row_number() OVER (ORDER BY round(z, 9) DESC, x, y), * FROM e WHERE z > 0 UNION ALL SELECT 'under', row_number() OVER (ORDER BY round(z, 9), x, y), * FROM e WHERE z < 0)
+SELECT side, place, x AS level, y AS topic, topic_label AS label, n AS observed, round(e, 1) AS expected, round(n / e, 2) AS obs_over_exp, round(z, 2) AS std_residual FROM s LEFT JOIN topics_top_words_de ON topic = y WHERE side = 'absolute' OR side = 'over' AND place <= 10 OR side = 'under' AND place <= 6""")
+def extreme_residuals(spark, d):
+    """All cells by absolute residual, the ten most over- and the six most underrepresented ones, with the label of the topic and rounded as in a report."""
+    e = Workspace(spark).save(A.residuals(A.grid(A.cells_of(topical(spark, d), "cefr_level", "topic"))))
+    z = F.round("std_residual", 9)
+    sides = (("absolute", F.desc(F.abs(z)), None, e), ("over", F.desc(z), 10, e.where("std_residual > 0")), ("under", F.asc(z), 6, e.where("std_residual < 0")))
+    out = None
+    for side, by, most, part in sides:
+        # a report over the cells, of which there are levels x topics
+        ranked = part.withColumn("place", F.row_number().over(Window.orderBy(by, "x", "y")).cast("bigint")).withColumn("side", F.lit(side))
+        ranked = ranked.where(F.col("place") <= most) if most else ranked
+        out = ranked if out is None else out.union(ranked)
+    labels = table(spark, d, "topics_top_words_de").select(F.col("topic").alias("y"), F.col("topic_label").alias("label"))
+    full = out.join(F.broadcast(labels), "y", "left")
+    return full.select("side", "place", F.col("x").alias("level"), F.col("y").alias("topic"), "label", F.col("n").alias("observed"), (F.round("expected", 1) + F.lit(0.0)).alias("expected"), (F.round("obs_over_exp", 2) + F.lit(0.0)).alias("obs_over_exp"), (F.round("std_residual", 2) + F.lit(0.0)).alias("std_residual"))
+
+
 @query(f"""WITH {CLEAN}, z AS (SELECT cefr_level AS x, topic AS y, dataset AS g FROM texts WHERE topic IS NOT NULL), cell AS (SELECT g, x, y, count(*) AS n FROM z GROUP BY ALL),
 tot AS (SELECT g, sum(n) AS t, count(DISTINCT x) AS lv FROM cell GROUP BY g), mem AS (SELECT g, x, sum(n) AS m FROM cell GROUP BY ALL), top AS (SELECT g, y, sum(n) AS c FROM cell GROUP BY ALL)
 SELECT x AS level, g AS stratum, y AS topic, c::BIGINT AS n, coalesce(cell.n, 0) AS observed, round(c * m / t, 6) AS expected, t::BIGINT AS total, m::BIGINT AS members FROM mem JOIN tot USING (g) JOIN top USING (g) LEFT JOIN cell USING (g, x, y) WHERE lv > 1 AND t > 1 AND m < t""")
@@ -222,6 +231,12 @@ def confusion_matrix(spark, d):
     return cells.groupBy("y_true").agg(*[F.coalesce(F.sum(F.when(F.col("y_pred") == k, F.col("n"))), F.lit(0)).alias(f"p{k}") for k in range(6)])
 
 
+@query("SELECT dataset, round((weighted_f1 - 0.268) / (0.732 - 0.268), 6) AS calibrated FROM (" + SQL["metric_summary"] + ")")
+def calibrated_rule(spark, d):
+    """Where the weighted F1 of the length rule lies between a published floor and ceiling."""
+    return metric_summary(spark, d).select("dataset", F.round(calibration(F.col("weighted_f1"), 0.268, 0.732), 6).alias("calibrated"))
+
+
 @query(f"WITH {CLEAN}, c AS (SELECT dataset, cefr_level, count(*) AS n FROM texts GROUP BY ALL), m AS (SELECT dataset, first(cefr_level ORDER BY n DESC, list_position(['A1','A2','B1','B2','C1','C2'], cefr_level)) AS majority, max(n) AS hit, sum(n) AS t FROM c GROUP BY dataset) SELECT dataset, majority, round(hit / t, 6) AS accuracy FROM m")
 def majority_class(spark, d):
     c = texts_of(spark, d).groupBy("dataset", "cefr_level", "level_rank").agg(F.count("*").alias("n"))

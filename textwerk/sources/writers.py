@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 def csv_report(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -40,12 +40,26 @@ def json_report(report: dict[str, Any], path: str) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table; more than ``limit`` rows are an error, as none are left out."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows for a Markdown table")
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
 
 
+def vector_table(df: DataFrame, path: str) -> None:
+    """(id, vector) as Parquet, for :func:`textwerk.sources.readers.vectors`."""
+    df.select("id", F.col("vector").cast("array<double>").alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def text_report(lines: list[str], path: str) -> str:
+    """A report for people: its lines are written and returned as one text."""
+    text = "\n".join(lines) + "\n"
+    Path(path).write_text(text, encoding="utf-8")
+    return text
+
+
 def content_hash(df: DataFrame, key: str) -> str:
     """A digest of a table's rows that does not depend on their order or partitioning; repeated rows count."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
