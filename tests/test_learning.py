@@ -104,3 +104,18 @@ def test_coverage_of_all_intervals(spark):
     for r in inference.interval_coverage(cells, "g", reps=25, boot_reps=10).collect():
         assert (r.reps, r.boot_reps) == (25, 10)
         assert all(0 <= r[c] <= 1 for c in ("ncx2", "normal", "percentile", "basic"))
+
+
+def test_rank_correlation_of_cells():
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 30, 500), r.integers(0, 6, 500)
+    y = np.where(r.random(500) < 0.5, x // 5, y)
+    rank = lambda v: np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v])
+    want = np.corrcoef(rank(x), rank(y))[0, 1]
+    cells = {}
+    for a, b in zip(x, y):
+        cells[a, b] = cells.get((a, b), 0) + 1
+    codes = lambda v: np.unique(v, return_inverse=True)[1]
+    got = inference.spearman_of(codes([a for a, _ in cells]), codes([b for _, b in cells]), np.array(list(cells.values())))
+    assert got == pytest.approx(want)
+    assert np.isnan(inference.spearman_of(np.zeros(3, int), np.arange(3), np.ones(3)))

@@ -263,6 +263,38 @@ def weighted_f1(t: np.ndarray) -> float:
     return float((f * s).sum() / s.sum())
 
 
+def spearman_of(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Rank correlation of cells: values coded from 0 in their order, with counts; nan for a constant."""
+    def ranks(codes: np.ndarray) -> np.ndarray:
+        m = np.bincount(codes, n)
+        return (np.cumsum(m) - m + (m + 1) / 2)[codes]
+
+    a, b = ranks(x), ranks(y)
+    a, b = a - np.average(a, weights=n), b - np.average(b, weights=n)
+    spread = np.sqrt((n * a * a).sum() * (n * b * b).sum())
+    return float((n * a * b).sum() / spread) if spread > 0 else float("nan")
+
+
+def spearman_intervals(cells: DataFrame, by: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, n, rho, lo, hi): rank correlation of x and y of cells (by, x, y, n), with the percentile interval of bootstrap draws of the cells."""
+    blocks = -(-n_boot // DRAWS)
+    spread = cells.select(F.col(by).cast("string").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "n").withColumn("block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        x, y = (np.unique(pdf[c], return_inverse=True)[1] for c in ("x", "y"))
+        n = pdf["n"].to_numpy(np.int64)
+        if key[1] < 0:
+            return pd.DataFrame({"g": [key[0]], "draw": [-1], "n": [n.sum()], "rho": [spearman_of(x, y, n)]})
+        numbers = np.arange(key[1] * DRAWS, min(n_boot, (key[1] + 1) * DRAWS))
+        drawn = [generator(seed, key[0], int(k)).multinomial(n.sum(), n / n.sum()) for k in numbers]
+        return pd.DataFrame({"g": key[0], "draw": numbers, "n": n.sum(), "rho": [spearman_of(x, y, c) for c in drawn]})
+
+    found = spread.groupBy("g", "block").applyInPandas(run, "g string, draw int, n bigint, rho double").where(~F.isnan("rho"))
+    boot = F.when(F.col("draw") >= 0, F.col("rho"))
+    return found.groupBy(F.col("g").alias(by)).agg(F.max("n").alias("n"), F.max(F.when(F.col("draw") < 0, F.col("rho"))).alias("rho"), F.percentile(boot, 0.025).alias("lo"), F.percentile(boot, 0.975).alias("hi"))
+
+
 def placebo_bins(binned: DataFrame, by: str, bins: str = "bin", reps: int = 200, seed: int = 42) -> DataFrame:
     """(by, observed, placebo_mean, placebo_hi): mean V within bins against bins of the same sizes dealt at random.
 

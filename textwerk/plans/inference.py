@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from textwerk.operators import association as A, graph as G, inference as I, metrics as M, ranks as R, similarity as S
 from textwerk.operators.durable import table
@@ -69,6 +69,30 @@ def metric_intervals(spark, d):
     return I.metric_intervals(M.confusion(length_rule(spark, d), ["dataset"]), "dataset", I.weighted_f1)
 
 
+@query()
+def length_level_interval(spark, d):
+    """Rank correlation of length and level in each corpus, with its bootstrap interval."""
+    return I.spearman_intervals(A.cells_of(measured(spark, d), "word_count", "level_rank", ["dataset"]), "dataset")
+
+
+@query()
+def interval_overlap(spark, d):
+    """Whether the intervals of the association of each two corpora overlap; corpora are few."""
+    rows = sorted((r["dataset"], r["ci_lo"], r["ci_hi"]) for r in I.table_tests(corpus_cells(spark, d), "dataset").collect())
+    pairs = [(a[0], b[0], bool(a[1] <= b[2] and b[1] <= a[2])) for k, a in enumerate(rows) for b in rows[k + 1 :]]
+    return spark.createDataFrame(pairs, "a string, b string, overlap boolean")
+
+
+@query()
+def corpus_ranking(spark, d):
+    """Corpora by the association of level and topic, as it is and at the size of the smallest one, and the rank correlation of both orders."""
+    cells = corpus_cells(spark, d)
+    both = I.table_tests(cells, "dataset").select("dataset", "v").join(I.matched_subsamples(cells, "dataset").select("dataset", "mean_v"), "dataset")
+    place = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
+    ranked = both.withColumns({"place": place("v"), "matched_place": place("mean_v")})
+    return ranked.withColumn("rho", F.corr("place", "matched_place").over(Window.partitionBy()))
+
+
 @query()
 def placebo_length_bins(spark, d):
     binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"])
@@ -77,11 +101,17 @@ def placebo_length_bins(spark, d):
 
 @query()
 def length_stratified(spark, d):
-    """Association of level and topic within length quartiles of each corpus: V, its interval and permutation test."""
+    """Association of level and topic within length quartiles of each corpus: size, V, its interval and permutation test, the smallest association that would be
+    found, and the rank correlation of length and level that is left. A bin with fewer than two levels or topics keeps its row, without these."""
     binned = R.quantile_bins(measured(spark, d), "word_count", 4, ["dataset"]).withColumn("stratum", F.concat_ws("/", "dataset", "bin"))
     cells = A.cells_of(binned, "cefr_level", "topic", ["stratum"])
-    tests = I.table_tests(cells, "stratum")
-    return tests.join(I.permutation_test(cells, "stratum", 1000).select("stratum", F.col("p").alias("perm_p")), "stratum")
+    sizes = cells.groupBy("stratum").agg(F.sum("n").alias("size"), F.count_distinct("x").alias("levels"), F.count_distinct("y").alias("topics"))
+    usable = A.Workspace(spark).save(cells.join(F.broadcast(sizes.where("levels > 1 and topics > 1").select("stratum")), "stratum"))
+    tests = I.table_tests(usable, "stratum").select("stratum", "v", "ci_lo", "ci_hi", "p")
+    perm = I.permutation_test(usable, "stratum", 1000).select("stratum", F.col("p").alias("perm_p"))
+    power = I.detectable_association(usable, "stratum").select("stratum", "detectable_v")
+    left = I.spearman_intervals(A.cells_of(binned, "word_count", "level_rank", ["stratum"]), "stratum", 200).select("stratum", F.col("rho").alias("residual_rho"))
+    return sizes.join(tests, "stratum", "left").join(perm, "stratum", "left").join(power, "stratum", "left").join(left, "stratum", "left")
 
 
 _FAMILIES = """WITH RECURSIVE k AS (SELECT row_id, CASE WHEN regexp_replace(pair_id, '^\\s+|\\s+$', '', 'g') NOT IN ('', 'nan') THEN pair_id END AS pair_id FROM combined_csv),
