@@ -13,11 +13,11 @@ from textwerk.plans.named import registrar
 #: White space as the inside of a class of the SQL side's pattern language.
 _S = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STRIP = rf"regexp_replace(%s, '^[{_S}]+|[{_S}]+$', '', 'g')"
-_TOKENS = rf"list_filter(regexp_split_to_array(%s, '[{_S}]+'), lambda t: t <> '')"
+WHITE_SPACE_TOKENS = rf"list_filter(regexp_split_to_array(%s, '[{_S}]+'), lambda t: t <> '')"
 _LEVEL = rf"CASE WHEN regexp_extract(upper({_STRIP % 'cefr_level'}), '^(PRE-A1|A1|A2|B1|B2|C1|C2)\s*(\+|\.\d+)?$', 1) IN ('A1','A2','B1','B2','C1','C2') THEN regexp_extract(upper({_STRIP % 'cefr_level'}), '^(PRE-A1|A1|A2|B1|B2|C1|C2)\s*(\+|\.\d+)?$', 1) END"
 #: Common table expressions of the SQL side: labelled rows, those of enough tokens, clean texts.
 LABELLED = f"""labelled AS (SELECT * FROM (SELECT row_id, {_STRIP % "text"} AS text, {_LEVEL} AS cefr_level, source_name, format, category, pair_id, title, dataset, topic, topic_strength, cv_group FROM combined_csv) WHERE cefr_level IS NOT NULL AND text IS NOT NULL),
-long AS (SELECT *, CAST(len({_TOKENS % "text"}) AS INTEGER) AS word_count FROM labelled WHERE len({_TOKENS % "text"}) >= 10)"""
+long AS (SELECT *, CAST(len({WHITE_SPACE_TOKENS % "text"}) AS INTEGER) AS word_count FROM labelled WHERE len({WHITE_SPACE_TOKENS % "text"}) >= 10)"""
 CLEAN = (
     LABELLED
     + f""",
@@ -66,12 +66,12 @@ def first_row_per_source(spark, d):
     return C.first_per_key(table(spark, d, "combined_csv").where("source_name is not null"), "source_name", "row_id").groupBy("dataset", "cefr_level").agg(F.count("*").alias("n"))
 
 
-@query(rf"""SELECT doc_id, CAST(len({_TOKENS % "text"}) AS INTEGER) AS n_tokens,
+@query(rf"""SELECT doc_id, CAST(len({WHITE_SPACE_TOKENS % "text"}) AS INTEGER) AS n_tokens,
 CASE WHEN regexp_matches(text, '[^{_S}]') THEN greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+[\s\x0b"]+'), lambda p: regexp_matches(p, '[^{_S}]')))) ELSE 0 END::INTEGER AS n_sentences,
 greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda p: regexp_matches(p, '[^{_S}]'))))::INTEGER AS n_marks,
-round(coalesce(list_sum(list_transform({_TOKENS % "text"}, lambda t: length(t))) / nullif(len({_TOKENS % "text"}), 0), 0), 6)::DOUBLE AS mean_word_len,
-CASE WHEN len({_TOKENS % "text"}) >= 20 THEN round(len(list_distinct(({_TOKENS % "lower(text)"})[1:200])) / least(200, len({_TOKENS % "text"})), 6) END AS ttr_200,
-round(ln(1 + len({_TOKENS % "text"})), 6) AS log_tokens, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL""")
+round(coalesce(list_sum(list_transform({WHITE_SPACE_TOKENS % "text"}, lambda t: length(t))) / nullif(len({WHITE_SPACE_TOKENS % "text"}), 0), 0), 6)::DOUBLE AS mean_word_len,
+CASE WHEN len({WHITE_SPACE_TOKENS % "text"}) >= 20 THEN round(len(list_distinct(({WHITE_SPACE_TOKENS % "lower(text)"})[1:200])) / least(200, len({WHITE_SPACE_TOKENS % "text"})), 6) END AS ttr_200,
+round(ln(1 + len({WHITE_SPACE_TOKENS % "text"})), 6) AS log_tokens, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL""")
 def text_features(spark, d):
     t = F.col("text")
     words = T.tokens(t)
@@ -94,8 +94,8 @@ def descriptives_over(rows: DataFrame) -> DataFrame:
 
 _BASE = rf"""base AS (SELECT dataset, cefr_level, word_count AS tok,
 CASE WHEN regexp_matches(text, '[^{_S}]') THEN greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+[\s\x0b"]+'), lambda p: regexp_matches(p, '[^{_S}]')))) ELSE 0 END AS sen,
-CASE WHEN word_count >= 20 THEN len(list_distinct(({_TOKENS % "lower(text)"})[1:200])) / least(200, word_count) END AS ttr,
-list_sum(list_transform({_TOKENS % "text"}, lambda t: length(t))) / word_count AS len FROM texts)"""
+CASE WHEN word_count >= 20 THEN len(list_distinct(({WHITE_SPACE_TOKENS % "lower(text)"})[1:200])) / least(200, word_count) END AS ttr,
+list_sum(list_transform({WHITE_SPACE_TOKENS % "text"}, lambda t: length(t))) / word_count AS len FROM texts)"""
 
 
 @query(f"""WITH {CLEAN}, {_BASE} SELECT CASE WHEN grouping(dataset) = 1 THEN 'ALL' ELSE dataset END AS dataset, CASE WHEN grouping(cefr_level) = 1 THEN 'ALL' ELSE cefr_level END AS cefr_level, count(*) AS n,

@@ -11,7 +11,7 @@ from textwerk.operators import association as A, folds as K, graph as G, metrics
 from textwerk.operators.clean import supported_levels
 from textwerk.operators.durable import Workspace, table
 from textwerk.operators.logistic import permuted_scores
-from textwerk.plans.corpus import CLEAN, texts_of
+from textwerk.plans.corpus import CLEAN, WHITE_SPACE_TOKENS, texts_of
 from textwerk.plans.named import registrar
 from textwerk.plans.stats import rounded
 from textwerk.sources.readers import stop_words
@@ -179,6 +179,24 @@ def topic_quality(spark, d):
     return P.coherence(words, terms).crossJoin(P.diversity(words))
 
 
+@query(f"""WITH {CLEAN}, w AS (SELECT DISTINCT topic, lower(trim(u.w)) AS term FROM topics_top_words_de, unnest(string_split(top_words, ',')) u(w)), h AS (SELECT DISTINCT row_id, term FROM (SELECT row_id, unnest({WHITE_SPACE_TOKENS % "lower(text)"}) AS term FROM texts) WHERE term IN (SELECT term FROM w)),
+n1 AS (SELECT term, count(*) AS n FROM h GROUP BY term), n2 AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM h x JOIN h y USING (row_id) WHERE x.term < y.term GROUP BY ALL), t AS (SELECT count(*)::DOUBLE AS n FROM texts)
+SELECT p.topic, round(avg(CASE WHEN n2.n IS NULL THEN -1 WHEN n2.n = t.n THEN 1 ELSE ln(n2.n * t.n / (na.n * nb.n)) / -ln(n2.n / t.n) END), 6) AS npmi FROM w p JOIN w q ON p.topic = q.topic AND p.term < q.term CROSS JOIN t LEFT JOIN n2 ON n2.a = p.term AND n2.b = q.term LEFT JOIN n1 na ON na.term = p.term LEFT JOIN n1 nb ON nb.term = q.term GROUP BY p.topic""")
+def given_topic_coherence(spark, d):
+    """Coherence over the clean texts of the words that are given for each topic."""
+    given = table(spark, d, "topics_top_words_de").select("topic", F.explode(F.split("top_words", ",")).alias("term")).select("topic", F.lower(F.trim("term")).alias("term"), F.lit(1.0).alias("weight")).distinct()
+    terms = S.term_counts(texts_of(spark, d), "row_id", T.tokens(F.lower(F.col("text"))))
+    return P.coherence(given, terms).select("topic", (F.round("npmi", 6) + F.lit(0.0)).alias("npmi"))
+
+
+@query(f"""WITH {CLEAN}, l AS (SELECT cefr_level FROM texts WHERE topic IS NOT NULL), k AS (SELECT cefr_level, count(*) AS n_rows FROM l GROUP BY 1) SELECT cefr_level, n_rows, 5::BIGINT AS folds, 0::BIGINT AS torn_groups FROM k WHERE n_rows >= 50""")
+def fold_totals(spark, d):
+    """Rows and folds of each level with 50 rows or more, and the groups that are in several folds."""
+    rows = prepared(spark, d)
+    torn = rows.groupBy("cv_group").agg(F.count_distinct("fold").alias("k")).where("k > 1").agg(F.count("*").alias("torn_groups"))
+    return rows.groupBy("cefr_level").agg(F.count("*").alias("n_rows"), F.count_distinct("fold").alias("folds")).where("n_rows >= 50").crossJoin(F.broadcast(torn))
+
+
 @query()
 def topic_stability(spark, d):
     """Mean overlap of topics from each two of five seeds."""
