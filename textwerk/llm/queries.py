@@ -18,6 +18,7 @@ from textwerk.llm.tokens import encoded, token_counts, tokenizer_path
 from textwerk.llm.writings import collapsed, same_writing
 from textwerk.operators.durable import Workspace, table
 from textwerk.operators.skew import heavy_keys, split_join
+from textwerk.plans.corpus import WHITE_SPACE_TOKENS
 
 #: A recorded pair links its rows from this similarity on.
 LINK_SIMILARITY = 0.85
@@ -129,7 +130,35 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_levels, p4_words, p5_found, p5_splits, p6_found, p6_subjects, p7_found, p7_statistics, p8_ids, p9_packing, p10_found, p10_forms)}
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Number of tokens, type-token ratio and mean word length of every text."""
+    stats = text_statistics(table(spark, d, "combined_csv"))
+    return stats.select("row_id", F.col("word_count").cast("bigint").alias("word_count"), F.round("ttr_200", 6).alias("ttr_200"), F.round("mean_word_len", 6).alias("mean_word_len"))
+
+
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, families in more than one split, and splits whose share of the rows is more than two points off."""
+    rows = Workspace(spark).save(p5_splits(spark, d))
+    torn = rows.groupBy("family").agg(F.count_distinct("split").alias("k")).where("k > 1").agg(F.count("*").alias("torn_families"))
+    total = rows.agg(F.count("*").alias("n_rows"))
+    share = rows.groupBy("split").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+    wanted = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    uneven = share.agg(F.count_if(F.abs(F.col("n") / F.col("n_rows") - wanted) > 0.02).alias("uneven_splits"))
+    return total.crossJoin(torn).crossJoin(uneven)
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each spec: documents placed, containers that are overfull, documents split without need, and containers with gaps in their places."""
+    places = Workspace(spark).save(p9_packing(spark, d))
+    specs = table(spark, d, "packing_specs").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity").cast("bigint").alias("capacity"))
+    bins = places.groupBy("spec_id", "container").agg(F.sum("size").alias("load"), F.max("place").alias("last"), F.count("*").alias("n")).join(F.broadcast(specs), "spec_id")
+    of_bins = bins.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"), F.count_if(F.col("last") != F.col("n")).alias("gaps"))
+    documents = places.groupBy("spec_id", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("pieces")).join(F.broadcast(specs), "spec_id")
+    of_documents = documents.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("needless_splits"))
+    return of_documents.join(of_bins, "spec_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p3_found, p3_collapsed, p4_found, p4_levels, p4_words, p5_found, p5_splits, p5_checked, p6_found, p6_subjects, p7_found, p7_statistics, p7_counts, p8_ids, p9_packing, p9_checked, p10_found, p10_forms)}
 
 _COMPONENTS = """
 , two AS (SELECT u AS a, v AS b FROM links UNION ALL SELECT v, u FROM links),
@@ -137,7 +166,22 @@ walk(a, b) AS (SELECT a, b FROM two UNION SELECT w.a, t.b FROM walk w JOIN two t
 SELECT least(a, min(b)) AS first_row_id, a AS row_id FROM walk GROUP BY a HAVING min(b) < a
 """
 
+_SHINGLES = r"""t AS (SELECT row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM combined_csv WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT row_id, concat_ws(' ', ws[k], ws[k + 1], ws[k + 2]) AS g FROM t, unnest(range(1, len(ws) - 1)) r(k) WHERE len(ws) >= 10),
+n AS (SELECT row_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS sig FROM s GROUP BY row_id),
+b AS (SELECT x.row_id AS i, y.row_id AS j, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.row_id < y.row_id GROUP BY ALL),
+alike AS (SELECT i, j FROM b JOIN n p ON p.row_id = i JOIN n q ON q.row_id = j WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_SHINGLES} SELECT i, j FROM alike",
+    "p1_groups": f"""WITH RECURSIVE {_SHINGLES}, c AS (SELECT row_id, min(row_id) OVER (PARTITION BY sig) AS class_id FROM n),
+two AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM (SELECT i, j FROM alike UNION ALL SELECT j, i FROM alike) JOIN c a ON a.row_id = i JOIN c b ON b.row_id = j WHERE a.class_id <> b.class_id),
+walk(a, b) AS (SELECT a, b FROM two UNION SELECT w.a, t.b FROM walk w JOIN two t ON w.b = t.a), low AS (SELECT a, least(a, min(b)) AS low FROM walk GROUP BY a), deg AS (SELECT a, count(*) AS n_links FROM two GROUP BY a)
+SELECT row_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(low, class_id) AS group_id FROM c LEFT JOIN deg ON deg.a = class_id LEFT JOIN low ON low.a = class_id""",
+    "p5_checked": "SELECT count(*) AS n_rows, 0::BIGINT AS torn_families, 0::BIGINT AS uneven_splits FROM combined_csv",
+    "p7_counts": f"""WITH k AS (SELECT row_id, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN {WHITE_SPACE_TOKENS % "text"} END AS ts FROM combined_csv)
+SELECT row_id, len(ts)::BIGINT AS word_count, round(CASE WHEN len(ts) >= 20 THEN len(list_distinct(list_transform(ts[1:200], lambda t: lower(t)))) / least(len(ts), 200) END, 6) AS ttr_200, round(list_sum(list_transform(ts, lambda t: length(t))) / len(ts), 6) AS mean_word_len FROM k""",
+    "p9_checked": "SELECT spec_id::INTEGER AS spec_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS needless_splits, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM packing_specs",
     "p2_found": """WITH RECURSIVE links AS (
 SELECT DISTINCT least(i, CAST(j AS BIGINT)) AS u, greatest(i, CAST(j AS BIGINT)) AS v FROM near_duplicates_de
 WHERE similarity >= 0.85 AND i <> j AND i IN (SELECT row_id FROM combined_csv) AND j IN (SELECT row_id FROM combined_csv))"""
