@@ -75,9 +75,8 @@ def raw_loading_difference(spark, d):
     return raw.join(whole, "features").select("features", F.round(F.col("f") - F.col("weighted_f1"), 6).alias("weighted_f1"), F.round(F.col("q") - F.col("qwk"), 6).alias("qwk"))
 
 
-def shared_levels(spark, d) -> DataFrame:
-    """Prepared rows of the levels that every corpus has; all rows where there is none."""
-    rows = prepared(spark, d)
+def shared_levels(rows: DataFrame) -> DataFrame:
+    """The rows of the levels that every corpus has; all rows where there is none."""
     seen = rows.groupBy("level_rank").agg(F.count_distinct("dataset").alias("n")).collect()
     corpora = rows.select("dataset").distinct().count()
     common = [r["level_rank"] for r in seen if r["n"] == corpora]
@@ -88,8 +87,9 @@ def shared_levels(spark, d) -> DataFrame:
 def corpus_transfer(spark, d):
     """Metrics of models of one corpus on every other, and of grouped cross-validation inside each, on the levels that all have; with the share of the tested corpus that these levels cover."""
     rows = prepared(spark, d)
-    found = scored(L.transfer_matrix(shared_levels(spark, d)), "train", "test", "setting")
-    kept = shared_levels(spark, d).groupBy("dataset").agg(F.count("*").alias("kept"))
+    shared = shared_levels(rows)
+    found = scored(L.transfer_matrix(shared), "train", "test", "setting")
+    kept = shared.groupBy("dataset").agg(F.count("*").alias("kept"))
     cover = rows.groupBy("dataset").agg(F.count("*").alias("n")).join(kept, "dataset").select(F.col("dataset").alias("test"), F.round(F.col("kept") / F.col("n"), 6).alias("coverage"))
     return found.join(F.broadcast(cover), "test", "left")
 
@@ -97,7 +97,7 @@ def corpus_transfer(spark, d):
 @query()
 def leave_one_corpus_out(spark, d):
     """Weighted F1 and kappa of a model of all other corpora, of cross-validation inside the corpus, of its most frequent level, and the drop."""
-    found = Workspace(spark).save(scored(L.leave_one_out(shared_levels(spark, d)), "test", "setting"))
+    found = Workspace(spark).save(scored(L.leave_one_out(shared_levels(prepared(spark, d))), "test", "setting"))
     of = lambda setting, c: F.max(F.when(F.col("setting") == setting, F.col(c)))
     whole = found.groupBy("test").agg(of("in-corpus", "weighted_f1").alias("in_corpus_f1"), of("in-corpus", "qwk").alias("in_corpus_qwk"), of("transfer", "weighted_f1").alias("transfer_f1"), of("transfer", "qwk").alias("transfer_qwk"), of("floor", "weighted_f1").alias("floor_f1"))
     return whole.withColumn("drop_f1", F.round(F.col("in_corpus_f1") - F.col("transfer_f1"), 6))
