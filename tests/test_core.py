@@ -181,3 +181,14 @@ def test_strict_json():
     from textwerk.sources.writers import plain
 
     assert plain({"a": float("nan"), "b": [math.inf, 1.5]}) == {"a": None, "b": [None, 1.5]}
+
+
+def test_blanks_are_told_from_others_for_all_characters(spark):
+    from textwerk.functions.text import SPACE, tokens, word_count
+    from textwerk.operators.clean import enough_tokens
+
+    rows = spark.createDataFrame([(f"{c}a{c}b {c}",) for c in map(chr, range(1, 0x10000)) if not "\ud800" <= c <= "\udfff"] + [(None,), ("",), ("  ",)], "t string")
+    t = F.col("t")
+    plain = F.filter(F.split(t, rf"[{SPACE}]+"), lambda x: x != "")
+    enough = t.rlike(rf"(?:[^{SPACE}]+[{SPACE}]+){{1}}[^{SPACE}]")
+    assert not rows.where(~tokens(t).eqNullSafe(plain) | ~word_count(t).eqNullSafe(F.regexp_count(t, F.lit(rf"[^{SPACE}]+"))) | ~enough_tokens(t, 2).eqNullSafe(enough)).count()

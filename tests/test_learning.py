@@ -162,3 +162,28 @@ def test_keywords_of_own_words(spark):
     assert len(want) == 2100 and {(x.id, x.term): x.w for x in got.collect()} == pytest.approx(want)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_topics_alone_are_cross_validated_from_cells(spark):
+    rows = labelled(spark)
+    cells = rows.groupBy("fold", "topic", F.col("level_rank").alias("level")).agg(F.count("*").alias("n")).toPandas()
+    want = models.cross_predictions(rows, ["topic"]).groupBy("y_true", "y_pred").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, logistic.crossed_cells(cells).itertuples(index=False))) == sorted(map(tuple, want))
+
+
+def test_topic_sweep_evaluates_all_models_together(spark, data, monkeypatch):
+    calls, once = [], topics.coherence
+    monkeypatch.setattr(topics, "coherence", lambda *a, **k: calls.append("coherence") or once(*a, **k))
+    monkeypatch.setattr(models, "cross_predictions", lambda *a, **k: pytest.fail("models of topics alone need no pass over the rows"))
+    got = learning.topic_sweep(spark, data).orderBy("k").collect()
+    assert calls == ["coherence"] and [r.k for r in got] == [5, 8, 10, 12, 15, 20, 25, 30]
+    assert [r.k for r in got if r.weighted_f1 is not None] == [10, 15, 20]
+
+
+def test_coherence_and_diversity_of_several_models(spark):
+    words = spark.createDataFrame([(m, t, w, float(x)) for m in (0, 1) for t in (0, 1) for x, w in enumerate("abcdef"[m + 2 * t : m + 2 * t + 3])], "m int, topic int, term string, weight double")
+    texts = spark.createDataFrame([(i, w) for i in range(40) for w in {"abcdef"[i % 6], "abcdef"[i * i % 5], "abcdef"[i % 4]}], "id bigint, term string")
+    for m in (0, 1):
+        own = words.where(F.col("m") == m).drop("m")
+        assert sorted(topics.coherence(words, texts, by=["m"]).where(F.col("m") == m).drop("m").collect()) == sorted(topics.coherence(own, texts).collect())
+        assert topics.diversity(words, by=["m"]).where(F.col("m") == m).first()["diversity"] == topics.diversity(own).first()["diversity"]
