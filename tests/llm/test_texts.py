@@ -174,3 +174,20 @@ def test_every_text_takes_part_in_the_propagation(spark):
     texts.append(" ".join(["Wir sehen die Kranzel heute und morgen auch so gern."] * 4))
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
     assert [(r.row_id, r.topic) for r in subjects.dealt_with(subjects.text_subjects(rows, known, asked=F.col("row_id") == 60_000)).collect()] == [(60_000, 0)]
+
+
+def test_patterns_run_only_where_words_have_other_characters(monkeypatch):
+    from textwerk.llm import prose, subjects
+
+    texts = ["Der Hund, die Katze. Das\u00a0Haus_tür - x-y\nzwei  ²³ ½ _ __ a_b", "", "a", " , ", "e\u0301a,b|c. . d", "Ωmega १२ 中文,中 文\u2028z"] + [f"a{chr(c)}b {chr(c)}c" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    marked = lambda t: " ".join(t.split()).replace(". ", "\n").lower() + " "
+    assert all(prose.different_words(t) == set(prose.WORD.findall(t)) for t in texts)
+    assert all(subjects.words_and_ends(marked(t)) == subjects.WORD_OR_END.findall(marked(t)) for t in texts)
+    seen = []
+
+    class Spy:
+        findall = staticmethod(lambda t: seen.append(t) or [])
+
+    monkeypatch.setattr(prose, "WORD", Spy), monkeypatch.setattr(subjects, "WORD_OR_END", Spy)
+    assert prose.different_words("der Hund") == {"der", "Hund"} and subjects.words_and_ends("der hund\ndie katze ") == ["der", "hund", "\n", "die", "katze"]
+    assert not any(seen)
