@@ -187,3 +187,17 @@ def test_coherence_and_diversity_of_several_models(spark):
         own = words.where(F.col("m") == m).drop("m")
         assert sorted(topics.coherence(words, texts, by=["m"]).where(F.col("m") == m).drop("m").collect()) == sorted(topics.coherence(own, texts).collect())
         assert topics.diversity(words, by=["m"]).where(F.col("m") == m).first()["diversity"] == topics.diversity(own).first()["diversity"]
+
+
+def test_texts_are_cut_into_words_once_for_all_folds(spark, monkeypatch):
+    rows = labelled(spark, 100).withColumn("text", F.concat(F.lit("Wort_a Über, x der "), F.col("topic").cast("string")))
+    seen = []
+
+    def fitted(train, test, features, label):
+        seen.append(train.columns)
+        return test.withColumn("prediction", F.when(F.col("words") == F.array(F.lit("wort_a"), F.lit("über"), F.lit("der")), 1.0))
+
+    monkeypatch.setattr(models, "fit_predict", fitted)
+    got = models.cross_predictions(rows, ["tfidf"])
+    assert got.where("y_pred = 1").count() == 100 and len(seen) == 5
+    assert all("words" in columns and "text" not in columns for columns in seen)

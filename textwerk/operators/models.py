@@ -27,11 +27,16 @@ def tree_pipeline(columns: Sequence[str], label: str) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), OneVsRest(labelCol=label, classifier=GBTClassifier(maxDepth=4, maxIter=15, seed=42))])
 
 
-def text_pipeline(label: str, n_train: int, text: str = "text") -> Pipeline:
-    """TF-IDF of words (at most 50,000, in three texts or more) into logistic regression; fitted for each fold."""
+def with_words(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with the ``words`` of the text instead of the text."""
+    return RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(rows).drop(text)
+
+
+def text_pipeline(label: str, n_train: int) -> Pipeline:
+    """TF-IDF of ``words`` (at most 50,000, in three texts or more) into logistic regression; fitted for each fold."""
     from pyspark.ml.feature import IDF, Normalizer
 
-    return Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False), CountVectorizer(inputCol="words", outputCol="tf", minDF=3.0, vocabSize=50_000), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(labelCol=label, regParam=1.0 / max(1, n_train), maxIter=100)])
+    return Pipeline(stages=[CountVectorizer(inputCol="words", outputCol="tf", minDF=3.0, vocabSize=50_000), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(labelCol=label, regParam=1.0 / max(1, n_train), maxIter=100)])
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: str, label: str = "level_rank") -> DataFrame:
@@ -48,7 +53,8 @@ def cross_predictions(rows: DataFrame, feature_sets: Sequence[str], fold: str =
     """
     ws = Workspace(rows.sparkSession)
     columns = [c for c in ("row_id", "dataset", "text", "topic", "topic_strength", label, fold, *NUMERIC) if c in rows.columns and (c != "text" or "tfidf" in feature_sets)]
-    held = ws.save(rows.select(*dict.fromkeys(columns)))
+    chosen = rows.select(*dict.fromkeys(columns))
+    held = ws.save(with_words(chosen) if "tfidf" in feature_sets else chosen)  # all folds read the same words
     together = [n for n in feature_sets if n in SETS or n in RULES]
     folds = frozenset(range(k))
     out = predictions(held, [Task(n, n, folds - {f}, frozenset({f})) for n in together for f in range(k)], label, fold).select("row_id", "features", F.col("unit").alias("fold"), "y_true", "y_pred") if together else None
